@@ -22,6 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
+SECOND_TABLE = np.random.default_rng(20240502).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
@@ -91,7 +93,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
     """A 64-bit hash of each span of bytes; spans are in order and don't overlap. Depends on the bytes alone."""
     out = np.zeros(len(starts), U)
     power, inverse = _powers()
@@ -104,11 +106,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             h = U(0)
             for at in range(base, stop, SEGMENT):
                 piece = data[at : min(stop, at + SEGMENT)]
-                h = mix(np.array([h + (_TABLE[piece] * power[: len(piece)]).sum(dtype=U)], U))[0]
+                h = mix(np.array([h + (table[piece] * power[: len(piece)]).sum(dtype=U)], U))[0]
             out[i] = h
         else:
             prefix = np.zeros(stop - base + 1, U)
-            np.cumsum(_TABLE[data[base:stop]] * power[: stop - base], out=prefix[1:])
+            np.cumsum(table[data[base:stop]] * power[: stop - base], out=prefix[1:])
             s, e = starts[i:j] - base, ends[i:j] - base
             out[i:j] = (prefix[e] - prefix[s]) * inverse[s]
         i = j
