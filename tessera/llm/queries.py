@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm.line_dedup import drop_repeated_lines
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.ppm import score_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score_documents(table(spark, sf_dir, "documents"), held_out, order=5)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -25,6 +31,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ppm_score": op2_ppm_score,
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
