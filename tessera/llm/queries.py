@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.line_dedup import drop_repeated_lines
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.pieces import digests, encode_documents
 from tessera.llm.ppm import score_documents
 
 
@@ -30,10 +31,16 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(encode_documents(docs, decoded_col="decoded"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm_score": op2_ppm_score,
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
