@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import contaminated
 from tessera.llm.line_dedup import drop_repeated_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pieces import digests, encode_documents
@@ -22,6 +23,10 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), held_out, order=5)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -38,6 +43,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm_score": op2_ppm_score,
+    "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
