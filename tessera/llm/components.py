@@ -15,8 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     drawn anew between what the nodes point to; in expectation a fixed share of the nodes goes each round, also on
     long paths. Loops and null ends are no edges; ids that only have loops stay with themselves; no edges give no rows.
     """
-    both = edges.where("a is not null and b is not null")
-    left = stash(both.select("a", "b").where("a <> b").distinct())
+    both = stash(edges.where("a is not null and b is not null").select("a", "b").distinct())
+    left = both.where("a <> b")
     maps, k = [], 0
     while left.limit(1).count():
         k += 1

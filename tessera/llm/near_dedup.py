@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.concat_ws("-", F.col("grp"), F.least(o, own), F.greatest(o, own)))
     task = F.when(F.col("bytes") <= GROUP_BYTES, F.array(F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("string"))).otherwise(pair)
     plan = member.join(sizes, "grp").select(F.col("id").alias("rep"), "grp", "n", "h1", F.explode(task).alias("task"))
-    texts = rows.withColumnRenamed("doc_id", "rep").join(plan, "rep")
+    texts = rows.withColumnRenamed("doc_id", "rep").join(plan.hint("merge"), "rep")
     links = texts.select("task", "grp", "rep", "n", "h1", "text").groupBy("task").applyInArrow(_confirm(shingle, percent), "a long, b long")
     named = components(links).select(F.col("id").alias("rep"), "component")
     final = stash(reps.select("n", "h1", "h2", "rep").join(named, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")))
