@@ -12,12 +12,19 @@ from tessera.llm.line_dedup import drop_repeated_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pieces import digests, encode_documents
 from tessera.llm.ppm import score_documents
+from tessera.llm.toxicity import default_categories, fit_chain, score_chain
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = fit_chain(docs, table(spark, sf_dir, "labels"), default_categories())
+    return score_chain(docs, chain, "toxic").drop("text")
+
+
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return score_documents(table(spark, sf_dir, "documents"), held_out, order=5)
@@ -42,6 +49,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ppm_score": op2_ppm_score,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
