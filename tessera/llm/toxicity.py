@@ -172,7 +172,7 @@ def _chosen(words_of, y: np.ndarray) -> np.ndarray:
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit on labelled documents. A label of an unknown document, a null label or a null id teaches nothing; with no label
-    at all every probability is a half."""
+    at all every probability is a half and nothing is called toxic."""
     small_batches(docs.sparkSession)
     ys = labels.select(F.col(id_col).alias("__id"), F.array(*(c.cast("double") for c in categories.values())).alias("y")).where(F.col("__id").isNotNull() & ~F.exists("y", lambda v: v.isNull()))
     n = ys.count()
@@ -192,7 +192,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
             s.add(x)
     names = list(categories)
     if len(own) < 2:
-        return Chain(names, np.zeros(0, U), np.zeros(6), np.ones(6), [np.zeros(7 + k) for k in range(len(names))], [0.5] * len(names))
+        return Chain(names, np.zeros(0, U), np.zeros(6), np.ones(6), [np.zeros(7 + k) for k in range(len(names))], [1.01] * len(names))
     words_of = [(np.frombuffer(r.w, U), np.frombuffer(r.c, np.int32)) for r in own]
     dense, y = np.stack([np.frombuffer(r.dense) for r in own]), np.array([r.y for r in own])
     chain = Chain(names, _chosen(words_of, y), dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-6), [], [])
