@@ -12,7 +12,14 @@ from tessera.llm.line_dedup import drop_repeated_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pieces import digests, encode_documents
 from tessera.llm.ppm import score_documents
+from tessera.llm.surrogates import surrogate_documents
 from tessera.llm.toxicity import default_categories, fit_chain, score_chain
+from tessera.llm.url_rank import Rule, judge
+
+URL_RULES = [
+    Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +55,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_documents(docs, decoded_col="decoded"))
 
 
+def op8_url_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES).drop("url", "html")
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ppm_score": op2_ppm_score,
@@ -55,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_url_rank": op8_url_rank,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {

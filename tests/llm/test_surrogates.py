@@ -1,0 +1,56 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tessera.llm import surrogates as m
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+TEXTS = [
+    "Mail Jörg.Maß@Mail.example.com or jörg.maß@mail.example.com, from 10.1.2.3 and 8.8.4.4.",
+    "Call +1 (017) 555-7713, +1 017 555 7713 or 212-555-0188; card 4111 1111 1111 1111 / 4111111111111111 / 9807915762804490 4845168114407329",
+    'token = "24BE64439e3e49cf46b2d7c90f3602a3d0b907ff" 078-05-1120 DE89 3702 0044 0532 0130 00',
+    "Mr. John Smith met Mrs SMITH and Mrs Smith; господин Иван Петров. Version 4.0.1 of 2024-01-15, 1234567 items.",
+    "nothing here\n",
+]
+
+
+def run(spark, texts, **kw):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.text, r.n_entities) for r in m.surrogate_documents(docs, **kw).collect()}
+
+
+def test_format_and_coreference(spark):
+    out = run(spark, [*TEXTS, None, ""])
+    a, b = re.fullmatch(r"Mail (\S+@\S+\.com) or (\S+@\S+\.com), from 10\.\d+\.\d+\.\d+ and (?:\d+\.){3}\d+\.", out[0][0]).groups()
+    assert a == b and "maß" not in a and re.fullmatch(r"[a-z][à-ü][a-z]{2}\.[a-z]{2}[à-ü]@[a-z]{4}\.[a-z]{7}\.com", a)
+    p, q, r, c, d, e, f = re.fullmatch(r"Call (\+1 \(\d{3}\) \d{3}-\d{4}), (\+1 \d{3} \d{3} \d{4}) or (\d{3}-\d{3}-\d{4}); card (\d{4} \d{4} \d{4} \d{4}) / (\d{16}) / (\d{16}) (\d{16})", out[1][0]).groups()
+    assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q) and c.replace(" ", "") == d != "4111111111111111" and luhn(d) and len({d, e, f, r}) == 4
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" \d{3}-\d\d-\d{4} DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d', out[2][0]) and "24be" not in out[2][0].lower()
+    t = re.fullmatch(r"Mr\. (\w+) \w+ met Mrs ([A-Z]+) and Mrs (\w+); господин (\w+) [А-я]+\. Version 4\.0\.1 of 2024-01-15, 1234567 items\.", out[3][0])
+    assert t[1] in m.GIVEN["latin", "m"] and t[2] == t[3].upper() and t[4] in m.GIVEN["cyrillic", "m"]
+    assert out[4] == (TEXTS[4], 0) and out[5] == (None, 0) and out[6] == ("", 0)
+    assert run(spark, TEXTS) == {k: v for k, v in out.items() if k < 5} and run(spark, TEXTS, key="other")[0] != out[0]
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    real = m.surrogate
+    # Attempts below 2 put all cards into two numbers, one of them a card of the corpus.
+    monkeypatch.setattr(m, "surrogate", lambda key, kind, canon, attempt: F.when((kind == "card") & (attempt < 2), F.concat(F.lit("400000000000000"), F.length(canon) % 2)).otherwise(real(key, kind, canon, attempt)))
+    cards = ["4000000000000001", *[str(5100000000000000 + i * 7919) for i in range(30)]]
+    out = run(spark, [f"card {c} end" for c in cards])
+    new = [t.split()[1] for t, _ in out.values()]
+    assert len(set(new)) == len(cards) and not set(new) & set(cards)
+
+
+def test_rows_and_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.cc x@y.zz", 3, 4), (1, "a@b.cc x@y.zz", 3, 4), (None, "x" * 70000 + " 1.2.3.4", None, 5)], "doc_id long, text string, n_entities int, pos int")
+    got = m.surrogate_documents(docs)
+    assert got.columns == ["doc_id", "text", "pos", "n_entities"]
+    rows = sorted((r.n_entities, r.pos, len(r.text)) for r in got.collect())
+    assert rows == [(1, 5, rows[0][2]), (2, 4, 13), (2, 4, 13)]
+    assert m.surrogate_documents(docs.limit(0)).count() == 0
