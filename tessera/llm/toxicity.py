@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain: linear models in a fixed order, each fed the earlier categories' probabilities.
 
 The chain is fitted on at most ``MAX_LABELLED`` labelled documents (those of least hash of their id, so the choice doesn't
-depend on the layout; 0.2 % of them at 30 GB), each counted once however many near copies the sample holds. Features are
+depend on the layout), each counted once however many near copies the sample holds. Features are
 the words and word beginnings whose presence goes with a category beyond chance and six shape figures. A later model is trained with
 out-of-fold probabilities of the earlier ones: those of models that did not see the document. Every document is then
 scored over its whole text, in one pass without a shuffle.
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tessera.llm.store import small_batches
 from tessera.llm.textnp import SECOND_TABLE, U, batch_bytes, lowered, mix, shingles, slices, span_hashes, words
 
-MAX_LABELLED = 12_000
+MAX_LABELLED = 6_000
 LEAST_DOCS, LEAST_CHI2, MOST_WORDS, FOLDS, RIDGE, STEM = 6, 30.0, 600, 5, 1.0, 5
 MINIMA = 2
 _SALTS = mix(np.arange(1, MINIMA + 1, dtype=U))
@@ -154,18 +154,22 @@ def _chosen(words_of, y: np.ndarray) -> np.ndarray:
     if not len(words_of):
         return np.zeros(0, U)
     flat = np.concatenate([w for w, _ in words_of])
-    doc = np.repeat(np.arange(len(words_of)), [len(w) for w, _ in words_of])
-    keys, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(words_of), dtype=np.int32), [len(w) for w, _ in words_of])
+    by = np.argsort(flat, kind="stable")
+    flat, doc = flat[by], doc[by]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    keys, df = flat[first], np.diff(np.append(first, len(flat)))
+    common = df >= LEAST_DOCS
     best = np.zeros(len(keys))
     total = len(words_of)
     for k in range(y.shape[1]):
         pos = y[:, k].sum()
-        a = np.bincount(inverse, weights=y[doc, k], minlength=len(keys))
+        a = np.add.reduceat(y[:, k].astype(np.float32)[doc], first)
         b, c = df - a, pos - a
         d = total - pos - b
         low = np.maximum(df * (a + c) * (b + d) * (c + d), 1)
         best = np.maximum(best, total * (a * d - b * c) ** 2 / low)
-    keep = np.flatnonzero((df >= LEAST_DOCS) & (best >= LEAST_CHI2))
+    keep = np.flatnonzero(common & (best >= LEAST_CHI2))
     keep = keep[np.argsort(-best[keep], kind="stable")][:MOST_WORDS]
     return np.sort(keys[keep])
 
@@ -193,6 +197,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     names = list(categories)
     if len(own) < 2:
         return Chain(names, np.zeros(0, U), np.zeros(6), np.ones(6), [np.zeros(7 + k) for k in range(len(names))], [1.01] * len(names))
+    del rows
     words_of = [(np.frombuffer(r.w, U), np.frombuffer(r.c, np.int32)) for r in own]
     dense, y = np.stack([np.frombuffer(r.dense) for r in own]), np.array([r.y for r in own])
     chain = Chain(names, _chosen(words_of, y), dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-6), [], [])
