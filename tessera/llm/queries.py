@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import contaminated
+from tessera.llm.html_text import extract_text
 from tessera.llm.line_dedup import drop_repeated_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pieces import digests, encode_documents
@@ -55,6 +56,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_documents(docs, decoded_col="decoded"))
 
 
+def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op8_url_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES).drop("url", "html")
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_html_crf": op7_html_crf,
     "op8_url_rank": op8_url_rank,
     "op10_pii_surrogates": op10_pii_surrogates,
 }
