@@ -137,7 +137,7 @@ def _raw_end(tag: str) -> re.Pattern:
 
 def features(b: Block) -> list[str]:
     tags = {t for t, _ in b.path}
-    out = ["bias", *(f"tag:{t}" for t in tags & BLOCK)]
+    out = ["bias", *(f"tag:{t}" for t in (tags & BLOCK) - {"html", "body"})]
     out += {f"mark:{w}" for _, words in b.path for w in words}
     if not tags & {"article", "main"}:
         out.append("outside")
@@ -211,17 +211,20 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
                 inner = say(1, 30)
                 put(f"<{tag}{attr}>" + r.choice([inner, f"<p>{inner}</p>", f'<p><a href="/y">{inner}</a></p>']) + f"</{tag}>", False)
 
+        bare = r.random() < 0.2  # main text and nothing else, down to one block
         for kind in ("notice", "header", "nav", "ad"):
-            if r.random() < 0.6:
+            if r.random() < 0.6 and not bare:
                 other(kind)
-        shell = r.choice(["article", "article", "main", "main><article", "div", "section", ""])
+        shell = r.choice(["article", "article", "main", "main><article", "div", "section", ""]) if not bare else r.choice(["", "", "article"])
         if shell:
             put("<" + shell + (mark(MAIN) if shell in ("div", "section") or r.random() < 0.3 else "") + ">")
-        if r.random() < 0.8:
+        if r.random() < (0.3 if bare else 0.8):
             put(f"<h1>{say(1, 9)}</h1>", True)
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.randint(1, 3 if bare else 9)):
             style = r.random()
-            if style < 0.7 or not shell:
+            if bare and style < 0.4:
+                put(f"<div>{say(1, 80)}</div>", True)
+            elif style < 0.7 or not shell:
                 put(f"<p>{say(1, 80) if r.random() < 0.5 else say(1, 5)}</p>", True)
             elif style < 0.75:
                 put(f"<h2>{say(1, 6)}</h2>", True)
@@ -245,7 +248,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
         if shell:
             put("".join(f"</{t}>" for t in reversed(shell.split("><"))))
         for kind in ("share", "comments", "aside", "ad", "form", "footer"):
-            if r.random() < 0.5:
+            if r.random() < 0.5 and not bare:
                 other(kind)
         pages.append(("<html><head><title>x</title></head><body>" + "".join(body) + "</body></html>", labels))
     return pages
