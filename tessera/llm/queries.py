@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.cover_tree import near_vectors
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.html_text import extract_text
 from tessera.llm.line_dedup import drop_repeated_lines
@@ -64,6 +65,10 @@ def op8_url_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES).drop("url", "html")
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogate_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,10 +82,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_html_crf": op7_html_crf,
     "op8_url_rank": op8_url_rank,
+    "op9_cover_tree": op9_cover_tree,
     "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_cover_tree": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        deg AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT low.vec_id, coalesce(deg.n, 0)::BIGINT AS n_links, component_id, low.vec_id = component_id AS kept
+        FROM low LEFT JOIN deg ON low.vec_id = deg.vec_id""",
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
