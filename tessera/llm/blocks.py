@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 14 << 20
 
 
 def block_count(rows: DataFrame, text_col: str, most: int | None = None) -> int:

@@ -29,7 +29,7 @@ from tessera.llm.textnp import U, batch_bytes, lowered, mix, span_hashes, words
 END = 0x0A
 GRAMS, WORDS, PAIRS = 0, 1, 2
 _END_WORD = U(0x452821E638D01377)
-_SLICE, _ROWS = 2 << 20, 1 << 15
+_SLICE, _ROWS = 1 << 20, 1 << 15
 
 
 class ByteTrie:
@@ -73,21 +73,21 @@ def _streams(data: np.ndarray, offsets: np.ndarray):
     """Words as spans of a buffer in which each row ends with one spare byte: (buffer, starts, ends, words by row, row ends)."""
     lens = np.diff(offsets)
     buf = np.full(len(data) + len(lens), 0x20, np.uint8)
-    buf[np.arange(len(data)) + np.repeat(np.arange(len(lens)), lens)] = lowered(data)
+    inner = np.ones(len(buf), bool)
+    inner[offsets[1:] + np.arange(len(lens))] = False
+    buf[inner] = lowered(data)
     off = offsets + np.arange(len(offsets))
     return (buf, *words(buf, off), off)
 
 
 def _keys(buf, starts, ends, many, off, order: int) -> tuple[np.ndarray, np.ndarray]:
     """For each coded byte: order context bytes and the byte itself in one integer, and its row."""
-    keep = np.zeros(len(buf), bool)
-    edge = np.zeros(len(buf) + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, ends, -1)
-    np.cumsum(edge[:-1], out=edge[:-1])
-    keep[:] = edge[:-1] > 0
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    keep = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    buf = np.where(keep, buf, np.uint8(0x20))
     keep[ends] = True
-    buf = np.where(edge[:-1] > 0, buf, np.uint8(0x20))
     last = np.cumsum(many)
     final = np.where(many > 0, ends[np.maximum(last - 1, 0)] if len(ends) else 0, off[1:] - 1)
     keep[final], buf[final] = True, END
@@ -95,8 +95,8 @@ def _keys(buf, starts, ends, many, off, order: int) -> tuple[np.ndarray, np.ndar
     size = np.diff(np.searchsorted(kept, off)).astype(np.int64)
     rows = len(size)
     stream = np.full(len(kept) + order * rows, END, np.uint8)
-    row = np.repeat(np.arange(rows), size)
-    at = np.arange(len(kept)) + order * (row + 1)
+    row = np.repeat(np.arange(rows, dtype=np.int32), size)
+    at = np.arange(len(kept), dtype=np.int32) + np.int32(order) * (row + np.int32(1))
     stream[at] = buf[kept]
     code = np.zeros(len(kept), U)
     for i in range(order, -1, -1):
@@ -122,7 +122,7 @@ def _sorted_keys(column: pa.Array, order: int):
         if order <= 5:
             packed = (code << U(16)) | row.astype(U)
             packed.sort()
-            code, row = packed >> U(16), (packed & U(0xFFFF)).astype(np.int64)
+            code, row = packed >> U(16), (packed & U(0xFFFF)).astype(np.int32)
         else:
             by = np.argsort(code, kind="stable")
             code, row = code[by], row[by]
@@ -145,6 +145,20 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[f], (np.add.reduceat(c, f) if len(f) else c)
 
 
+def _pack(keys: np.ndarray, kind: int, order: int) -> bytes:
+    """Keys as bytes; those of 48 bits as their upper 32, which repeat in sorted order and so compress, and lower 16."""
+    if kind == GRAMS and order <= 5:
+        return (keys >> U(16)).astype(np.uint32).tobytes() + (keys & U(0xFFFF)).astype(np.uint16).tobytes()
+    return keys.tobytes()
+
+
+def _unpack(raw, kind: int, order: int) -> np.ndarray:
+    if kind == GRAMS and order <= 5:
+        n = len(raw) // 6
+        return (np.frombuffer(raw, np.uint32, n).astype(U) << U(16)) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(U)
+    return np.frombuffer(raw, U)
+
+
 def _shards(keys: np.ndarray, kind: int, n: int) -> np.ndarray:
     return (mix((keys >> U(8)) & U(0xFFFF) if kind == GRAMS else keys) % U(n)).astype(np.int64)
 
@@ -171,7 +185,7 @@ def _gather(order: int, shards: int):
             cut = np.searchsorted(shard[by], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(cut)):
                 own = by[cut[s] : cut[s + 1]]
-                out.append((int(s), kind, key[own].tobytes(), count[own].astype(np.uint32 if count[own].max() < 1 << 32 else np.uint64).tobytes()))
+                out.append((int(s), kind, _pack(key[own], kind, order), count[own].astype(np.uint32 if count[own].max() < 1 << 32 else np.uint64).tobytes()))
         out.append((-1, PAIRS, b"", pairs.tobytes()))
         block = table.column("block")[0].as_py()
         return pa.table([pa.array([block] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], names=["block", "shard", "kind", "keys", "counts"])
@@ -242,9 +256,9 @@ def _answer(order: int, pairs: np.ndarray):
     """A shard's keys of all blocks -> for each block the values in the order of its keys: log10 P, or log10(c + 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), U) for x in table.column("keys")]
-        counts = [np.frombuffer(x.as_buffer(), np.uint32 if len(x.as_buffer()) == 4 * len(k) else U).astype(np.int64) for x, k in zip(table.column("counts"), keys, strict=True)]
         kind = table.column("kind")[0].as_py()
+        keys = [_unpack(x.as_buffer(), kind, order) for x in table.column("keys")]
+        counts = [np.frombuffer(x.as_buffer(), np.uint32 if len(x.as_buffer()) == 4 * len(k) else U).astype(np.int64) for x, k in zip(table.column("counts"), keys, strict=True)]
         key, count = _summed(keys, counts)
         value = gram_lengths(key, count, pairs, order) if kind == GRAMS else np.log10(count + 1)
         blobs = [value[np.searchsorted(key, k)].tobytes() for k in keys]
@@ -262,7 +276,7 @@ def _score(order: int, keep: list[str]):
         kinds = values.column("kind").to_numpy()
         for kind in (GRAMS, WORDS):
             own = values.filter(pa.array(kinds == kind))
-            key = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in own.column("keys")] or [np.zeros(0, U)])
+            key = np.concatenate([_unpack(x.as_buffer(), kind, order) for x in own.column("keys")] or [np.zeros(0, U)])
             val = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in own.column("vals")] or [np.zeros(0)])
             by = np.argsort(key, kind="stable")
             tables[kind] = key[by], val[by]
