@@ -253,33 +253,42 @@ def gram_lengths(code: np.ndarray, count: np.ndarray, pairs: np.ndarray, order:
 
 
 def _answer(order: int, pairs: np.ndarray):
-    """A shard's keys of all blocks -> for each block the values in the order of its keys: log10 P, or log10(c + 1)."""
+    """A shard's keys of all blocks -> for each block the values in the order of its keys: log10 P, or the count."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         keys = [_unpack(x.as_buffer(), kind, order) for x in table.column("keys")]
         counts = [np.frombuffer(x.as_buffer(), np.uint32 if len(x.as_buffer()) == 4 * len(k) else U).astype(np.int64) for x, k in zip(table.column("counts"), keys, strict=True)]
         key, count = _summed(keys, counts)
-        value = gram_lengths(key, count, pairs, order) if kind == GRAMS else np.log10(count + 1)
+        value = gram_lengths(key, count, pairs, order) if kind == GRAMS else count.astype(np.uint32 if count.max() < 1 << 32 else np.int64)
         blobs = [value[np.searchsorted(key, k)].tobytes() for k in keys]
         known = int((count > 0).sum()) if kind == WORDS else 0
-        return pa.table([table.column("block"), table.column("shard"), table.column("kind"), table.column("keys"), pa.array(blobs, pa.binary()), pa.array([known] + [0] * (len(keys) - 1), pa.int64()), pa.array([int(count.sum()) if kind == WORDS else 0] + [0] * (len(keys) - 1), pa.int64())], names=["block", "shard", "kind", "keys", "vals", "v", "n"])
+        return pa.table([table.column("block"), table.column("shard"), table.column("kind"), pa.array(blobs, pa.binary()), pa.array([known] + [0] * (len(keys) - 1), pa.int64()), pa.array([int(count.sum()) if kind == WORDS else 0] + [0] * (len(keys) - 1), pa.int64())], names=["block", "shard", "kind", "vals", "v", "n"])
 
     return run
 
 
-def _score(order: int, keep: list[str]):
+def _score(order: int, shards: int, keep: list[str]):
     """A block's rows and its values -> the kept columns, n_tokens, n_known, the sum of log10(c + 1), and the score."""
 
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
+        own_keys = {GRAMS: [], WORDS: []}
+        for _, _, grams, own_words, _ in _sorted_keys(docs.column("text"), order):
+            for kind, (key, _) in ((GRAMS, grams), (WORDS, own_words)):
+                own_keys[kind].append(key[_firsts(key)])
         tables = {}
-        kinds = values.column("kind").to_numpy()
-        for kind in (GRAMS, WORDS):
-            own = values.filter(pa.array(kinds == kind))
-            key = np.concatenate([_unpack(x.as_buffer(), kind, order) for x in own.column("keys")] or [np.zeros(0, U)])
-            val = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in own.column("vals")] or [np.zeros(0)])
-            by = np.argsort(key, kind="stable")
-            tables[kind] = key[by], val[by]
+        for kind, parts in own_keys.items():  # the same keys in the same order as were sent
+            key = np.unique(np.concatenate(parts)) if parts else np.zeros(0, U)
+            shard = _shards(key, kind, shards)
+            by = np.argsort(shard, kind="stable")
+            cut, val = np.searchsorted(shard[by], np.arange(shards + 1)), np.zeros(len(key))
+            got = values.filter(pa.array(values.column("kind").to_numpy() == kind))
+            for s, raw in zip(got.column("shard").to_pylist(), got.column("vals"), strict=True):
+                raw, many = raw.as_buffer(), cut[s + 1] - cut[s]
+                x = np.frombuffer(raw, np.float64 if kind == GRAMS else np.uint32 if len(raw) == 4 * many else np.int64)
+                val[by[cut[s] : cut[s + 1]]] = x if kind == GRAMS else np.log10(x.astype(np.float64) + 1)
+            tables[kind] = key, val
+        own_keys.clear()
         n = docs.num_rows
         tokens, known, logs, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for i, j, grams, own_words, many in _sorted_keys(docs.column("text"), order):
@@ -320,11 +329,11 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 5, id_col: s
     for row in sent.where(F.col("kind") == PAIRS).select("counts").toLocalIterator():  # 512 kB a block, one after another
         pairs += np.frombuffer(row.counts, np.int64)
     asked = sent.where(F.col("kind") != PAIRS).groupBy("shard", "kind")
-    got = stash(asked.applyInArrow(_answer(order, pairs.reshape(256, 256)), "block int, shard int, kind int, keys binary, vals binary, v long, n long"))
+    got = stash(asked.applyInArrow(_answer(order, pairs.reshape(256, 256)), "block int, shard int, kind int, vals binary, v long, n long"))
     total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"doc_id {kinds['doc_id']}, held_out boolean, n_tokens long, n_known long, logs double, score double"
-    scored = held.groupBy("block").cogroup(got.select("block", "kind", "keys", "vals").groupBy("block")).applyInArrow(_score(order, ["doc_id", "held_out"]), schema)
+    scored = held.groupBy("block").cogroup(got.select("block", "shard", "kind", "vals").groupBy("block")).applyInArrow(_score(order, shards, ["doc_id", "held_out"]), schema)
     base = F.col("logs") - F.col("n_tokens") * math.log10(total.n + total.v + 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
