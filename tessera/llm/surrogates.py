@@ -66,8 +66,8 @@ def _chars(s: Column) -> Column:
 
 
 def _byte(seed: Column, i: Column) -> Column:
-    """The i-th of 60 numbers below 65,536 from a hex digest, over again."""
-    return F.conv(F.substring(seed, i % 31 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    """The i-th of 125 numbers below 65,536 from a hex digest, over again; those four apart share no digit."""
+    return F.conv(F.substring(seed, i % 125 + 1, F.lit(4)), 16, 10).cast("int")
 
 
 def _of(values: list[str] | str, n: Column) -> Column:
@@ -127,7 +127,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     top = F.regexp_extract(domain, r"\.[^.]+$", 0)
     host = F.regexp_replace(domain, r"\.[^.]+$", "")
     email = F.concat(_substituted(local, seed), F.lit("@"), _substituted(host, _seed(key, F.lit("domain"), domain)), top)
-    octet = lambda i, low, n: (F.lit(low) + _byte(seed, F.lit(i)) % n).cast("string")
+    octet = lambda i, low, n: (F.lit(low) + _byte(seed, F.lit(4 * i)) % n).cast("string")
     ip = (
         F.when(canon.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
         .when(canon.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), octet(2, 0, 256), octet(3, 1, 254)))
@@ -147,7 +147,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         test, pick = (script == s) & (gender == g), _of(names, _byte(seed, F.lit(0)))
         given = F.when(test, pick) if given is None else given.when(test, pick)
     for s, parts in SYLLABLES.items():
-        pick = F.initcap(F.concat(*(_of(parts, _byte(seed, F.lit(i))) for i in (1, 2, 3, 4))))
+        pick = F.initcap(F.concat(*(_of(parts, _byte(seed, F.lit(4 * i))) for i in (1, 2, 3, 4))))
         family = F.when(script == s, pick) if family is None else family.when(script == s, pick)
     name = F.when(bare.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
     return (
