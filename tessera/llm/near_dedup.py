@@ -26,7 +26,7 @@ from tessera.llm.store import small_batches, stash
 from tessera.llm.textnp import U, distinct_by_row, mix, text_shingles
 
 CHUNK = 6
-GROUP_BYTES = 48 << 20
+GROUP_BYTES = 24 << 20
 MISS = 1e-5
 
 
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     member = stash(groups.join(reps.select(F.col("rep").alias("id"), "n", "h1"), "id").select("id", F.col("component").alias("grp"), "n", "h1"))
     sizes = member.groupBy("grp").agg((F.sum("n") * 8).alias("bytes"))
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    tasks = max(1, math.ceil(total / (16 << 20)))
+    tasks = max(1, math.ceil(total / (8 << 20)))
     blocks = F.ceil(F.col("bytes") / (GROUP_BYTES // 2)).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.concat_ws("-", F.col("grp"), F.least(o, own), F.greatest(o, own)))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -67,7 +67,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) of about ``most`` bytes, one row at least."""
     i, n = 0, len(offsets) - 1
     while i < n:
