@@ -58,6 +58,10 @@ PATTERNS = {
     "name": _OPEN + "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? " + _NAME + "(?: " + _NAME + ")?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every text with an entity has; quick to search, so most texts never meet ``ANY``.
+_INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
+HINT = "[0-9@]|[a-fA-F]{32}"
+NAME_HINT = f"[{_INITIALS}](?:" + "|".join(t[1:] for t in MALE + FEMALE + NEUTRAL) + r")\.? "
 _TITLE = "^(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
 
 
@@ -199,8 +203,9 @@ def surrogate_documents(docs: DataFrame, key: str = "tessera", text_col: str = "
     docs = docs.drop("n_entities")
     columns = docs.columns
     text = F.col(text_col)
-    none = docs.where(text.isNull() | ~text.rlike(ANY)).withColumn("n_entities", F.lit(0).cast("long"))
-    some = docs.where(text.rlike(ANY)).withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit("b"), text)})
+    hit = (text.rlike(HINT) | text.rlike(NAME_HINT)) & text.rlike(ANY)
+    none = docs.where(text.isNull() | ~hit).withColumn("n_entities", F.lit(0).cast("long"))
+    some = docs.where(hit).withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit("b"), text)})
     found = some.select("__a", "__b", F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)).alias("all"))
     found = stash(found.groupBy("__a", "__b").agg(F.first("all").alias("all")))
     seen = found.select("__a", "__b", F.posexplode("all").alias("pos", "surface"))
