@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 14 << 20
+LEAST_BLOCKS = 12
 
 
 def block_count(rows: DataFrame, text_col: str, most: int | None = None) -> int:
-    """So many blocks that one holds about ``most`` bytes of text (and 2**18 rows) on average."""
+    """So many blocks that one holds about ``most`` bytes of text (and 2**18 rows) on average, and LEAST_BLOCKS at least."""
     got = rows.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    return max(1, math.ceil(got.b / (most or BLOCK_BYTES)), math.ceil(got.n / (1 << 18)))
+    return max(LEAST_BLOCKS, math.ceil(got.b / (most or BLOCK_BYTES)), math.ceil(got.n / (1 << 18)))
 
 
 def block_of(n: int, *cols: str) -> Column:
