@@ -159,11 +159,11 @@ def _(spark, sf):
 
 
 @query("a10_directional", f"""WITH {TOKS}, {PAIRS}, {_PAIRED}
-    SELECT source_id, neighbor, array_to_string(offs, ',') AS offsets, count(*)::BIGINT AS anchors, sum(round(observations / total * 1e6)::BIGINT)::BIGINT AS scores
+    SELECT source_id, neighbor, min(array_to_string(offs, ',')) AS low, max(array_to_string(offs, ',')) AS high, count(*)::BIGINT AS anchors, sum(round(observations / total * 1e6)::BIGINT)::BIGINT AS scores
     FROM q WHERE k <= 12 GROUP BY ALL""")
 def _(spark, sf):
     rows = context.directional_resonance(relations.relations(docs(spark, sf)))
-    return rows.groupBy("source_id", "neighbor", "offsets").agg(F.count(F.lit(1)).alias("anchors"), F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("scores"))
+    return rows.groupBy("source_id", "neighbor").agg(F.min("offsets").alias("low"), F.max("offsets").alias("high"), F.count(F.lit(1)).alias("anchors"), F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("scores"))
 
 
 @query("a11_clouds", f"""WITH {TOKS}, {PAIRS}, {_PAIRED}
