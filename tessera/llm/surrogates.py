@@ -45,16 +45,17 @@ ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z
 
 _OPEN, _SHUT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
-#: Type and pattern; of patterns that fit at one place the first wins. Every repetition is bounded.
+_NAME = r"\p{Lu}[\p{L}'’\-]++"
+#: Type and pattern; of patterns that fit at one place the first wins. Bounds are those of a format (a card's digits, the 127
+#: labels of a host); runs without one are possessive, so each is read once, however long.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}" + _SHUT,
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]++\.){1,127}\p{L}{2,}+" + _SHUT,
     "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?[\p{L}\p{N}])",
     "iban": _OPEN + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _SHUT,
     "card": _OPEN + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7})" + _SHUT,
     "ssn": _OPEN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _SHUT,
     "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?|\([0-9]{2,4}\)[ .\-]?)[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})" + _SHUT,
-    "secret": _OPEN + r"[0-9a-fA-F]{32,128}" + _SHUT,
+    "secret": _OPEN + r"[0-9a-fA-F]{32,}+" + _SHUT,
     "name": _OPEN + "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? " + _NAME + "(?: " + _NAME + ")?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -63,6 +64,8 @@ _INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
 HINT = "[0-9@]|[a-fA-F]{32}"
 NAME_HINT = f"[{_INITIALS}](?:" + "|".join(t[1:] for t in MALE + FEMALE + NEUTRAL) + r")\.? "
 _TITLE = "^(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
+#: A local part has 64 characters at most; of a longer run the punctuation in front is not of the address.
+_LEADER = r"^(?=[^@]{65})[._%+\-]++(?=[\p{L}\p{N}])"
 
 
 def _chars(s: Column) -> Column:
@@ -120,6 +123,7 @@ def canonical(kind: Column, surface: Column) -> Column:
         F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(surface, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(surface, " ", ""))
         .when(kind == "name", F.concat_ws("/", gender, script, F.lower(bare)))
+        .when(kind == "email", F.lower(F.regexp_replace(surface, _LEADER, "")))
         .otherwise(F.lower(surface))
     )
 
@@ -167,9 +171,10 @@ def rendered(kind: Column, surface: Column, new: Column) -> Column:
     spaced = F.aggregate(_chars(surface), start, lambda a, c: F.struct(F.concat(a.s, F.when(c == " ", c).otherwise(F.substring(new, a.n + 1, F.lit(1)))).alias("s"), (a.n + F.when(c == " ", 0).otherwise(1)).alias("n")), lambda a: a.s)
     bare = F.regexp_replace(surface, _TITLE, "")
     loud = lambda x, y: F.when((x == F.upper(x)) & x.rlike(r"\p{L}"), F.upper(y)).otherwise(y)
+    leader = F.when(kind == "email", F.regexp_extract(surface, _LEADER, 0)).otherwise("")
     return (
         F.when(kind.isin("card", "phone", "ssn"), laid).when(kind == "iban", spaced)
-        .when(kind == "name", F.concat(F.regexp_extract(surface, _TITLE, 0), loud(bare, new))).when(kind == "ip", new).otherwise(loud(surface, new))
+        .when(kind == "name", F.concat(F.regexp_extract(surface, _TITLE, 0), loud(bare, new))).when(kind == "ip", new).otherwise(F.concat(leader, loud(surface, new)))
     )
 
 

@@ -54,3 +54,24 @@ def test_rows_and_columns(spark):
     rows = sorted((r.n_entities, r.pos, len(r.text)) for r in got.collect())
     assert rows == [(1, 5, rows[0][2]), (2, 4, 13), (2, 4, 13)]
     assert m.surrogate_documents(docs.limit(0)).count() == 0
+
+
+def test_long_entities(spark):
+    labels = ".".join("abcdefghijkl")
+    texts = [
+        *(f"key {'3fA9' * (n // 4)}{'b' * (n % 4)} end" for n in (128, 129, 256, 512, 20000)),
+        *(f"{c * 70}john@x.com and john@x.com" for c in ".-_"),
+        f"to {'j' * 70}@x.com, jane@{labels}.com or jane@{'y' * 70}.com.",
+        f"Mr {'Ab' + 'c' * 60} left",
+    ]
+    out = run(spark, texts)
+    for i, n in enumerate((128, 129, 256, 512, 20000)):
+        assert re.fullmatch(f"key [0-9a-f]{{{n}}} end", out[i][0]) and "3fa9" * 3 not in out[i][0].lower() and out[i][1] == 1
+    for i, c in enumerate(".-_", 5):
+        a, b = re.fullmatch(rf"{re.escape(c)}{{70}}([a-z]{{4}}@[a-z]\.com) and (\S+)", out[i][0]).groups()
+        assert a == b != "john@x.com" and out[i][1] == 2
+    assert re.fullmatch(rf"to [a-z]{{70}}@[a-z]\.com, [a-z]{{4}}@(?:[a-z]\.){{12}}com or [a-z]{{4}}@[a-z]{{70}}\.com\.", out[8][0]) and out[8][1] == 3
+    assert "jjjj" not in out[8][0] and "jane" not in out[8][0] and "ccc" not in out[9][0]
+    # Long runs that are no entity cost one pass.
+    dull = ["a." * 500000, "x@" + "a." * 100000, "f" * 1000000 + "g"]
+    assert [run(spark, [t])[0] == (t, 0) for t in dull] == [True, True, True]
