@@ -8,7 +8,10 @@ digits for digits, the same country, card network, top-level domain or private n
 some, given names of the same gender and script.
 
 Collision check: a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again with the
-next attempt for all but the smallest canonical form, until every entity's surrogate is its own.
+next attempt for all but the smallest canonical form, until every entity's surrogate is its own. From attempt ``GROW`` on
+the space grows, so it never runs out: a name has one syllable more with each attempt, an e-mail's local part one letter
+more, a number, an IBAN or a secret one digit more; private addresses go to 10.*, and from ``GROW_IP`` on all addresses to
+fd00::/8.
 
 Only rows with an entity meet a shuffle. Distinct texts are reduced first, then entities to distinct ones, so neither a
 text in a third of all rows nor an entity in a third of all texts is gathered in one task.
@@ -43,6 +46,9 @@ SYLLABLES = {
 }
 ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\p{IsLatin}&&\p{Ll}]": "àâäçéèêíîñóôöúûü", r"[\p{IsLatin}&&\p{Lu}]": "ÀÂÄÇÉÈÊÍÎÑÓÔÖÚÛÜ", r"[\p{IsCyrillic}&&\p{Ll}]": "абвгдежзиклмнопрстуфхцчшэюя", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"[\p{IsGreek}&&\p{Ll}]": "αβγδεζηθικλμνξοπρτυφχψω", r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 
+#: The attempts from which surrogates get longer, and addresses leave IPv4.
+GROW, GROW_IP = 8, 16
+
 _OPEN, _SHUT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’\-]++"
@@ -83,6 +89,11 @@ def _of(values: list[str] | str, n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), n % len(values) + 1)
 
 
+def _drawn(values: list[str] | str, seed: Column, n: Column) -> Column:
+    """So many of the values, one at least, in a row."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _of(values, _byte(seed, 4 * i))), "")
+
+
 def _substituted(s: Column, seed: Column, alphabets: dict[str, str] | None = None) -> Column:
     """Each letter or digit replaced by one of its class, other characters kept."""
 
@@ -131,31 +142,37 @@ def canonical(kind: Column, surface: Column) -> Column:
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """A canonical surrogate: digits for numbers, 'given surname' or 'surname' for names."""
     seed = _seed(key, kind, canon, attempt.cast("string"))
+    grown = F.greatest(attempt - (GROW - 1), F.lit(0))
+    more = lambda alphabet: F.when(grown > 0, _drawn(alphabet, _seed(key, F.lit("more"), seed), F.greatest(grown, F.lit(1)))).otherwise("")
     local, domain = F.split_part(canon, F.lit("@"), F.lit(1)), F.split_part(canon, F.lit("@"), F.lit(2))
     top = F.regexp_extract(domain, r"\.[^.]+$", 0)
     host = F.regexp_replace(domain, r"\.[^.]+$", "")
-    email = F.concat(_substituted(local, seed), F.lit("@"), _substituted(host, _seed(key, F.lit("domain"), domain)), top)
+    email = F.concat(_substituted(local, seed), more(ALPHABETS["[a-z]"]), F.lit("@"), _substituted(host, _seed(key, F.lit("domain"), domain)), top)
     octet = lambda i, low, n: (F.lit(low) + _byte(seed, F.lit(4 * i)) % n).cast("string")
+    private = canon.rlike(r"^(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
+    local6 = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(seed, 1, 2)), *(F.substring(seed, 4 * i - 1, 4) for i in range(1, 8)))
     ip = (
-        F.when(canon.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
+        F.when(attempt >= GROW_IP, local6)
+        .when(private & (attempt >= GROW), F.concat_ws(".", F.lit("10"), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
+        .when(canon.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
         .when(canon.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), octet(2, 0, 256), octet(3, 1, 254)))
         .when(canon.rlike(r"^172\.(1[6-9]|2[0-9]|3[01])\."), F.concat_ws(".", F.lit("172"), octet(1, 16, 16), octet(2, 0, 256), octet(3, 1, 254)))
         .when(canon.startswith("127."), F.concat_ws(".", F.lit("127"), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
         .otherwise(F.concat_ws(".", octet(0, 11, 100), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
     )
-    numbers = F.concat(F.substring(canon, 1, 1), _substituted(F.substring(canon, 2, 1000), seed))
+    numbers = F.concat(F.substring(canon, 1, 1), _substituted(F.substring(canon, 2, 1000), seed), more(ALPHABETS["[0-9]"]))
     stem = F.regexp_replace(numbers, ".$", "")
     checked = F.concat(stem, ((10 - _luhn(F.concat(stem, F.lit("0")))) % 10).cast("string"))
     card = F.when(_luhn(canon) == 0, checked).otherwise(numbers)
-    iban = F.concat(F.substring(canon, 1, 2), _substituted(F.substring(canon, 3, 1000), seed))
-    secret = _substituted(canon, seed, {"[0-9a-f]": "0123456789abcdef"})
+    iban = F.concat(F.substring(canon, 1, 2), _substituted(F.substring(canon, 3, 1000), seed), more(ALPHABETS["[0-9]"]))
+    secret = F.concat(_substituted(canon, seed, {"[0-9a-f]": "0123456789abcdef"}), more(ALPHABETS["[0-9]"]))
     gender, script, bare = (F.split_part(canon, F.lit("/"), F.lit(i)) for i in (1, 2, 3))
     given, family = None, None
     for (s, g), names in GIVEN.items():
         test, pick = (script == s) & (gender == g), _of(names, _byte(seed, F.lit(0)))
         given = F.when(test, pick) if given is None else given.when(test, pick)
     for s, parts in SYLLABLES.items():
-        pick = F.initcap(F.concat(*(_of(parts, _byte(seed, F.lit(4 * i))) for i in (1, 2, 3, 4))))
+        pick = F.initcap(_drawn(parts, seed, grown + 4))
         family = F.when(script == s, pick) if family is None else family.when(script == s, pick)
     name = F.when(bare.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
     return (
@@ -165,10 +182,11 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
 
 def rendered(kind: Column, surface: Column, new: Column) -> Column:
-    """A canonical surrogate in the format of a mention."""
+    """A canonical surrogate in the format of a mention; what it has beyond the format's length stands at the end."""
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
-    laid = F.aggregate(_chars(surface), start, lambda a, c: F.struct(F.concat(a.s, F.when(c.rlike("[0-9]"), F.substring(new, a.n + 1, F.lit(1))).otherwise(c)).alias("s"), (a.n + F.when(c.rlike("[0-9]"), 1).otherwise(0)).alias("n")), lambda a: a.s)
-    spaced = F.aggregate(_chars(surface), start, lambda a, c: F.struct(F.concat(a.s, F.when(c == " ", c).otherwise(F.substring(new, a.n + 1, F.lit(1)))).alias("s"), (a.n + F.when(c == " ", 0).otherwise(1)).alias("n")), lambda a: a.s)
+    rest = lambda a: F.concat(a.s, F.substring(new, a.n + 1, F.length(new)))
+    laid = F.aggregate(_chars(surface), start, lambda a, c: F.struct(F.concat(a.s, F.when(c.rlike("[0-9]"), F.substring(new, a.n + 1, F.lit(1))).otherwise(c)).alias("s"), (a.n + F.when(c.rlike("[0-9]"), 1).otherwise(0)).alias("n")), rest)
+    spaced = F.aggregate(_chars(surface), start, lambda a, c: F.struct(F.concat(a.s, F.when(c == " ", c).otherwise(F.substring(new, a.n + 1, F.lit(1)))).alias("s"), (a.n + F.when(c == " ", 0).otherwise(1)).alias("n")), rest)
     bare = F.regexp_replace(surface, _TITLE, "")
     loud = lambda x, y: F.when((x == F.upper(x)) & x.rlike(r"\p{L}"), F.upper(y)).otherwise(y)
     leader = F.when(kind == "email", F.regexp_extract(surface, _LEADER, 0)).otherwise("")
@@ -194,8 +212,6 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         todo = stash(todo.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"))
         done = won if done is None else done.unionByName(won)
         attempt += 1
-        if attempt > 64:
-            raise ValueError("a type has fewer surrogates than the corpus has entities")
     return done if done is not None else known.withColumn("new", F.lit(None).cast("string"))
 
 

@@ -75,3 +75,23 @@ def test_long_entities(spark):
     # Long runs that are no entity cost one pass.
     dull = ["a." * 500000, "x@" + "a." * 100000, "f" * 1000000 + "g"]
     assert [run(spark, [t])[0] == (t, 0) for t in dull] == [True, True, True]
+
+
+def test_more_entities_than_the_first_space(spark, monkeypatch):
+    monkeypatch.setitem(m.SYLLABLES, "latin", ["ba", "ko"])  # 16 surnames
+    ips = [(f"192.168.{i // 160}.{i % 160 + 1}",) for i in range(40000)]
+    few = [("name", f"{g}/latin/{n}") for g in "mf" for n in [f"q{chr(97 + i)}" for i in range(26)]]
+    few += [("email", f"{chr(97 + i)}@{h}.com") for i in range(26) for h in "xy"] + [("email", f"{p}@x.com") for p in ("-", "--")]
+    few += [("phone", f"1{i:04}") for i in range(6000)]
+    known = spark.createDataFrame(few, "kind string, canon string").unionByName(spark.createDataFrame(ips, "canon string").selectExpr("'ip' AS kind", "canon"))
+    got = m.assign(known, "k").collect()
+    real = {k: {c.split("/")[-1] for x, c in [*few, *(("ip", i) for i, in ips)] if x == k} for k in ("name", "email", "phone", "ip")}
+    assert len(got) == len(few) + len(ips) == len({(r.kind, r.canon) for r in got}) == len({(r.kind, r.new.lower()) for r in got})
+    assert not any(r.new.lower() in real[r.kind] for r in got)
+    assert all(re.fullmatch({"name": "[A-Z][a-z]{7,}", "email": r"(-*)[a-z]*@[a-z]\.com", "phone": r"1\d{4,}", "ip": r"(192\.168|10\.\d+)\.\d+\.\d+"}[r.kind], r.new) for r in got)
+
+
+def test_longer_surrogates_in_a_mention(spark):
+    rows = [("phone", "+1 22 22", "1333344", "+1 33 3344"), ("phone", "+1 22 22", "13333", "+1 33 33"), ("iban", "DE89 3702 0044", "DE111111222233", "DE11 1111 222233")]
+    df = spark.createDataFrame(rows, "kind string, surface string, new string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", m.rendered(F.col("kind"), F.col("surface"), F.col("new"))).collect())
