@@ -26,10 +26,15 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe object svg canvas math select".split())
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Text up to the end tag, or to the end of the page.
+RAW = frozenset("script style textarea title xmp noembed noframes".split())
+#: Never shown: left out up to the end tag; where there is none or the tag closes itself, only the tag is.
+HIDDEN = frozenset("template iframe metadata".split())
+#: Stand in a line or hold blocks; text of theirs alone is a block.
+EMBED = frozenset("noscript object canvas".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag ends an open one of these, unless one of the fences lies between.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "optgroup": ({"optgroup"}, {"select"})}
 _FENCE = frozenset("body div section article td th li table blockquote aside nav main header footer form figure".split())
 
 
@@ -53,6 +58,8 @@ def blocks(page: str) -> list[Block]:
     opened: dict[str, int] = {}
     text: list[str] = []
     linked = 0
+    alone = False
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -90,16 +97,24 @@ def blocks(page: str) -> list[Block]:
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
             if opened.get(tag):
-                if tag in BLOCK:
+                if tag in BLOCK or (tag in EMBED and alone):
                     flush()
                 k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
                 if tag in BLOCK or not any(t in BLOCK for t, _ in stack[k:]):
                     close_to(k)
             continue
-        if tag in RAW:
+        shut = attributes.endswith("/")
+        if tag in RAW and not (shut and (opened.get("svg") or opened.get("math"))):
             stop = _raw_end(tag).search(page, at)
             at = stop.end() if stop else end
             continue
+        if tag in HIDDEN:
+            stop = None if shut or tag in endless else _raw_end(tag).search(page, at)
+            if stop:
+                at = stop.end()
+            elif not shut:
+                endless.add(tag)
+            continue
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -123,7 +138,11 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[i][0] in fences:
                         break
-        if not attributes.endswith("/") or tag in BLOCK:
+        if tag in EMBED:
+            alone = not any(map(str.strip, text))
+        elif tag in ("text", "tspan") and opened.get("svg"):
+            text.append(" ")
+        if not shut or tag in BLOCK:
             stack.append((tag, _marks(attributes)))
             opened[tag] = opened.get(tag, 0) + 1
     flush()
@@ -137,7 +156,7 @@ def _raw_end(tag: str) -> re.Pattern:
 
 def features(b: Block) -> list[str]:
     tags = {t for t, _ in b.path}
-    out = ["bias", *(f"tag:{t}" for t in (tags & BLOCK) - {"html", "body"})]
+    out = ["bias", *(f"tag:{t}" for t in (tags & (BLOCK | EMBED)) - {"html", "body"})]
     out += {f"mark:{w}" for _, words in b.path for w in words}
     if not tags & {"article", "main"}:
         out.append("outside")
@@ -254,6 +273,42 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
     return pages
 
 
+def embedding_pages(n: int = 40, seed: int = 12) -> list[tuple[str, list[bool]]]:
+    """Pages with noscript, object, canvas, svg and select: text as what is around it, but choices are never main text."""
+    r = random.Random(seed)
+
+    def say(low: int, high: int) -> str:
+        return " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyzéñü", k=r.randint(2, 9))) for _ in range(r.randint(low, high))).capitalize() + "."
+
+    def choices() -> tuple[str, list[bool]]:
+        m = r.randint(1, 5)
+        return "<select>" + "".join(f"<option>{say(1, 2)}</option>" for _ in range(m)) + "</select>", [False] * m
+
+    pages = []
+    for _ in range(n):
+        parts: list[tuple[str, list[bool]]] = []
+        if r.random() < 0.6:
+            parts.append((f"<noscript>{say(3, 12)}</noscript>", [False]))
+        parts.append((f'<nav><a href="/x">{say(1, 3)}</a></nav>', [False]))
+        if r.random() < 0.4:
+            parts.append(choices())
+        shell = r.choice(["article", "main"])
+        parts.append((f"<{shell}><h1>{say(2, 8)}</h1>", [True]))
+        for _ in range(r.randint(2, 7)):
+            tag, style = r.choice(sorted(EMBED)), r.random()
+            if style < 0.5:
+                parts.append((f"<p>{say(2, 60)}</p>", [True]))
+            elif style < 0.9:
+                parts.append((f"<{tag}>" + r.choice(["{}", "<p>{}</p>", "<div>{}</div>"]).format(say(2, 40)) + f"</{tag}>", [True]))
+            else:
+                parts.append(choices())
+        parts.append((f"<p>{say(2, 60)}</p></{shell}>", [True]))
+        if r.random() < 0.5:
+            parts.append((f"<footer>{say(2, 9)}</footer>", [False]))
+        pages.append(("<html><body>" + "".join(p for p, _ in parts) + "</body></html>", [y for _, own in parts for y in own]))
+    return pages
+
+
 @dataclass
 class Crf:
     """Weights of features by label, of label pairs, and of a label at either end; labels: 0 other, 1 main text."""
@@ -343,7 +398,7 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 150, ridge: float =
 
 @lru_cache(1)
 def default_model() -> Crf:
-    return train(labelled_pages())
+    return train(labelled_pages() + embedding_pages())
 
 
 def main_text(page: str | None, model: Crf) -> str:

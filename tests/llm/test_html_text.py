@@ -61,3 +61,19 @@ def test_frame(spark):
     assert got.columns == ["page_id", "url", "html", "text", "n_chars"]
     assert sorted((str(r.page_id), r.n_chars) for r in got.collect()) == [("1", len(m.main_text(PAGE, m.default_model())))] * 2 + [("2", 0), ("3", 299999), ("None", 0)]
     assert m.extract_text(df.limit(0)).count() == 0
+
+
+def test_embedded_elements_do_not_cut_a_page():
+    texts = lambda page: [b.text for b in m.blocks(page)]
+    for tag in ("svg", "math", "object", "canvas", "iframe", "noscript", "template", "select"):
+        assert texts(f"<p>a</p><{tag}><p>b</p>") == ["a", "b"], tag
+        assert texts(f"<p>a</p><{tag} class='x'/><p>b</p><{tag}></{tag}><p>c</p>") == ["a", "b", "c"], tag
+    assert texts("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <svg><title/><path d='M1'/><text>A</text><text>B</text></svg> end</p>") == ["So x=2 and A B end"]
+    assert texts("<p>a <noscript><img src=x></noscript> b</p><noscript>c</noscript>d<select><option>e<option>f</select>") == ["a b", "c", "d", "e", "f"]
+    assert texts("<template><p>x</p></template><iframe>y</iframe><iframe><p>a") == ["a"]
+    assert len(m.blocks("<iframe><p>a" * 20000)) == 20000
+
+
+def test_main_text_with_embedded_elements():
+    page = "<html><body><noscript>Turn scripts on.</noscript><nav><a href='/'>Home</a></nav><article><h1>Sums</h1><p>As <math><mn>1</mn><mo>+</mo><mn>1</mn></math> shows, all is well.<svg/></p><object><p>A table of the sums that were made here.</p></object><p>The last of the words.</p></article><form><select><option>Ten</option><option>Two</option></select></form></body></html>"
+    assert m.main_text(page, m.default_model()) == "Sums\n\nAs 1+1 shows, all is well.\n\nA table of the sums that were made here.\n\nThe last of the words."
