@@ -62,27 +62,29 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def personalised(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def personalised(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """host, rank: PageRank that restarts at the seeds (host, weight > 0); rank without a way out goes to them as well.
 
-    Ranks sum to 1; hosts that no seed reaches have no row; without seeds there are none.
+    Ranks sum to 1; hosts that no seed reaches have no row; without seeds there are none. Rounds go on until a round changes
+    ranks by less than ``tolerance`` in all (each changes at most ``damping`` times what the one before did) and reaches no
+    new host, however far it is from the seeds.
     """
     total = F.lit(seeds.agg(F.coalesce(F.sum("weight"), F.lit(1.0))).first()[0])
     restart = stash(seeds.select("host", (F.col("weight") / total).alias("rank")))
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     steps = stash(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("p")))
-    rank = restart
+    rank, known = restart, 0
     if not steps.limit(1).count() or not restart.limit(1).count():
         return rank
-    for _ in range(rounds):
+    while True:
         moved = rank.join(steps, F.col("host") == F.col("src")).groupBy("dst").agg((F.sum(F.col("rank") * F.col("p")) * damping).alias("rank")).withColumnRenamed("dst", "host")
         gone = F.lit(1.0 - (moved.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]))
         new = stash(moved.unionByName(restart.select("host", (F.col("rank") * gone).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank")))
-        change = new.join(rank.withColumnRenamed("rank", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        change, reached = new.join(rank.withColumnRenamed("rank", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))), F.count("rank")).first()
         rank = new
-        if change < tolerance:
-            break
-    return rank
+        if change < tolerance and reached == known:
+            return rank
+        known = reached
 
 
 def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.0, url_col: str = "url", html_col: str = "html") -> DataFrame:

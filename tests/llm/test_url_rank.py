@@ -35,6 +35,15 @@ def test_ranks_against_matrix(spark):
     assert all(have.get(f"h{i}", 0) == pytest.approx(want[i], abs=1e-4) for i in range(12))
 
 
+def test_far_hosts_are_reached(spark):
+    n = 36
+    edges = [(i, i + 1, 1) for i in range(n - 1)]
+    df = spark.createDataFrame([(f"h{a}", f"h{b}", c) for a, b, c in edges], "src string, dst string, n long")
+    got = {x.host: x["rank"] for x in personalised(df, spark.createDataFrame([("h0", 1.0)], "host string, weight double"), tolerance=1e-2).collect()}
+    want = pagerank(n, edges, np.eye(n)[0])
+    assert len(got) == n and all(got[f"h{i}"] == pytest.approx(want[i], abs=1e-2) and got[f"h{i}"] > 0 for i in range(n))
+
+
 def test_links(spark):
     html = """<a href="http://B.x/1">1</a><a href='//c.x?q'>2</a><A HREF=https://b.x/2>3</a><a href="/own">4</a><a href="http://a.x/">5</a>"""
     pages = spark.createDataFrame([("https://a.x/p", html), ("https://a.x/q", html), (None, html), ("nothing", None)], "url string, html string")
