@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from tessera.operators import relations
-from tessera.plans.walk import answer_walk
+from tessera.plans.walk import answer_walk, forward
 from tessera.sources import binary as B
 from tessera.sources import documents as D
 
@@ -68,3 +68,9 @@ def test_walk_finds_the_neighbours(spark):
     walk = answer_walk(rel, ["how", "sear", "meat"], steps=3)
     assert walk.answer and set(walk.answer) <= {"hot", "pan", "smoke"} and len(set(walk.answer)) == len(walk.answer)
     assert answer_walk(rel.where(F.lit(False)), ["sear"]).answer == []
+
+
+def test_forward_cloud_is_what_follows(spark):
+    docs = spark.createDataFrame([(i, "sear the meat in a hot pan with smoke") for i in range(12)], "doc_id long, text string")
+    rel = relations.corpus_relations(docs)
+    assert [(r.neighbor, r.n) for r in forward(rel, ["pan"]).collect()] == [("smoke", 12), ("with", 12)]
