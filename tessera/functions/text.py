@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,7 +13,27 @@ LITERAL_CHARS = 32
 _BASE = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 _TAIL = rf"(?:[\x{{1F3FB}}-\x{{1F3FF}}\x{{FE0E}}\x{{FE0F}}]|\x{{200D}}{_BASE})*"
 _EMOJI_RUN = rf"[\x{{1F1E6}}-\x{{1F1FF}}]+|{_BASE}{_TAIL}"
-_PIECE = rf"{_EMOJI_RUN}|(?:\p{{L}}|(?<=[\p{{L}}\p{{N}}])['’](?=[\p{{L}}\p{{N}}])|(?<=[sSſ])['’])+|[^\s\p{{L}}'’]"
+
+
+def _caseless() -> str:
+    """Ranges of the letters called lower or title case that have no capital."""
+    own = [c for c in range(0x80, 0x1F000) if unicodedata.category(chr(c)) in ("Ll", "Lt") and chr(c).upper() == chr(c)]
+    first = [c for c in own if c - 1 not in set(own)]
+    last = [c for c in own if c + 1 not in set(own)]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(first, last, strict=True))
+
+
+#: A letter that is its own capital; an apostrophe inside a word (between letters or digits, or after an s).
+_CAPITAL = rf"[\p{{L}}&&[^\p{{Ll}}\p{{Lt}}]{_caseless()}]"
+_JOIN = r"(?<=[\p{L}\p{N}])['’](?=[\p{L}\p{N}])|(?<=[sSſ])['’]"
+#: A long run of letters and digits mixed, whole.
+_LITERAL = rf"(?<!\S)(?=\S{{{LITERAL_CHARS}}})(?=[^\s\p{{L}}]*+\p{{L}})(?=[^\s\p{{Nd}}]*+\p{{Nd}})\S++"
+#: One letter of an acronym: the first of two capitals or more that are a whole word, or the next after such a letter.
+_LETTER = rf"(?:(?<!\p{{L}})(?={_CAPITAL}{{2,}}+(?!\p{{L}}|{_JOIN}))|\G(?<={_CAPITAL})){_CAPITAL}"
+_WORD = rf"(?=['’]?\p{{L}})(?:\p{{L}}|{_JOIN})++"
+#: The whole grammar as one expression, so a text is read once and without lambdas; group 1 is a letter of an acronym.
+_TOKEN = rf"(?U)(?:{_LITERAL}|({_LETTER})|{_EMOJI_RUN}|{_WORD}|[^\s\p{{L}}'’])"
+_LONE_EMOJI = rf"(?<![^ ])(?:{_EMOJI_RUN})(?![^ ])"
 
 
 def _all(s: Column, pattern: str) -> Column:
@@ -22,7 +43,7 @@ def _all(s: Column, pattern: str) -> Column:
 def paragraphs(text: Column) -> Column:
     """Blank-line separated parts in order, line ends made uniform; blank parts are dropped. Null text: none."""
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    return F.filter(F.split(flat, r"\n\s*\n+"), lambda p: F.length(F.trim(F.regexp_replace(p, r"\s+", " "))) > 0)
+    return F.filter(F.split(flat, r"\n\s*\n+"), lambda p: p.rlike(r"\S"))
 
 
 def is_literal(run: Column) -> Column:
@@ -38,31 +59,45 @@ def identity(surface: Column) -> Column:
     return F.lower(F.translate(surface, "‘’", "''"))
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<anchor, surface, kind, count_eligible>> of a text in reading order."""
+def surfaces(text: Column) -> Column:
+    """array<string>: the tokens of a text as they stand, in reading order. Null text: none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
+
 
-    def row(anchor: Column, surface: Column, kind: str, counted: bool) -> Column:
-        return F.struct(anchor.alias("anchor"), surface.alias("surface"), F.lit(kind).alias("kind"), F.lit(counted).alias("count_eligible"))
+def acronym_letters(text: Column) -> Column:
+    """For each token of ``surfaces`` itself if it is a letter of an acronym, else the empty string."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(1))
 
-    def piece(p: Column) -> Column:
-        return (
-            F.when(is_acronym(p), F.transform(_all(p, "(?s)."), lambda c: row(identity(c), c, "letter", True)))
-            .when(p.rlike(f"^(?:{_EMOJI_RUN})$"), F.array(row(F.lit(EMOJI), p, "emoji", True)))
-            .when(p.rlike(r"^\p{L}"), F.array(row(identity(p), p, "word", True)))
-            .when(p.rlike(r"^\p{Nd}$"), F.array(row(p, p, "digit", True)))
-            .otherwise(F.array(row(identity(p), p, "symbol", True)))
-        )
 
-    def run(r: Column) -> Column:
-        pieces = F.filter(_all(r, _PIECE), lambda p: ~p.rlike("^['’]+$"))
-        return F.when(is_literal(r), F.array(row(identity(r), r, "string_literal", False))).otherwise(F.flatten(F.transform(pieces, piece)))
+def anchors(surface: Column) -> Column:
+    """array<string>: the identities of an array of surfaces, which hold no blanks; emoji are one."""
+    joined = identity(F.array_join(surface, " "))
+    named = F.when(joined.rlike(_EMOJI_RUN), F.regexp_replace(joined, _LONE_EMOJI, EMOJI)).otherwise(joined)
+    return F.when(F.size(surface) == 0, F.array().cast("array<string>")).otherwise(F.split(named, " "))
 
-    return F.flatten(F.transform(_all(F.coalesce(text, F.lit("")), r"(?U)\S+"), run))
+
+def eligible(anchor: Column) -> Column:
+    """Whether a token takes part in counts. Of all tokens only literals are long and hold a digit."""
+    return ~((F.char_length(anchor) >= LITERAL_CHARS) & anchor.rlike(r"\p{Nd}"))
+
+
+def kind(anchor: Column, surface: Column, letter: Column) -> Column:
+    return (
+        F.when(~eligible(surface), "string_literal").when(letter != "", "letter").when(anchor == EMOJI, "emoji").when(surface.rlike(r"^\p{L}"), "word")
+        .when(surface.rlike(r"^\p{Nd}$"), "digit").otherwise("symbol")
+    )
+
+
+def tokens(text: Column) -> Column:
+    """array<struct<anchor, surface, kind, count_eligible>> of a text in reading order."""
+    seen = surfaces(text)
+    rows = F.arrays_zip(anchors(seen).alias("anchor"), seen.alias("surface"), acronym_letters(text).alias("letter"))
+    return F.transform(rows, lambda t: F.struct(t.anchor.alias("anchor"), t.surface.alias("surface"), kind(t.anchor, t.surface, t.letter).alias("kind"), eligible(t.surface).alias("count_eligible")))
 
 
 def atomic(anchor: Column) -> Column:
     """A token taken apart to digits, letters of acronyms and single marks; words stay whole."""
-    return F.transform(tokens(anchor), lambda t: t.anchor)
+    return anchors(surfaces(anchor))
 
 
 def decomposed(anchors: Column, chosen: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import casefold, tokens
+from tessera.functions.text import anchors, casefold, surfaces
+from tessera.operators.relations import spread
 
 # Words that join others rather than carry content.
 GLUE = "a an and are as at be by for from how in is it of on or that the this to what when where which who why with".split()
@@ -16,20 +17,37 @@ def surface_token(a: Column) -> Column:
     return (a != "__null__") & ~(a.startswith("u") & (F.char_length(a) >= 8)) & a.rlike(r"[\p{L}\p{N}]")
 
 
+#: Tokens that can't stand in a phrase, between single blanks; what ``surface_token`` says of one token.
+_NOT_SURFACE = r"(?<![^ ])(?:__null__|u[^ ]{7,}|[^\p{L}\p{N} ]+)(?![^ ])"
+
+
 def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """source_id and the case-folded phrase tokens of each text."""
-    folded = F.transform(tokens(F.col(text_col)), lambda t: casefold(t.anchor))
-    return docs.select(F.col(id_col).alias("source_id"), F.filter(folded, surface_token).alias("stream"))
+    read = spread(docs.select(F.col(id_col).alias("source_id"), F.col(text_col).alias("text"))).select("source_id", surfaces(F.col("text")).alias("s"))
+    folded = casefold(F.array_join(anchors(F.col("s")), " "))
+    kept = F.trim(F.regexp_replace(F.regexp_replace(folded, _NOT_SURFACE, ""), " +", " "))
+    return read.select("source_id", kept.alias("k")).select("source_id", F.when(F.col("k") == "", F.array().cast("array<string>")).otherwise(F.split("k", " ")).alias("stream"))
 
 
 def ngrams(stream_rows: DataFrame, low: int = 2, high: int = 5) -> DataFrame:
-    """One row for each occurrence of an n-gram that isn't all glue: source_id, phrase, n, left, right."""
-    size = F.size("stream")
-    at = stream_rows.where(size >= low).select("source_id", "stream", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), size))).alias("n"))
-    spans = at.select("source_id", "stream", "n", F.explode(F.sequence(F.lit(1), F.size("stream") - F.col("n") + 1)).alias("i"))
-    gram = F.slice("stream", F.col("i"), F.col("n"))
-    rows = spans.select("source_id", "n", gram.alias("gram"), F.coalesce(F.get("stream", F.col("i") - 2), F.lit("<START>")).alias("left"), F.coalesce(F.get("stream", F.col("i") + F.col("n") - 1), F.lit("<END>")).alias("right"))
-    return rows.where(~F.forall("gram", lambda t: t.isin(GLUE))).select("source_id", F.array_join("gram", " ").alias("phrase"), "n", "left", "right")
+    """One row for each occurrence of an n-gram that isn't all glue: source_id, phrase, n, left, right.
+
+    A position meets its few spans in a second generator of the same stage, so the stream itself is never copied.
+    """
+    x, at = F.col("stream"), F.col("i")
+    begun = stream_rows.select("source_id", x, F.posexplode_outer("stream").alias("i", "w")).where(F.col("w").isNotNull())
+    content = lambda j: ~F.get(x, at + j).isin(GLUE)
+
+    def span(n: int) -> Column:
+        some = content(0)
+        for j in range(1, n):
+            some = some | content(j)
+        phrase = F.when((at + n <= F.size(x)) & some, F.array_join(F.slice(x, at + 1, F.lit(n)), " "))
+        return F.struct(phrase.alias("phrase"), F.lit(n).alias("n"), F.coalesce(F.get(x, at + n), F.lit("<END>")).alias("right"))
+
+    left = F.coalesce(F.get(x, at - 1), F.lit("<START>")).alias("left")
+    rows = begun.select("source_id", left, F.inline(F.array(*map(span, range(low, high + 1)))))
+    return rows.where(F.col("phrase").isNotNull()).select("source_id", "phrase", "n", "left", "right")
 
 
 def candidates(grams: DataFrame, min_count: int = 2) -> DataFrame:

@@ -5,39 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import paragraphs, tokens
+from tessera.functions.text import acronym_letters, anchors, eligible, kind, paragraphs, surfaces
 
 RADIUS = 6
 
 
-def paragraph_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """source_id, paragraph_id (from 0) and the tokens of each paragraph."""
-    parts = docs.select(F.col(id_col).alias("source_id"), F.posexplode(paragraphs(F.col(text_col))).alias("paragraph_id", "text"))
-    return parts.select("source_id", "paragraph_id", tokens(F.col("text")).alias("toks"))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt over the cores where the scan has fewer splits than there are cores, so one row group isn't one task.
+
+    Only rows as they are read are moved, before anything is derived from them; a scan with splits enough isn't touched.
+    With ``keys`` rows are dealt by them in any case: what is later grouped by these keys and others needs no shuffle.
+    """
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if keys:
+        return df.repartition(max(cores * 2, splits), *keys)
+    return df.repartition(cores * 2) if splits < cores else df
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("source_id"), F.col(text_col).alias("text"))
+    return spread(rows, "source_id") if whole else spread(rows)
+
+
+def paragraph_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """source_id, paragraph_id (from 0) and the token identities of each paragraph as an array. ``whole``: dealt by source."""
+    parts = _texts(docs, id_col, text_col, whole).select("source_id", F.posexplode_outer(paragraphs(F.col("text"))).alias("paragraph_id", "text")).where(F.col("text").isNotNull())
+    return parts.select("source_id", "paragraph_id", surfaces(F.col("text")).alias("s")).select("source_id", "paragraph_id", anchors(F.col("s")).alias("anchors"))
 
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each token: source_id, paragraph_id, position, anchor, surface, kind, count_eligible."""
-    rows = paragraph_tokens(docs, id_col, text_col).select("source_id", "paragraph_id", F.posexplode("toks").alias("position", "t"))
-    return rows.select("source_id", "paragraph_id", "position", "t.anchor", "t.surface", "t.kind", "t.count_eligible")
+    parts = spread(docs.select(F.col(id_col).alias("source_id"), F.col(text_col).alias("text"))).select("source_id", F.posexplode_outer(paragraphs(F.col("text"))).alias("paragraph_id", "text")).where(F.col("text").isNotNull())
+    read = parts.select("source_id", "paragraph_id", surfaces(F.col("text")).alias("surface"), acronym_letters(F.col("text")).alias("letter"))
+    zipped = F.arrays_zip(anchors(F.col("surface")).alias("anchor"), F.col("surface"), F.col("letter"))
+    rows = read.select("source_id", "paragraph_id", F.posexplode_outer(zipped).alias("position", "t")).where(F.col("t").isNotNull()).select("source_id", "paragraph_id", "position", "t.*")
+    return rows.select("source_id", "paragraph_id", "position", "anchor", "surface", kind(F.col("anchor"), F.col("surface"), F.col("letter")).alias("kind"), eligible(F.col("surface")).alias("count_eligible"))
+
+
+def placed_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """source_id, paragraph_id, position, anchor, count_eligible: token_rows without surfaces and kinds, at half the work."""
+    rows = paragraph_anchors(docs, id_col, text_col).select("source_id", "paragraph_id", F.posexplode_outer("anchors").alias("position", "anchor")).where(F.col("anchor").isNotNull())
+    return rows.withColumn("count_eligible", eligible(F.col("anchor")))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return token_rows(docs, id_col, text_col).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    """anchor, n over all documents; tokens never reach across a line end, so paragraphs aren't cut."""
+    read = spread(docs.select(F.col(text_col).alias("text"))).select(surfaces(F.col("text")).alias("s"))
+    return read.select(F.explode_outer(anchors(F.col("s"))).alias("anchor")).where(F.col("anchor").isNotNull()).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
-def band(rows: DataFrame, keys: list[str], value: Column, counted: Column, array_col: str = "toks", radius: int = RADIUS) -> DataFrame:
+def band(rows: DataFrame, keys: list[str], counted, array_col: str = "anchors", radius: int = RADIUS) -> DataFrame:
     """keys, left, distance, right, n for all pairs of counted elements of an array at distance 1..radius.
 
     Only pairs to the right are laid out and counted; ``both_ways`` adds the mirror image after aggregation, which halves
-    what is shuffled. Elements that aren't counted keep their place.
+    what is shuffled. Elements that aren't counted keep their place. Positions and partners come from two generators in
+    one stage of generated code, so a pair is a row only on its way into the partial aggregation. Generators here are outer
+    ones: for an inner one the optimizer adds a filter on the array's size, which works the whole text out once more.
     """
-    items = F.transform(F.col(array_col), lambda t: F.when(counted(t), value(t)))
-    slim = rows.select(*keys, items.alias("__x")).where(F.size("__x") > 1)
-    far = slim.select(*keys, "__x", F.explode(F.sequence(F.lit(1), F.least(F.lit(radius), F.size("__x") - 1))).alias("distance"))
-    zipped = F.arrays_zip(F.slice("__x", F.lit(1), F.size("__x") - F.col("distance")).alias("left"), F.slice("__x", F.col("distance") + 1, F.size("__x")).alias("right"))
-    pairs = far.select(*keys, "distance", F.explode(zipped).alias("p")).select(*keys, "distance", "p.left", "p.right")
-    return pairs.where("left is not null and right is not null").groupBy(*keys, "left", "distance", "right").agg(F.count(F.lit(1)).alias("n"))
+    x = F.col(array_col)
+    left = rows.select(*keys, x, F.posexplode_outer(x).alias("__at", "left")).where(F.col("left").isNotNull() & counted(F.col("left")))
+    partners = F.inline(F.array(*(F.struct(F.lit(d).alias("distance"), F.get(x, F.col("__at") + d).alias("right")) for d in range(1, radius + 1))))
+    pairs = left.select(*keys, "left", partners)
+    return pairs.where(F.col("right").isNotNull() & counted(F.col("right"))).groupBy(*keys, "left", "distance", "right").agg(F.count(F.lit(1)).alias("n"))
 
 
 def both_ways(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,53 +75,67 @@ def both_ways(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, side.alias("s"), F.col("n").alias("observations")).select(*keys, "s.anchor", "s.offset", "s.neighbor", "observations")
 
 
-def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """source_id, anchor, offset, neighbor, observations; windows end at paragraphs."""
-    rows = paragraph_tokens(docs, id_col, text_col)
-    return both_ways(band(rows, ["source_id"], lambda t: t.anchor, lambda t: t.count_eligible, radius=radius), ["source_id"])
+def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, whole: bool = True) -> DataFrame:
+    """source_id, anchor, offset, neighbor, observations; windows end at paragraphs.
+
+    Texts are dealt by source, which moves the text once and no pair ever; ``whole=False`` is for ids that hold a large
+    share of all text, whose pairs are counted where they are read and then shuffled.
+    """
+    return both_ways(band(paragraph_anchors(docs, id_col, text_col, whole), ["source_id"], eligible, radius=radius), ["source_id"])
 
 
 def corpus_relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """anchor, offset, neighbor, observations over all documents, without a per-document step in between."""
-    rows = paragraph_tokens(docs, id_col, text_col)
-    return both_ways(band(rows, [], lambda t: t.anchor, lambda t: t.count_eligible, radius=radius), [])
+    return both_ways(band(paragraph_anchors(docs, id_col, text_col), [], eligible, radius=radius), [])
 
 
 def resolved_relations(paragraphs_df: DataFrame, radius: int = RADIUS) -> DataFrame:
     """As relations(), from rows (source_id, anchors, resolved, eligible arrays): the root is the resolved token, the
     neighbour the observed one, so both are kept until the sides are laid out. '__NULL__' roots are no roots or neighbours."""
-    zipped = F.arrays_zip("anchors", "resolved", "eligible")
-    rows = paragraphs_df.select("source_id", zipped.alias("toks"))
-    pairs = band(rows, ["source_id"], lambda t: F.struct(t.anchors.alias("o"), t.resolved.alias("r")), lambda t: t.eligible & (t.resolved != "__NULL__"), radius=radius)
-    side = F.explode(F.array(F.struct(F.col("left.r").alias("anchor"), F.col("distance").cast("int").alias("offset"), F.col("right.o").alias("neighbor")), F.struct(F.col("right.r").alias("anchor"), (-F.col("distance")).cast("int").alias("offset"), F.col("left.o").alias("neighbor"))))
+    rows = paragraphs_df.select("source_id", F.arrays_zip("anchors", "resolved", "eligible").alias("toks"))
+    pairs = band(rows, ["source_id"], lambda t: t.eligible & (t.resolved != "__NULL__"), "toks", radius)
+    side = F.explode(F.array(F.struct(F.col("left.resolved").alias("anchor"), F.col("distance").cast("int").alias("offset"), F.col("right.anchors").alias("neighbor")), F.struct(F.col("right.resolved").alias("anchor"), (-F.col("distance")).cast("int").alias("offset"), F.col("left.anchors").alias("neighbor"))))
     flat = pairs.select("source_id", side.alias("s"), "n").select("source_id", "s.*", "n")
     return flat.groupBy("source_id", "anchor", "offset", "neighbor").agg(F.sum("n").alias("observations"))
 
 
 def line_relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Relations whose windows end at lines."""
-    lines = docs.select(F.col(id_col).alias("source_id"), F.explode(F.split(F.col(text_col), "\r\n|\r|\n")).alias("text"))
-    rows = lines.select("source_id", tokens(F.col("text")).alias("toks"))
-    return both_ways(band(rows, ["source_id"], lambda t: t.anchor, lambda t: t.count_eligible), ["source_id"])
+    lines = _texts(docs, id_col, text_col, True).select("source_id", F.explode(F.split(F.col("text"), "\r\n|\r|\n")).alias("text"))
+    rows = lines.select("source_id", surfaces(F.col("text")).alias("s")).select("source_id", anchors(F.col("s")).alias("anchors"))
+    return both_ways(band(rows, ["source_id"], eligible), ["source_id"])
 
 
 def stream_relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Relations whose windows cross paragraphs: a document is one stream."""
-    rows = docs.select(F.col(id_col).alias("source_id"), tokens(F.col(text_col)).alias("toks"))
-    return both_ways(band(rows, ["source_id"], lambda t: t.anchor, lambda t: t.count_eligible), ["source_id"])
+    rows = _texts(docs, id_col, text_col, True).select("source_id", surfaces(F.col("text")).alias("s")).select("source_id", anchors(F.col("s")).alias("anchors"))
+    return both_ways(band(rows, ["source_id"], eligible), ["source_id"])
 
 
-def sequence_relations(stream: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Relations of a symbol stream (ordinal, symbol, lane, flags, starts, blocked): a start opens a sequence; blocked
-    symbols keep their place. Keys also carry the neighbour's lane and flags and the root's lane."""
-    from pyspark.sql import Window as W
+def sequence_relations(stream: DataFrame, radius: int = RADIUS, piece: int = 4096) -> DataFrame:
+    """Relations of a symbol stream (stream_id, ordinal, symbol, lane, flags, starts, blocked): a start opens a sequence;
+    blocked symbols keep their place. Keys also carry the neighbour's lane and flags and the root's lane.
 
-    # one stream is one ordered file; streams are separate partitions by stream_id
-    seq = stream.withColumn("sequence", F.sum(F.col("starts").cast("int")).over(W.partitionBy("stream_id").orderBy("ordinal")))
-    rows = seq.groupBy("stream_id", "sequence").agg(F.array_sort(F.collect_list(F.struct("ordinal", "symbol", "lane", "flags", "blocked"))).alias("toks"))
-    pairs = band(rows, ["stream_id"], lambda t: F.struct(t.symbol.alias("symbol"), t.lane.alias("lane"), t.flags.alias("flags")), lambda t: ~t.blocked, radius=radius)
+    Ordinals of a stream are consecutive. A stream is cut into pieces of ``piece`` records, each with the ``radius`` records
+    after it, so a long stream is many small groups.
+    """
+    at = F.floor(F.col("ordinal") / piece)
+    own = F.explode(F.array_compact(F.array(at, F.when((F.col("ordinal") % piece < radius) & (at > 0), at - 1)))).alias("piece")
+    cut = stream.select("stream_id", own, F.struct("ordinal", "symbol", "lane", "flags", "starts", "blocked").alias("t"))
+    rows = cut.groupBy("stream_id", "piece").agg(F.array_sort(F.collect_list("t")).alias("toks"))
+    left = rows.select("piece", "toks", F.posexplode("toks").alias("__at", "left")).where((F.floor(F.col("left.ordinal") / piece) == F.col("piece")) & ~F.col("left.blocked"))
+
+    def partner(d: int) -> Column:
+        right, opened = F.get("toks", F.col("__at") + d), F.lit(False)
+        for j in range(1, d + 1):
+            opened = opened | F.coalesce(F.get("toks", F.col("__at") + j)["starts"], F.lit(True))
+        return F.struct(F.lit(d).alias("distance"), F.when(~opened & ~right.blocked, right).alias("right"))
+
+    pairs = left.select("left", F.inline(F.array(*map(partner, range(1, radius + 1))))).where(F.col("right").isNotNull())
+    one = pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("left", "right") for c in ("symbol", "lane", "flags")), "distance")
+    n = one.groupBy(*one.columns).agg(F.count(F.lit(1)).alias("n"))
 
     def side(a: str, b: str, sign: int) -> Column:
-        return F.struct(F.col(f"{a}.symbol").alias("root"), F.col(f"{a}.lane").alias("root_lane"), (F.col("distance") * sign).cast("int").alias("offset"), F.col(f"{b}.symbol").alias("neighbor"), F.col(f"{b}.lane").alias("lane"), F.col(f"{b}.flags").alias("flags"))
+        return F.struct(F.col(f"{a}_symbol").alias("root"), F.col(f"{a}_lane").alias("root_lane"), (F.col("distance") * sign).cast("int").alias("offset"), F.col(f"{b}_symbol").alias("neighbor"), F.col(f"{b}_lane").alias("lane"), F.col(f"{b}_flags").alias("flags"))
 
-    return pairs.select(F.explode(F.array(side("left", "right", 1), side("right", "left", -1))).alias("s"), "n").select("s.*", "n").groupBy("root", "root_lane", "offset", "neighbor", "lane", "flags").agg(F.sum("n").alias("count"))
+    return n.select(F.explode(F.array(side("left", "right", 1), side("right", "left", -1))).alias("s"), "n").select("s.*", "n").groupBy("root", "root_lane", "offset", "neighbor", "lane", "flags").agg(F.sum("n").alias("count"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import search_terms, tokens
+from tessera.functions.text import anchors, search_terms, surfaces
 
 
 def _places(anchors: Column, token: str) -> Column:
@@ -37,7 +37,7 @@ def proximity_span(anchors: Column, query: list[str]) -> Column:
 
 def evidence(blocks: DataFrame, query: list[str], per_source: int = 8, k: int = 12, proximity: bool = True) -> DataFrame:
     """source_id, block_id, hits, score: blocks by hundred points a token hit, hit density and closeness."""
-    own = blocks.withColumn("anchors", F.transform(tokens(F.col("text")), lambda t: t.anchor))
+    own = blocks.withColumn("__s", surfaces(F.col("text"))).withColumn("anchors", anchors(F.col("__s"))).drop("__s")
     distinct = F.array_distinct("anchors")
     hits = F.array_sort(F.array_intersect(distinct, F.array(*map(F.lit, dict.fromkeys(query)))))
     rows = own.withColumns({"hits": hits, "n": F.greatest(F.lit(1), F.size(distinct))}).where(F.size("hits") > 0)

@@ -28,7 +28,7 @@ def docs(spark, sf):
 
 
 def known(spark, sf):
-    own = relations.token_rows(table(spark, sf, "benchmark"), "item_id").select("anchor").distinct()
+    own = relations.placed_anchors(table(spark, sf, "benchmark"), "item_id").select("anchor").distinct()
     return lexicon.allocate(own)
 
 
@@ -38,7 +38,7 @@ def grids(spark, sf):
 
 def cell_rows(spark, sf):
     """Relations of each source as count cells, the source's number as lane."""
-    rel = relations.relations(docs(spark, sf).select(F.col("source").alias("doc_id"), "text"))
+    rel = relations.relations(docs(spark, sf).select(F.col("source").alias("doc_id"), "text"), whole=False)
     lane = F.regexp_extract("source_id", r"(\d+)$", 1).cast("int") % 5
     return rel.select(F.col("anchor").alias("root"), F.lit(0).alias("root_lane"), "offset", "neighbor", lane.alias("lane"), F.lit(0).alias("flags"), F.col("observations").alias("count"))
 
@@ -91,7 +91,7 @@ COUNTS = "cnt AS (SELECT anchor, count(*)::BIGINT AS n FROM toks GROUP BY anchor
 
 @query("p2_tokens", f"WITH {TOKS} SELECT source_id, pos AS position, anchor, eligible AS count_eligible FROM toks")
 def _(spark, sf):
-    return relations.token_rows(docs(spark, sf)).select("source_id", F.col("position").cast("long").alias("position"), "anchor", "count_eligible")
+    return relations.placed_anchors(docs(spark, sf)).select("source_id", F.col("position").cast("long").alias("position"), "anchor", "count_eligible")
 
 
 @query("a1_token_counts", f"WITH {TOKS}, {COUNTS} SELECT * FROM cnt")
@@ -260,7 +260,7 @@ def _(spark, sf):
     SELECT DISTINCT source_id, toks.anchor, CASE WHEN symbol IS NULL THEN '0xF' || upper(left(sha1(source_id::VARCHAR || chr(10) || toks.anchor), 9))
         ELSE '0x' || lpad(upper(to_hex(symbol)), 10, '0') END AS symbol, symbol IS NOT NULL AS known FROM toks LEFT JOIN lex ON lex.anchor = toks.anchor""")
 def _(spark, sf):
-    return lexicon.symbol_table(relations.token_rows(docs(spark, sf)), known(spark, sf))
+    return lexicon.symbol_table(relations.placed_anchors(docs(spark, sf)), known(spark, sf))
 
 
 @query("j14_fates", f"""WITH {TOKS}, {PAIRS}, {KNOWN}
@@ -319,7 +319,7 @@ def _(spark, sf):
 
 @query("a19_registry", f"""WITH {TOKS} SELECT anchor, count(*)::BIGINT AS observations, min(source_id) AS first_seen, max(source_id) AS last_seen FROM toks GROUP BY anchor""")
 def _(spark, sf):
-    rows = relations.token_rows(docs(spark, sf)).select("anchor", F.lit(1).cast("long").alias("observations"), F.col("source_id").alias("first_seen"), F.col("source_id").alias("last_seen"))
+    rows = relations.placed_anchors(docs(spark, sf)).select("anchor", F.lit(1).cast("long").alias("observations"), F.col("source_id").alias("first_seen"), F.col("source_id").alias("last_seen"))
     return lexicon.registry_upsert(rows.where("first_seen % 2 = 0"), rows.where("first_seen % 2 <> 0"))
 
 

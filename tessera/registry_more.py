@@ -29,12 +29,12 @@ def _(spark, sf):
 
 @query("p10_atomic")
 def _(spark, sf):
-    return relations.token_rows(table(spark, sf, "benchmark"), "item_id").select("anchor").distinct().select("anchor", F.array_join(X.atomic(F.col("anchor")), " ").alias("atoms"))
+    return relations.placed_anchors(table(spark, sf, "benchmark"), "item_id").select("anchor").distinct().select("anchor", F.array_join(X.atomic(F.col("anchor")), " ").alias("atoms"))
 
 
 @query("p12_inventory", f"WITH {TOKS} SELECT source_id, count(*)::BIGINT AS tokens, count(DISTINCT anchor)::BIGINT AS kinds, count_if(eligible)::BIGINT AS counted FROM toks GROUP BY source_id")
 def _(spark, sf):
-    return relations.token_rows(docs(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("anchor").alias("kinds"), F.count_if("count_eligible").alias("counted"))
+    return relations.placed_anchors(docs(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("anchor").alias("kinds"), F.count_if("count_eligible").alias("counted"))
 
 
 @query("p13_leaders", "SELECT doc_id, regexp_replace(text, '[─-╿]+', ' ', 'g') AS text FROM documents")
@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("p18_occurrences", f"WITH {TOKS} SELECT source_id, pos AS position, anchor, 'occ_' || left(sha256(source_id::VARCHAR || '::0::' || pos::VARCHAR || '::' || anchor), 16) AS occurrence_id FROM toks")
 def _(spark, sf):
-    rows = relations.token_rows(docs(spark, sf))
+    rows = relations.placed_anchors(docs(spark, sf))
     return rows.select("source_id", F.col("position").cast("long").alias("position"), "anchor", X.stable_id("occ", F.col("source_id"), F.col("paragraph_id"), F.col("position"), F.col("anchor")).alias("occurrence_id"))
 
 
@@ -121,7 +121,7 @@ def _(spark, sf):
 
 @query("h6_temp_symbols", f"""WITH {TOKS} SELECT DISTINCT source_id, anchor, 'U' || upper(left(sha256('v1::' || source_id::VARCHAR || '::' || anchor || '::0'), 11)) AS symbol FROM toks""")
 def _(spark, sf):
-    return lexicon.temp_symbols(relations.token_rows(docs(spark, sf))).select("source_id", "anchor", "symbol")
+    return lexicon.temp_symbols(relations.placed_anchors(docs(spark, sf))).select("source_id", "anchor", "symbol")
 
 
 @query("h8_phrase_ids", f"""WITH {TOKS}, {_GRAMS} SELECT phrase, '0x' || upper(left(sha256(array_to_string(g, chr(31)) || chr(30) || array_to_string(g, chr(31))), 10)) AS phrase_id FROM cand""")
@@ -133,7 +133,7 @@ def _(spark, sf):
 @query("j23_match_phrase")
 def _(spark, sf):
     top = phrases.candidates(phrases.ngrams(phrases.streams(docs(spark, sf)), 3, 4), 5).select(F.col("phrase").alias("phrase_id"), F.split("phrase", " ").alias("sequence"))
-    asked = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.transform(X.tokens(F.col("text")), lambda t: t.anchor).alias("anchors"))
+    asked = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), X.anchors(X.surfaces(F.col("text"))).alias("anchors"))
     return inference.match_phrase(asked, top)
 
 
@@ -171,13 +171,13 @@ def _(spark, sf):
 
 @query("a23_verify", f"WITH {TOKS} SELECT count(*)::BIGINT AS rows_n, count(DISTINCT anchor)::BIGINT AS kinds, (count(*) - count(DISTINCT anchor))::BIGINT AS duplicates FROM toks")
 def _(spark, sf):
-    rows = relations.token_rows(docs(spark, sf))
+    rows = relations.placed_anchors(docs(spark, sf))
     return rows.agg(F.count(F.lit(1)).alias("rows_n"), F.count_distinct("anchor").alias("kinds"), (F.count(F.lit(1)) - F.count_distinct("anchor")).alias("duplicates"))
 
 
 @query("z2_positions", f"WITH {TOKS} SELECT anchor, min(source_id * 1000000 + pos)::BIGINT AS first_at, count(*)::BIGINT AS n FROM toks GROUP BY anchor")
 def _(spark, sf):
-    rows = relations.token_rows(docs(spark, sf)).withColumn("at", F.col("source_id") * 1000000 + F.col("position"))
+    rows = relations.placed_anchors(docs(spark, sf)).withColumn("at", F.col("source_id") * 1000000 + F.col("position"))
     return rows.groupBy("anchor").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
 
 
