@@ -27,6 +27,8 @@ from tessera.llm.store import small_batches, stash
 from tessera.llm.textnp import SECOND_TABLE, U, batch_bytes, lowered, mix, slices, span_hashes, words
 
 SLOTS = 4
+#: So many line keys, over the threshold or not, have a shard of their own.
+SHARD_KEYS = 500_000
 
 
 class CuckooFilter:
@@ -45,7 +47,7 @@ class CuckooFilter:
         size = len(hashes)
         while True:
             new = cls.sized(size)
-            if all(new.insert(int(h)) for h in hashes):
+            if new.insert_all(hashes):
                 return new
             size *= 2
 
@@ -85,15 +87,36 @@ class CuckooFilter:
             self.buckets[at, slot] = was
         return False
 
-    def delete(self, key: int) -> bool:
-        """Take out one copy of a key that was inserted."""
-        mark, a, b = (x[0] for x in self._places(np.array([key], U)))
-        for bucket in (int(a), int(b)):
-            held = np.flatnonzero(self.buckets[bucket] == mark)
-            if len(held):
-                self.buckets[bucket, held[0]] = 0
-                return True
-        return False
+    def insert_all(self, hashes: np.ndarray) -> bool:
+        """Many keys at once: rounds in which keys take the free slots of one of their buckets, then of the other; those
+        that find none move others. False if one has no room; the filter is of no use then."""
+        mark, a, b = self._places(hashes)
+        left = np.arange(len(mark))
+        for choice in (a, b):
+            at = choice[left].astype(np.int64)
+            by = np.argsort(at, kind="stable")
+            left, at = left[by], at[by]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            free = np.argsort(self.buckets[at] != 0, axis=1, kind="stable")
+            fits = rank < (self.buckets[at] == 0).sum(axis=1)
+            self.buckets[at[fits], free[fits, rank[fits]]] = mark[left[fits]]
+            left = left[~fits]
+        keys = np.asarray(hashes, U)
+        return all(self.insert(int(keys[k])) for k in left)
+
+    def delete_all(self, hashes: np.ndarray) -> None:
+        """Take out one copy of each key; all were inserted before."""
+        mark, a, b = self._places(hashes)
+        left = np.arange(len(mark))
+        while len(left):
+            here = self.buckets[a[left]] == mark[left, None]
+            at = np.where(here.any(axis=1), a[left], b[left]).astype(np.int64)
+            held = self.buckets[at] == mark[left, None]
+            known = held.any(axis=1)
+            left, flat = left[known], at[known] * SLOTS + held[known].argmax(axis=1)
+            flat, own = np.unique(flat, return_index=True)
+            self.buckets.reshape(-1)[flat] = 0
+            left = np.delete(left, own)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         mark, a, b = self._places(hashes)
@@ -156,9 +179,8 @@ def _refilter(filters: pa.Table, moves: pa.Table) -> pa.Table:
     now = CuckooFilter.from_bytes(filters.column("filter")[0].as_py()) if filters.num_rows else CuckooFilter.of(keys[up])
     fits = True
     if filters.num_rows:
-        for k in keys[~up]:
-            now.delete(int(k))
-        fits = all(now.insert(int(k)) for k in keys[up])
+        now.delete_all(keys[~up])
+        fits = now.insert_all(keys[up])
     return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([now.to_bytes()], pa.binary()), "held": pa.array([held + int(up.sum()) - int((~up).sum())], pa.int64()), "full": pa.array([not fits], pa.bool_())})
 
 
@@ -234,9 +256,8 @@ class LineIndex:
         if lines is None:
             lines = line_counts(docs, text_col, min_chars)
         merged = stash(_merged(docs.sparkSession, lines, None, 1))
-        shards = max(16, math.ceil(merged.count() / 500_000))
         empty = docs.sparkSession.createDataFrame([], "shard int, filter binary, held long")
-        return cls(merged, empty, shards, min_docs, min_chars, text_col)._settled(merged)
+        return cls(merged, empty, 0, min_docs, min_chars, text_col)._settled(merged)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """With the documents' lines counted in."""
@@ -250,7 +271,15 @@ class LineIndex:
         return df.withColumn("shard", F.pmod("h2", F.lit(self.shards)).cast("int"))
 
     def _settled(self, merged: DataFrame) -> LineIndex:
+        """Filters brought up to the new counts. Shards double with the keys, and are then filled anew from the counts."""
+        keys, shards = merged.count(), max(16, self.shards)
+        while keys > shards * SHARD_KEYS:
+            shards *= 2
         over, before = F.col("n") >= self.min_docs, F.col("was") >= self.min_docs
+        if shards != self.shards:
+            none = self.filters.sparkSession.createDataFrame([], "shard int, filter binary, held long")
+            self = LineIndex(self.refs, none, shards, self.min_docs, self.min_chars, self.text_col)
+            before = F.lit(False)
         moves = self._shard(merged.where(over != before)).select("shard", "h1", over.alias("up"))
         step = stash(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(_refilter, "shard int, filter binary, held long, full boolean"))
         refs = merged.where("n > 0").select("h1", "h2", "n")
@@ -265,7 +294,8 @@ class LineIndex:
         """The documents without the lines whose key at least min_docs counted documents hold; n_lines, n_dropped.
 
         Null text counts as one empty line and comes back empty. Every other column stays as it is, but columns named
-        n_lines or n_dropped give way. A document that loses all lines has an empty text.
+        n_lines or n_dropped give way. A document that loses all lines has an empty text. Every row is a document of its
+        own: rows that repeat a doc_id, or are equal in all, count as often as they stand there.
         """
         n = n_blocks or block_count(docs, self.text_col)
         if lines is None:

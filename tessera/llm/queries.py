@@ -115,17 +115,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT low.vec_id, coalesce(deg.n, 0)::BIGINT AS n_links, component_id, low.vec_id = component_id AS kept
         FROM low LEFT JOIN deg ON low.vec_id = deg.vec_id""",
     "op4_line_dedup": r"""
-        WITH lines AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
-            FROM documents),
+        WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        lines AS (
+            SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+            FROM docs),
         keyed AS (
             SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
             FROM lines),
-        common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+        common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT rid) >= 10)
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(common.k)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE common.k IS NULL), '')) AS kept_sha256
         FROM keyed LEFT JOIN common ON keyed.k = common.k
-        GROUP BY doc_id""",
+        GROUP BY rid, doc_id""",
 }

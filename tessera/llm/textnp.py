@@ -2,6 +2,8 @@
 
 A word is a maximal run of bytes outside ``0x20, 0x09-0x0D``; ASCII capitals are folded. Word identity is a 64-bit
 hash, shingle identity a 64-bit hash of an ordered run of word hashes (chance of any clash among n values: n^2 / 2^65).
+A span's hash adds a random number for each (place, byte), so two spans that differ anywhere differ by a random number:
+no regular pattern, such as a Thue-Morse sequence and its complement, cancels, and two tables give independent hashes.
 Null texts count as empty. Work arrays stay near four times the size of the text, since bytes are hashed in segments.
 """
 
@@ -14,15 +16,13 @@ import pyarrow as pa
 
 U = np.uint64
 SEGMENT = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-
-SECOND_TABLE = np.random.default_rng(20240502).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Random numbers by place in a piece and byte; longer spans are several pieces.
+PIECE = 1024
+FIRST_TABLE, SECOND_TABLE = np.random.default_rng(20240501).integers(0, 1 << 64, (2, PIECE * 256), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,18 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        for base in (_BASE, _INV):
-            p = np.full(SEGMENT + 1, base, dtype=U)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p, dtype=U))
-    return _POWERS[0], _POWERS[1]
-
-
 def batch_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,28 +81,38 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FIRST_TABLE) -> np.ndarray:
     """A 64-bit hash of each span of bytes; spans are in order and don't overlap. Depends on the bytes alone."""
+    size = ends - starts
+    parts = np.maximum(1, -(-size // PIECE))
+    first = np.cumsum(parts) - parts
+    if len(starts) and parts.max() > 1:
+        k = np.arange(int(parts.sum())) - np.repeat(first, parts)
+        a = np.repeat(starts, parts) + k * PIECE
+        sums = mix(_piece_sums(data, a, np.minimum(np.repeat(ends, parts), a + PIECE), table) + mix(k + 1))
+        out = np.add.reduceat(sums, first)
+    else:
+        out = mix(_piece_sums(data, starts, ends, table) + mix(np.array([1]))[0])
+    return mix(out + size.astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def _piece_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     out = np.zeros(len(starts), U)
-    power, inverse = _powers()
     i = 0
     while i < len(starts):
         base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, base + SEGMENT, "right")))
         stop = int(ends[j - 1])
-        if stop - base > SEGMENT:  # one span longer than a segment: in pieces, chained
-            h = U(0)
-            for at in range(base, stop, SEGMENT):
-                piece = data[at : min(stop, at + SEGMENT)]
-                h = mix(np.array([h + (table[piece] * power[: len(piece)]).sum(dtype=U)], U))[0]
-            out[i] = h
-        else:
-            prefix = np.zeros(stop - base + 1, U)
-            np.cumsum(table[data[base:stop]] * power[: stop - base], out=prefix[1:])
-            s, e = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (prefix[e] - prefix[s]) * inverse[s]
+        s, e = starts[i:j] - base, ends[i:j] - base
+        place = np.arange(stop - base, dtype=np.int32) - np.repeat(s.astype(np.int32), np.diff(np.append(s, stop - base)))
+        np.minimum(place, PIECE - 1, out=place)  # only between spans
+        place <<= 8
+        place |= data[base:stop]
+        prefix = np.zeros(stop - base + 1, U)
+        np.cumsum(table[place], out=prefix[1:])
+        out[i:j] = prefix[e] - prefix[s]
         i = j
-    return mix(out + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    return out
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -60,5 +60,38 @@ def test_cuckoo_filter():
     keys = np.random.default_rng(0).integers(0, 1 << 63, 3000).astype(np.uint64)
     f = CuckooFilter.of(keys[:2000])
     assert f.holds(keys[:2000]).all() and f.holds(keys[2000:]).mean() < 0.01
-    assert all(f.delete(int(k)) for k in keys[:1000]) and f.holds(keys[1000:2000]).all() and f.holds(keys[:1000]).mean() < 0.01
+    f.delete_all(keys[:1000])
+    assert f.holds(keys[1000:2000]).all() and f.holds(keys[:1000]).mean() < 0.01
     assert CuckooFilter.from_bytes(f.to_bytes()).holds(keys[1000:2000]).all() and not CuckooFilter.sized(0).holds(keys).any()
+
+
+def thue_morse(n):
+    """A line of 2**n letters and its complement, whose polynomial hashes to a power of two are equal."""
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_lines_are_told_apart(spark):
+    one, other = thue_morse(11)
+    rows = [(i, one if i % 2 else other) for i in range(10)]
+    assert {r.n_dropped for r in drop_repeated_lines(frame(spark, rows)).collect()} == {0}
+    assert {r.n_dropped for r in drop_repeated_lines(frame(spark, [(i, one) for i in range(10)])).collect()} == {1}
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    rows = [(1, "same\nother")] * 10
+    got = drop_repeated_lines(frame(spark, rows)).collect()
+    assert len(got) == 10 and {(r.text, r.n_lines, r.n_dropped) for r in got} == {("", 2, 2)}
+
+
+def test_shards_grow_with_the_keys(spark, monkeypatch):
+    import tessera.llm.line_dedup as m
+
+    rows, more = corpus(4), [(1000 + i, f"new {i}\nline {i % 9}") for i in range(200)]
+    index = LineIndex.build(frame(spark, rows))
+    monkeypatch.setattr(m, "SHARD_KEYS", 5)
+    wide = index.insert(frame(spark, more))
+    assert index.shards == 16 and wide.shards >= 32
+    assert {r.doc_id: r.text for r in wide.apply(frame(spark, rows + more)).collect()} == {i: v[0] for i, v in brute(rows + more, 10).items()}
