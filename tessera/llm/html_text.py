@@ -155,21 +155,39 @@ def _raw_end(tag: str) -> re.Pattern:
 
 
 def features(b: Block) -> list[str]:
+    """Features of a block by itself."""
     tags = {t for t, _ in b.path}
     out = ["bias", *(f"tag:{t}" for t in (tags & (BLOCK | EMBED)) - {"html", "body"})]
-    out += {f"mark:{w}" for _, words in b.path for w in words}
-    if not tags & {"article", "main"}:
+    marks = {w for _, words in b.path for w in words}
+    out += [f"mark:{w}" for w in marks]
+    if not tags & {"article", "main"} and "main" not in marks:
         out.append("outside")
-    n = b.text.count(" ") + 1
-    out.append(f"words:{min(5, n.bit_length())}")
-    out.append(f"linked:{int(b.linked * 3.99)}")
+    n, linked = _length(b), int(b.linked * 3.99)
+    out += [f"words:{n}", f"linked:{linked}", f"words:{n}/linked:{linked > 1}"]
     if b.text[-1] in ".!?…»”\"'":
-        out.append("sentence")
-    if "©" in b.text or "copyright" in b.text[:200].lower():
+        out.append(f"sentence:{n}")
+    if "©" in b.text or "copyright" in b.text.lower():
         out.append("rights")
     return out
 
 
+def _length(b: Block) -> int:
+    return min(6, (b.text.count(" ") + 1).bit_length())
+
+
+def page_features(own: list[Block]) -> list[list[str]]:
+    """Features of each block of a page: its own, the lengths and links of its neighbours, and whether a first heading came."""
+    rows, headed = [], False
+    for i, b in enumerate(own):
+        row = features(b)
+        for name, j in (("before", i - 1), ("after", i + 1)):
+            row.append(f"{name}:{_length(own[j])}/{own[j].linked > 0.5}" if 0 <= j < len(own) else f"{name}:none")
+        headed = headed or any(t == "h1" for t, _ in b.path)
+        row.append(f"headed:{headed}")
+        rows.append(row)
+    return rows
+
+
 # Words in class and id that mark page parts, for the templates of the labelled pages.
 OTHER = {
     "nav": "nav navbar menu breadcrumb breadcrumbs navigation pagination pager toc links tabs".split(),
@@ -185,7 +203,7 @@ OTHER = {
 MAIN = "content article post entry story body main text page primary".split()
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Pages of all kinds of layout with the label of each leaf block, the same for the same seed."""
     r = random.Random(seed)
 
@@ -196,14 +214,23 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
         w = [word() for _ in range(r.randint(low, high))]
         return w[0].capitalize() + " " * (len(w) > 1) + " ".join(w[1:]) + r.choice([".", ".", ".", "", "!", "?"])
 
+    plain = False
+
     def mark(words: list[str]) -> str:
         w = r.choice(words)
+        if plain:  # words that say nothing
+            return "" if r.random() < 0.5 else f' class="{word()}"'
+        if words is not MAIN and r.random() < 0.25:  # the part's own word decides, whatever it is a part of
+            w = "-".join(r.sample([w, r.choice(MAIN)], 2))
+        elif words is MAIN and r.random() < 0.25:
+            w = "-".join(r.sample([w, r.choice([*MAIN, word()])], 2))
         return f' {r.choice(["class", "class", "id"])}="{w}"' if r.random() < 0.85 else f' class="{word()} {w}"'
 
     pages = []
     for _ in range(n):
         body: list[str] = []
         labels: list[bool] = []
+        plain = r.random() < 0.35
 
         def put(source: str, *own: bool, body=body, labels=labels) -> None:
             body.append(source)
@@ -211,7 +238,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
 
         def other(kind: str, inside: bool = False, put=put) -> None:
             words = OTHER[kind]
-            tag = kind if kind in ("nav", "header", "footer", "aside", "form") and r.random() < 0.7 else r.choice(["div", "section"])
+            tag = kind if kind in ("nav", "header", "footer", "aside", "form") and r.random() < (0.9 if plain else 0.7) else r.choice(["div", "div", "section"])
             attr = "" if tag == kind and r.random() < 0.5 else mark(words)
             if kind == "notice" and r.random() < 0.3:
                 attr += ' role="alert"'
@@ -234,11 +261,14 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
         for kind in ("notice", "header", "nav", "ad"):
             if r.random() < 0.6 and not bare:
                 other(kind)
-        shell = r.choice(["article", "article", "main", "main><article", "div", "section", ""]) if not bare else r.choice(["", "", "article"])
+        shell = r.choice(["article", "article", "main", "main><article", "div", "div", "div><section", "section", ""]) if not bare else r.choice(["", "", "article"])
         if shell:
-            put("<" + shell + (mark(MAIN) if shell in ("div", "section") or r.random() < 0.3 else "") + ">")
+            own = mark(MAIN) if shell.startswith(("div", "section")) or r.random() < 0.3 else ""
+            put("<" + shell + own + (' role="main"' if r.random() < 0.15 else "") + ">")
         if r.random() < (0.3 if bare else 0.8):
             put(f"<h1>{say(1, 9)}</h1>", True)
+            if shell and r.random() < 0.25:
+                put(f"<{(tag := r.choice(['div', 'p', 'span']))}{mark(OTHER['share'])}>{say(2, 6)}</{tag}>", False)
         for _ in range(r.randint(1, 3 if bare else 9)):
             style = r.random()
             if bare and style < 0.4:
@@ -269,6 +299,8 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
         for kind in ("share", "comments", "aside", "ad", "form", "footer"):
             if r.random() < 0.5 and not bare:
                 other(kind)
+        if r.random() < 0.15:
+            put(f"<p>&copy; {say(1, 8)}</p>", False)
         pages.append(("<html><head><title>x</title></head><body>" + "".join(body) + "</body></html>", labels))
     return pages
 
@@ -352,7 +384,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(pages: list[tuple[str, list[bool]]], rounds: int = 150, ridge: float = 0.02) -> Crf:
     """Gradient ascent (Adam) on the mean conditional log-likelihood of the label sequences."""
-    rows = [[features(b) for b in blocks(p)] for p, _ in pages]
+    rows = [page_features(blocks(p)) for p, _ in pages]
     for r, (p, y) in zip(rows, pages, strict=True):
         if len(r) != len(y):
             raise ValueError(f"{len(y)} labels for {len(r)} blocks of {p[:200]}")
@@ -403,7 +435,7 @@ def default_model() -> Crf:
 
 def main_text(page: str | None, model: Crf) -> str:
     own = blocks(page or "")
-    return "\n\n".join(b.text for b, y in zip(own, model.viterbi([features(b) for b in own]), strict=True) if y)
+    return "\n\n".join(b.text for b, y in zip(own, model.viterbi(page_features(own)), strict=True) if y)
 
 
 def extract_text(pages: DataFrame, model: Crf | None = None, html_col: str = "html") -> DataFrame:

@@ -3,6 +3,8 @@ import re
 import pyarrow.parquet as pq
 import pytest
 
+import page_layouts
+
 import tessera.llm.html_text as m
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";x(1<2);</script></head><body>
@@ -28,18 +30,29 @@ def test_held_out_accuracy():
     right = total = 0
     for page, labels in m.labelled_pages(200, seed=99):
         own = m.blocks(page)
-        y = m.default_model().viterbi([m.features(b) for b in own])
+        y = m.default_model().viterbi(m.page_features(own))
         right += sum(a == b for a, b in zip(y, labels, strict=True))
         total += len(labels)
     assert right / total > 0.97
 
 
+@pytest.mark.parametrize("name", page_layouts.LAYOUTS)
+def test_layouts_that_training_never_saw(name):
+    right = total = 0
+    for page, labels in page_layouts.pages(name):
+        own = m.blocks(page)
+        y = m.default_model().viterbi(m.page_features(own))
+        right += sum(a == b for a, b in zip(y, labels, strict=True))
+        total += len(labels)
+    assert right / total > 0.95, right / total
+
+
 def test_viterbi_is_the_best_sequence():
     from itertools import product
 
     model = m.default_model()
     for page, labels in m.labelled_pages(40, seed=3):
-        rows = [m.features(b) for b in m.blocks(page)][:9]
+        rows = m.page_features(m.blocks(page))[:9]
         e = model.emissions(rows)
         score = lambda y: model.ends[0, y[0]] + model.ends[1, y[-1]] + sum(e[i, k] for i, k in enumerate(y)) + sum(model.step[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731,B023
         assert score(model.viterbi(rows)) == pytest.approx(max(score(y) for y in product((0, 1), repeat=len(rows))))
