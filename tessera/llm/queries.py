@@ -18,6 +18,8 @@ from tessera.llm.surrogates import surrogate_documents
 from tessera.llm.toxicity import default_categories, fit_chain, score_chain
 from tessera.llm.url_rank import Rule, judge
 
+#: For the test tables only; a run on real data sets spark.tessera.surrogateKey.
+TEST_KEY = "key of the test tables"
 URL_RULES = [
     Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"),
     Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block"),
@@ -70,7 +72,8 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogate_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spark.tessera.surrogateKey", TEST_KEY)
+    return surrogate_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

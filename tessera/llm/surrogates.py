@@ -1,15 +1,19 @@
 """PII surrogates: detected entities get keyed replacements of the same type and format. DataFrame expressions only.
 
 Detection is one regular expression of alternatives (e-mail, IPv4, IBAN, card, social security and phone numbers, hex
-secrets, names after a form of address). An entity's canonical form (case, blanks and separators set aside) is its
-identity: all its mentions in the corpus get the same surrogate, laid into each mention's own format. Surrogates come from
-SHA-512 of a key, the type, the canonical form and an attempt number: letters for letters of the same script and case,
-digits for digits, the same country, card network, top-level domain or private network, valid Luhn digits where there were
-some, given names of the same gender and script.
+secrets, access tokens, names after a form of address). An entity's canonical form (case, blanks and separators set aside)
+is its identity: all its mentions in the corpus get the same surrogate, laid into each mention's own format. Surrogates come
+from SHA-512 of a key, the type, the canonical form and an attempt number: letters for letters of the same script and case,
+digits for digits, the same country, card network, token prefix, top-level domain or private network, valid Luhn and IBAN
+check digits where there were some, given names of the same gender and script.
+
+A name is two entities, given name and surname, each with its own surrogate. So "Mr John Smith", "Mr Smith" and "Dr Smith"
+stay one family name over the corpus, and two people who differ in either part still differ. What a form of address has
+introduced in a text is also replaced where it stands in that text alone, as a capitalised word ("Smith stayed").
 
 Collision check: a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again with the
 next attempt for all but the smallest canonical form, until every entity's surrogate is its own. From attempt ``GROW`` on
-the space grows, so it never runs out: a name has one syllable more with each attempt, an e-mail's local part one letter
+the space grows, so it never runs out: a name, given or not, has one syllable more with each attempt, an e-mail's local part one letter
 more, a number, an IBAN or a secret one digit more; private addresses go to 10.*, and from ``GROW_IP`` on all addresses to
 fd00::/8.
 
@@ -62,12 +66,16 @@ PATTERNS = {
     "ssn": _OPEN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _SHUT,
     "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?|\([0-9]{2,4}\)[ .\-]?)[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})" + _SHUT,
     "secret": _OPEN + r"[0-9a-fA-F]{32,}+" + _SHUT,
+    "token": _OPEN + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_\-]{35}|sk-[A-Za-z0-9_\-]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abpr]-[A-Za-z0-9\-]{10,}+|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]*+)" + r"(?![\p{L}\p{N}_])",
     "name": _OPEN + "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? " + _NAME + "(?: " + _NAME + ")?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: For texts with a name: capitalised words too, since one may be a name that stands alone.
+ANY_WORD = f"{ANY}|(?:{_OPEN}{_NAME})"
+_PREFIX = r"^(?:AKIA|ASIA|AIza|sk-|gh[pousr]_|xox[abpr]-|eyJ)"
 #: What every text with an entity has; quick to search, so most texts never meet ``ANY``.
 _INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
-HINT = "[0-9@]|[a-fA-F]{32}"
+HINT = "[0-9@]|[a-fA-F]{32}|sk-|gh[pousr]_|xox[abpr]-|eyJ|A[KS]IA|AIza"
 NAME_HINT = f"[{_INITIALS}](?:" + "|".join(t[1:] for t in MALE + FEMALE + NEUTRAL) + r")\.? "
 _TITLE = "^(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
 #: A local part has 64 characters at most; of a longer run the punctuation in front is not of the address.
@@ -117,30 +125,42 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(flipped, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d)) % 10
 
 
+def _iban_rest(country: Column, account: Column) -> Column:
+    """The account followed by the country and two zeros as a number (A is 10), modulo 97."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(_chars(F.concat(account, country, F.lit("00"))), F.lit(0), step)
+
+
 def entity_type(surface: Column) -> Column:
+    """The type of what ``ANY_WORD`` found; a capitalised word that is nothing else is a word."""
     out = None
     for name, pattern in PATTERNS.items():
         out = F.when(surface.rlike(f"^(?:{pattern})$"), name) if out is None else out.when(surface.rlike(f"^(?:{pattern})$"), name)
-    return out.otherwise("name")
+    return out.otherwise("word")
 
 
-def canonical(kind: Column, surface: Column) -> Column:
-    """An entity's identity; for names: gender, script, given name if any, and surname."""
-    bare = F.regexp_replace(surface, _TITLE, "")
+def script_of(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def gender_of(surface: Column) -> Column:
     title = F.regexp_extract(surface, _TITLE, 0)
-    gender = F.when(title.rlike("^(?:" + "|".join(MALE) + r")\b"), "m").when(title.rlike("^(?:" + "|".join(FEMALE) + r")\b"), "f").otherwise("n")
-    script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").when(bare.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    return F.when(title.rlike("^(?:" + "|".join(MALE) + r")\b"), "m").when(title.rlike("^(?:" + "|".join(FEMALE) + r")\b"), "f").otherwise("n")
+
+
+def canonical(kind: Column, surface: Column) -> Column:
+    """The identity of an entity that isn't a name."""
     return (
         F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(surface, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(surface, " ", ""))
-        .when(kind == "name", F.concat_ws("/", gender, script, F.lower(bare)))
         .when(kind == "email", F.lower(F.regexp_replace(surface, _LEADER, "")))
+        .when(kind == "token", surface)
         .otherwise(F.lower(surface))
     )
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """A canonical surrogate: digits for numbers, 'given surname' or 'surname' for names."""
+    """A canonical surrogate. Kinds are those of PATTERNS but name; names are given and surname, canonical gender/script/name."""
     seed = _seed(key, kind, canon, attempt.cast("string"))
     grown = F.greatest(attempt - (GROW - 1), F.lit(0))
     more = lambda alphabet: F.when(grown > 0, _drawn(alphabet, _seed(key, F.lit("more"), seed), F.greatest(grown, F.lit(1)))).otherwise("")
@@ -164,9 +184,14 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     stem = F.regexp_replace(numbers, ".$", "")
     checked = F.concat(stem, ((10 - _luhn(F.concat(stem, F.lit("0")))) % 10).cast("string"))
     card = F.when(_luhn(canon) == 0, checked).otherwise(numbers)
-    iban = F.concat(F.substring(canon, 1, 2), _substituted(F.substring(canon, 3, 1000), seed), more(ALPHABETS["[0-9]"]))
+    country, account = F.substring(canon, 1, 2), F.concat(_substituted(F.substring(canon, 5, 1000), seed), more(ALPHABETS["[0-9]"]))
+    valid = _iban_rest(country, F.substring(canon, 5, 1000)) + F.substring(canon, 3, 2).cast("int") == 98
+    check = F.lpad((98 - _iban_rest(country, account)).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(valid, check).otherwise(_substituted(F.substring(canon, 3, 2), _seed(key, F.lit("check"), seed))), account)
+    prefix = F.regexp_extract(canon, _PREFIX, 0)
+    token = F.concat(prefix, _substituted(F.regexp_replace(canon, _PREFIX, ""), seed), more(ALPHABETS["[0-9]"]))
     secret = F.concat(_substituted(canon, seed, {"[0-9a-f]": "0123456789abcdef"}), more(ALPHABETS["[0-9]"]))
-    gender, script, bare = (F.split_part(canon, F.lit("/"), F.lit(i)) for i in (1, 2, 3))
+    gender, script = (F.split_part(canon, F.lit("/"), F.lit(i)) for i in (1, 2))
     given, family = None, None
     for (s, g), names in GIVEN.items():
         test, pick = (script == s) & (gender == g), _of(names, _byte(seed, F.lit(0)))
@@ -174,10 +199,12 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     for s, parts in SYLLABLES.items():
         pick = F.initcap(_drawn(parts, seed, grown + 4))
         family = F.when(script == s, pick) if family is None else family.when(script == s, pick)
-    name = F.when(bare.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
+        longer = _drawn(parts, _seed(key, F.lit("more"), seed), F.greatest(grown, F.lit(1)))
+        tail = F.when(script == s, longer) if s == "latin" else tail.when(script == s, longer)
+    given = F.concat(given, F.when(grown > 0, tail).otherwise(""))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), numbers)
-        .when(kind == "iban", iban).when(kind == "secret", secret).otherwise(name)
+        .when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "token", token).when(kind == "given", given).otherwise(family)
     )
 
 
@@ -187,15 +214,17 @@ def rendered(kind: Column, surface: Column, new: Column) -> Column:
     rest = lambda a: F.concat(a.s, F.substring(new, a.n + 1, F.length(new)))
     laid = F.aggregate(_chars(surface), start, lambda a, c: F.struct(F.concat(a.s, F.when(c.rlike("[0-9]"), F.substring(new, a.n + 1, F.lit(1))).otherwise(c)).alias("s"), (a.n + F.when(c.rlike("[0-9]"), 1).otherwise(0)).alias("n")), rest)
     spaced = F.aggregate(_chars(surface), start, lambda a, c: F.struct(F.concat(a.s, F.when(c == " ", c).otherwise(F.substring(new, a.n + 1, F.lit(1)))).alias("s"), (a.n + F.when(c == " ", 0).otherwise(1)).alias("n")), rest)
-    bare = F.regexp_replace(surface, _TITLE, "")
-    loud = lambda x, y: F.when((x == F.upper(x)) & x.rlike(r"\p{L}"), F.upper(y)).otherwise(y)
     leader = F.when(kind == "email", F.regexp_extract(surface, _LEADER, 0)).otherwise("")
     return (
-        F.when(kind.isin("card", "phone", "ssn"), laid).when(kind == "iban", spaced)
-        .when(kind == "name", F.concat(F.regexp_extract(surface, _TITLE, 0), loud(bare, new))).when(kind == "ip", new).otherwise(F.concat(leader, loud(surface, new)))
+        F.when(kind.isin("card", "phone", "ssn"), laid).when(kind == "iban", spaced).when(kind.isin("ip", "token"), new)
+        .otherwise(F.concat(leader, _loud(surface, new)))
     )
 
 
+def _loud(surface: Column, new: Column) -> Column:
+    return F.when((surface == F.upper(surface)) & surface.rlike(r"\p{L}"), F.upper(new)).otherwise(new)
+
+
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon) -> (kind, canon, new), every new one its own and none an entity itself."""
     known = stash(entities.select("kind", "canon").distinct())
@@ -203,7 +232,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     while todo.limit(1).count():
         drawn = stash(todo.select("kind", "canon", surrogate(key, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("new")))
         # Names are compared as they read: without gender and script.
-        real = known.select("kind", F.when(F.col("kind") == "name", F.split_part("canon", F.lit("/"), F.lit(3))).otherwise(F.col("canon")).alias("low")).distinct()
+        real = known.select("kind", F.when(F.col("kind").isin("given", "surname"), F.split_part("canon", F.lit("/"), F.lit(3))).otherwise(F.lower("canon")).alias("low")).distinct()
         fresh = drawn.withColumn("low", F.lower("new")).join(real, ["kind", "low"], "left_anti")
         if done is not None:
             fresh = fresh.join(done.select("kind", F.lower("new").alias("low")), ["kind", "low"], "left_anti")
@@ -215,26 +244,58 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     return done if done is not None else known.withColumn("new", F.lit(None).cast("string"))
 
 
-def surrogate_documents(docs: DataFrame, key: str = "tessera", text_col: str = "text") -> DataFrame:
+def surrogate_documents(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The documents with entities replaced, and n_entities (long, mentions replaced).
 
-    Null texts stay null with 0; texts without an entity stay as they are. All columns stay; one named n_entities gives
-    way. Repeated rows come back as often. No rows give no rows.
+    ``key`` is a secret of the caller: who has it can draw the surrogates again. Null texts stay null with 0; texts without
+    an entity stay as they are. All columns stay; one named n_entities gives way. Repeated rows come back as often. No rows
+    give no rows.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     docs = docs.drop("n_entities")
     columns = docs.columns
     text = F.col(text_col)
     hit = (text.rlike(HINT) | text.rlike(NAME_HINT)) & text.rlike(ANY)
     none = docs.where(text.isNull() | ~hit).withColumn("n_entities", F.lit(0).cast("long"))
-    some = docs.where(hit).withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit("b"), text)})
-    found = some.select("__a", "__b", F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)).alias("all"))
+    some = docs.where(hit).withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit("b"), text), "__named": text.rlike(NAME_HINT) & text.rlike(PATTERNS["name"])})
+    all_of = lambda pattern: F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    found = some.select("__a", "__b", F.when(F.col("__named"), all_of(ANY_WORD)).otherwise(all_of(ANY)).alias("all"))
     found = stash(found.groupBy("__a", "__b").agg(F.first("all").alias("all")))
-    seen = found.select("__a", "__b", F.posexplode("all").alias("pos", "surface"))
-    seen = stash(seen.withColumn("kind", entity_type(F.col("surface"))).withColumn("canon", canonical(F.col("kind"), F.col("surface"))))
-    table = assign(seen, key)
-    mapped = seen.join(table, ["kind", "canon"]).select("__a", "__b", "pos", rendered(F.col("kind"), F.col("surface"), F.col("new")).alias("out"))
-    lists = mapped.groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("outs"))
+    at = ["__a", "__b", "pos"]
+    seen = stash(found.select("__a", "__b", F.posexplode("all").alias("pos", "surface")).withColumn("kind", entity_type(F.col("surface"))))
+
+    # Names: title, given name if there are two words, surname.
+    bare = F.regexp_replace("surface", _TITLE, "")
+    names = seen.where("kind = 'name'").select(*at, "surface", F.regexp_extract("surface", _TITLE, 0).alias("title"), gender_of(F.col("surface")).alias("gender"), F.split(bare, " ").alias("w"))
+    low = lambda c: F.concat_ws("/", script_of(c), F.lower(c))
+    given, surname = F.when(F.size("w") > 1, F.get("w", F.lit(0))), F.element_at("w", -1)
+    names = stash(names.select(*at, "title", "gender", given.alias("given"), surname.alias("surname"), low(given).alias("given_key"), low(surname).alias("surname_key")))
+    genders = names.where("given is not null").groupBy("given_key").agg(F.min("gender").alias("gender"))  # f, m, then n
+    entities = (
+        seen.where("kind not in ('name', 'word')").select("kind", canonical(F.col("kind"), F.col("surface")).alias("canon"))
+        .unionByName(names.select(F.lit("surname").alias("kind"), F.concat(F.lit("n/"), "surname_key").alias("canon")))
+        .unionByName(genders.select(F.lit("given").alias("kind"), F.concat_ws("/", "gender", "given_key").alias("canon")))
+    )
+    table = stash(assign(entities, key).select("kind", F.when(F.col("kind").isin("given", "surname"), F.regexp_replace("canon", "^[^/]*/", "")).otherwise(F.col("canon")).alias("key"), "new"))
+
+    # Words that a form of address introduced in the same text.
+    part = lambda kind: names.where(F.col(kind).isNotNull()).select("__a", "__b", F.col(f"{kind}_key").alias("key"), F.lit(kind).alias("kind"))
+    introduced = part("given").unionByName(part("surname")).groupBy("__a", "__b", "key").agg(F.max("kind").alias("kind"))
+    words = seen.where("kind = 'word'").select(*at, "surface", low(F.col("surface")).alias("key")).join(introduced, ["__a", "__b", "key"], "left")
+    words = stash(words)
+    single = seen.where("kind not in ('name', 'word')").select(*at, "surface", "kind", canonical(F.col("kind"), F.col("surface")).alias("key"))
+    single = single.unionByName(words.where("kind is not null").select(*at, "surface", "kind", "key"))
+    out = single.join(table, ["kind", "key"]).select(*at, rendered(F.col("kind"), F.col("surface"), F.col("new")).alias("out"), F.lit(1).alias("n"))
+    family = names.join(table.where("kind = 'surname'").select(F.col("key").alias("surname_key"), F.col("new").alias("family")), "surname_key")
+    last = _loud(F.col("surname"), F.col("family"))
+    alone = family.where("given is null").select(*at, F.concat("title", last).alias("out"), F.lit(1).alias("n"))
+    first = family.where("given is not null").join(table.where("kind = 'given'").select(F.col("key").alias("given_key"), F.col("new").alias("first")), "given_key")
+    both = first.select(*at, F.concat("title", _loud(F.col("given"), F.col("first")), F.lit(" "), last).alias("out"), F.lit(1).alias("n"))
+    same = words.where("kind is null").select(*at, F.col("surface").alias("out"), F.lit(0).alias("n"))
+    mapped = out.unionByName(alone).unionByName(both).unionByName(same)
+    lists = mapped.groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("outs"), F.sum("n").alias("n"))
     joined = some.join(lists, ["__a", "__b"])
-    rest = F.split(text, ANY, -1)
+    rest = F.when(F.col("__named"), F.split(text, ANY_WORD, -1)).otherwise(F.split(text, ANY, -1))
     woven = F.array_join(F.transform(rest, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("outs"), i)["out"], F.lit("")))), "")
-    return joined.withColumns({text_col: woven, "n_entities": F.size("outs").cast("long")}).select(*columns, "n_entities").unionByName(none)
+    return joined.withColumns({text_col: woven, "n_entities": F.col("n").cast("long")}).select(*columns, "n_entities").unionByName(none)
