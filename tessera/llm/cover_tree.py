@@ -7,8 +7,11 @@ those of the next level, every node with the exact distance to its farthest desc
 down both trees at once; a pair of nodes goes when its centres are farther apart than both covering radii and the
 threshold together. What is left at the bottom is decided by the cosine in double precision.
 
-Blocks in cells that are too far apart never meet. Others meet in a task of two blocks, which returns link counts and a
-spanning forest, not pairs. So no task grows with a group, and links between near copies aren't laid out.
+Blocks in cells that are too far apart never meet. The blocks of a cell form tiles of a few blocks, and two tiles meet in a
+task, which goes through the pairs of their blocks and returns link counts and a spanning forest, not pairs. So a block is
+shipped once for each tile it may meet, no task grows with a group, and links between near copies aren't laid out. Vectors
+without structure (independent directions in many dimensions) are as far from each other as the covering bounds allow, so
+there all tiles meet: the work is that of all pairs, the shuffle that divided by the vectors of a tile.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from tessera.llm.components import components
 from tessera.llm.store import small_batches, stash
 
 BLOCK = 3000
+#: Blocks of a tile at most, and tiles that a cell is cut into before tiles get more than one block.
+TILE, LEAST_TILES = 8, 6
 SAMPLE, CELLS, CELL_ROWS = 512, 64, 6000
 _SLACK = 1e-3
 
@@ -45,33 +50,38 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CoverTree:
-    """levels: (centre, covering radius, parent's place in the level above) of each node; the last level is the points."""
+    """levels: (centre, covering radius, parent's place in the level above) of each node; the last level is the points.
+
+    A node's children are centres more than the level's radius apart, so that each of the node's points is within it of one;
+    distances are only taken between a new centre and the points of its node that no centre covers yet.
+    """
 
     def __init__(self, unit: np.ndarray):
         x = unit.astype(np.float32)
         n = len(x)
-        d = _distances(x, x)
         root = int(np.argmax(x @ x.mean(axis=0)))
         centre, node_of = np.array([root]), np.zeros(n, np.int64)
-        self.levels = [(centre, np.array([d[root].max()]), np.zeros(1, np.int64))]
+        to_centre = _distances(x[root : root + 1], x)[0]
+        self.levels = [(centre, np.array([to_centre.max()]), np.zeros(1, np.int64))]
         radius = 1.0
         while radius >= 0.1 and len(centre) < n:
             order = np.argsort(node_of, kind="stable")
             cut = np.searchsorted(node_of[order], np.arange(len(centre) + 1))
-            new_centre, parent, new_node = [], [], np.empty(n, np.int64)
+            new_centre, parent, new_node, to_centre = [], [], np.empty(n, np.int64), np.zeros(n, np.float32)
             for k in range(len(centre)):
                 left = order[cut[k] : cut[k + 1]]
                 left = np.concatenate(([centre[k]], left[left != centre[k]]))
                 while len(left):
-                    near = d[left[0], left] <= radius
+                    d = _distances(x[left[:1]], x[left])[0]
+                    near = d <= radius
                     near[0] = True
-                    new_node[left[near]] = len(new_centre)
+                    new_node[left[near]], to_centre[left[near]] = len(new_centre), d[near]
                     new_centre.append(left[0])
                     parent.append(k)
                     left = left[~near]
             centre, node_of = np.array(new_centre), new_node
             far = np.zeros(len(centre), np.float32)
-            np.maximum.at(far, node_of, d[np.arange(n), centre[node_of]])
+            np.maximum.at(far, node_of, to_centre)
             self.levels.append((centre, far, np.array(parent)))
             radius /= 2
         self.levels.append((np.arange(n), np.zeros(n, np.float32), node_of))
@@ -199,20 +209,31 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def _meet(least: float):
+    """The blocks of two tiles (rows with first or second true, both for a tile with itself) -> link counts and forests."""
+
     def run(table: pa.Table) -> pa.Table:
-        parts = [pickle.loads(t) for t in table.sort_by([("cell", "ascending"), ("sub", "ascending")]).column("tree").to_pylist()]
-        ids, many, x, tree = parts[0]
-        if len(parts) == 1:
-            links = linked(tree, x, tree, x, least)
-            links |= links.T
-            np.fill_diagonal(links, False)
-            count, who, root = links @ many, ids, _forest(links, True)
-        else:
-            ids2, many2, y, tree2 = parts[1]
-            links = linked(tree, x, tree2, y, least)
-            count, who, root = np.concatenate((links @ many2, many @ links)), np.concatenate((ids, ids2)), _forest(links, False)
-        own = np.flatnonzero(root >= 0)
-        return pa.table({"vec_id": pa.array(who[own], pa.int64()), "links": pa.array(count[own].astype(np.int64)), "root": pa.array(who[root[own]], pa.int64())})
+        table = table.sort_by([("cell", "ascending"), ("sub", "ascending")])
+        parts = [pickle.loads(t) for t in table.column("tree").to_pylist()]
+        first, second = (table.column(c).to_numpy() for c in ("first", "second"))
+        who, counts, roots = [], [], []
+        for i, j in ((i, j) for i in np.flatnonzero(first) for j in np.flatnonzero(second)):
+            (ids, many, x, tree), (ids2, many2, y, tree2) = parts[i], parts[j]
+            if i == j:
+                links = linked(tree, x, tree, x, least)
+                links |= links.T
+                np.fill_diagonal(links, False)
+                count, own, root = links @ many, ids, _forest(links, True)
+            elif first[j] and second[i] and i > j:  # a pair of one tile, met before
+                continue
+            else:
+                links = linked(tree, x, tree2, y, least)
+                count, own, root = np.concatenate((links @ many2, many @ links)), np.concatenate((ids, ids2)), _forest(links, False)
+            found = np.flatnonzero(root >= 0)
+            who.append(own[found])
+            counts.append(count[found].astype(np.int64))
+            roots.append(own[root[found]])
+        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"vec_id": cat(who), "links": cat(counts), "root": cat(roots)})
 
     return run
 
@@ -226,7 +247,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     Other columns aren't read.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     packed = stash(rows.mapInArrow(_pack, "vec_id long, dim int, h1 long, h2 long, raw binary"))
     reps = stash(packed.groupBy("dim", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.first("raw").alias("raw"), F.count(F.lit(1)).alias("many")).select(F.col("rep").alias("vec_id"), "dim", "h1", "h2", "raw", "many"))
@@ -246,15 +267,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
                 gap = 0.0 if c is None else float(np.linalg.norm(c[p.cell] - c[q.cell]))
                 if gap <= p.far + q.far + reach:
                     meets.setdefault((p.dim, p.cell), []).append(q.cell)
-    plan = spark.createDataFrame([(d, c, subs[d, c], [(e, subs[d, e]) for e in sorted(meets[d, c])]) for d, c in subs], "dim int, cell int, subs int, others array<struct<cell: int, subs: int>>")
+    tile = {k: min(TILE, max(1, n // LEAST_TILES)) for k, n in subs.items()}
+    tiles = {k: math.ceil(n / tile[k]) for k, n in subs.items()}
+    plan = spark.createDataFrame([(d, c, subs[d, c], tile[d, c], [(e, tiles[d, e]) for e in sorted(meets[d, c])]) for d, c in subs], "dim int, cell int, subs int, tile int, others array<struct<cell: int, tiles: int>>")
     placed = dealt.join(F.broadcast(plan.select("dim", "cell", "subs")), ["dim", "cell"])
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
     trees = stash(placed.select("dim", "cell", "sub", "vec_id", "many", "raw").groupBy("dim", "cell", "sub").applyInArrow(_build, "dim int, cell int, sub int, tree binary"))
     other = F.explode("others").alias("o")
-    pairs = trees.join(F.broadcast(plan.select("dim", "cell", "others")), ["dim", "cell"]).select("dim", "cell", "sub", "tree", other).select("*", F.explode(F.sequence(F.lit(0), F.col("o.subs") - 1)).alias("k"))
-    mine, theirs = F.struct("cell", "sub"), F.struct(F.col("o.cell").alias("cell"), F.col("k").alias("sub"))
-    task = F.struct("dim", F.least(mine, theirs).alias("a"), F.greatest(mine, theirs).alias("b"))
-    met = pairs.select("cell", "sub", "tree", task.alias("task")).groupBy("task").applyInArrow(_meet(least), "vec_id long, links long, root long")
+    mine = F.floor(F.col("sub") / F.col("tile")).cast("int")
+    pairs = trees.join(F.broadcast(plan.select("dim", "cell", "tile", "others")), ["dim", "cell"]).select("dim", "cell", "sub", mine.alias("tile"), "tree", other).select("*", F.explode(F.sequence(F.lit(0), F.col("o.tiles") - 1)).alias("t"))
+    pairs = pairs.select("dim", "cell", "sub", "tree", F.struct("cell", "tile").alias("mine"), F.struct(F.col("o.cell").alias("cell"), F.col("t").alias("tile")).alias("theirs"))
+    task = F.struct("dim", F.least("mine", "theirs").alias("a"), F.greatest("mine", "theirs").alias("b"))
+    sent = pairs.select("cell", "sub", "tree", "mine", task.alias("task"))
+    sent = sent.select("cell", "sub", "tree", (F.col("mine") == F.col("task.a")).alias("first"), (F.col("mine") == F.col("task.b")).alias("second"), "task")
+    met = sent.groupBy("task").applyInArrow(_meet(least), "vec_id long, links long, root long")
     met = stash(met)
     named = components(met.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "vec_id")
     counts = met.groupBy("vec_id").agg(F.sum("links").alias("links"))

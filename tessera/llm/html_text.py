@@ -443,7 +443,7 @@ def extract_text(pages: DataFrame, model: Crf | None = None, html_col: str = "ht
 
     All other columns stay; columns named text or n_chars give way. One pass; no rows give no rows.
     """
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
     model = model or default_model()
     pages = pages.drop("text", "n_chars")
     at = pages.columns.index(html_col)

@@ -4,8 +4,8 @@ Encoding keeps an agenda of adjacent symbol pairs whose joint piece is in the vo
 score (of equals the leftmost) until none is left; symbols outside the vocabulary become byte pieces. A chunk (white space
 marks and what follows them up to the next) can be encoded by itself where no piece has a mark after another character,
 which is checked when a vocabulary is loaded. Short chunks run their agendas side by side in numpy, one row each; long
-ones use a heap. Every chunk that is encoded anew in an Arrow batch is checked against the sentencepiece library, which
-must agree; chunks met before come from a bounded cache of the worker.
+ones use a heap. In every Arrow batch the sentencepiece library must agree on each chunk that is encoded anew, on its ids
+and on what they decode to, and on the batch's first text as a whole; chunks met before come from a bounded cache.
 
 Decoding puts piece surfaces and bytes together from the ids alone.
 """
@@ -64,9 +64,10 @@ class Vocabulary:
         self.pairs = np.array(sorted(merges), np.int64)
         self.joint = np.array([merges[k] for k in self.pairs.tolist()], np.int64)
         self.score = np.array([lib.get_score(i) for i in range(n)], np.float64)
-        self.lone = "\n" not in "".join(p for p in ids if len(p) > 1)
+        if any("\n" in p for p in ids if len(p) > 1):
+            raise ValueError("a piece with a line end inside is not supported")
         self.apart = all(MARK not in p.lstrip(MARK) for p in ids)
-        self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.lone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         surface = [b"" if k == 0 else b" \xe2\x81\x87 " if k == 1 else bytes([int(names[i][3:5], 16)]) if k == 2 else names[i].replace(MARK, " ").encode() for i, k in enumerate(kind)]
         self.length = np.array([len(s) for s in surface], np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
@@ -194,12 +195,22 @@ class Vocabulary:
                 for i in range(0, len(own), 1 << 14):
                     part = own[i : i + (1 << 14)]
                     out |= dict(zip(part, self.side_by_side(part), strict=True))
-        if check and self.lone:
-            for c, ids in zip(chunks, self.library.encode(["\n" + c for c in chunks], num_threads=1), strict=True):
+        if check and chunks:
+            lists = self.library.encode(["\n" + c for c in chunks], num_threads=1)
+            for c, ids in zip(chunks, lists, strict=True):
                 if np.array(ids[2:], np.int32).tobytes() != out[c]:
                     raise ValueError(f"the library encodes {c!r} as {ids[2:]}")
+            for c, text in zip(chunks, self.library.decode([ids[2:] for ids in lists], num_threads=1), strict=True):
+                if self.decode(np.frombuffer(out[c], np.int32)) != text:
+                    raise ValueError(f"the library decodes the ids of {c!r} to {text!r}")
         return out
 
+    def check_whole(self, text: str, ids: np.ndarray, decoded: str | None) -> None:
+        """Both directions of a whole text against the library."""
+        own = ids.tolist()
+        if self.library.encode(text) != own or (decoded is not None and self.library.decode(own) != decoded):
+            raise ValueError(f"the library differs on a text of {len(text)} characters that begins {text[:40]!r}")
+
     def encode(self, texts: list[str | None], check: bool = True) -> list[np.ndarray]:
         lists = [self.chunks(t or "") for t in texts]
         known: dict[str, bytes] = {}
@@ -268,7 +279,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, text_col: s
 
     All other columns stay; columns of the new names give way. No rows give no rows.
     """
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     model = _model(docs.sparkSession, model_path)
     docs, schema = _with(docs, {ids_col: T.ArrayType(T.IntegerType())} | ({decoded_col: T.StringType()} if decoded_col else {}))
     at = docs.columns.index(text_col)
@@ -277,8 +288,12 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, text_col: s
         vocab = vocabulary(model.value)
         for batch in batches:
             column = batch.column(at).cast(pa.large_binary()).to_pylist()
-            ids = vocab.encode([None if t is None else t.decode("utf-8", "replace") for t in column])
-            new = [_lists(ids), *([pa.array([vocab.decode(x) for x in ids], pa.string())] if decoded_col else [])]
+            texts = ["" if t is None else t.decode("utf-8", "replace") for t in column]
+            ids = vocab.encode(texts)
+            back = [vocab.decode(x) for x in ids] if decoded_col else None
+            if texts:
+                vocab.check_whole(texts[0], ids[0], back[0] if back else None)
+            new = [_lists(ids), *([pa.array(back, pa.string())] if decoded_col else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)

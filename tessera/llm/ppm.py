@@ -311,6 +311,16 @@ def _score(order: int, shards: int, keep: list[str]):
     return run
 
 
+def _add_pairs(batches):
+    """Byte pair counts of blocks -> (pair, n), summed over all blocks of the task."""
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for raw in batch.column(0):
+            total += np.frombuffer(raw.as_buffer(), np.int64)
+    pair = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], names=["pair", "n"])
+
+
 def score_documents(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -326,8 +336,9 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 5, id_col: s
     held = rows.withColumn("block", block_of(n, "doc_id", "text")).repartition(n, "block")
     sent = stash(held.select("block", (~F.col("held_out")).alias("learn"), "text").groupBy("block").applyInArrow(_gather(order, shards), "block int, shard int, kind int, keys binary, counts binary"))
     pairs = np.zeros(1 << 16, np.int64)
-    for row in sent.where(F.col("kind") == PAIRS).select("counts").toLocalIterator():  # 512 kB a block, one after another
-        pairs += np.frombuffer(row.counts, np.int64)
+    summed = sent.where(F.col("kind") == PAIRS).select("counts").mapInArrow(_add_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    for row in summed.collect():  # 65,536 rows at most
+        pairs[row.pair] = row.n
     asked = sent.where(F.col("kind") != PAIRS).groupBy("shard", "kind")
     got = stash(asked.applyInArrow(_answer(order, pairs.reshape(256, 256)), "block int, shard int, kind int, vals binary, v long, n long"))
     total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()

@@ -1,4 +1,4 @@
-"""Shared storage for steps whose lineage is cut, and session settings that bound a Python worker's batches."""
+"""Shared storage for steps whose lineage is cut, and the bound on a Python worker's batches."""
 
 from __future__ import annotations
 
@@ -8,11 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, a new local one."""
+    """The folder that spark.checkpoint.dir names. Where it is unset: in local mode a new local one, on a cluster, where
+    executors share no local folder, one in the warehouse."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf:
-        conf = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        local = spark.sparkContext.master.startswith("local")
+        conf = f"file://{tempfile.mkdtemp(prefix='shared-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/steps-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(conf)
     return conf
 
@@ -29,6 +34,7 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts vary from a word to megabytes, so Arrow batches are cut by few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Texts vary from a word to megabytes, so Arrow batches are cut by bytes, the same for every operator whenever its plan
+    runs; a row longer than that is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

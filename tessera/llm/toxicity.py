@@ -3,8 +3,8 @@
 The chain is fitted on at most ``MAX_LABELLED`` labelled documents (those of least hash of their id, so the choice doesn't
 depend on the layout), each counted once however many near copies the sample holds. Features are
 the words and word beginnings whose presence goes with a category beyond chance and six shape figures. A later model is trained with
-out-of-fold probabilities of the earlier ones: those of models that did not see the document. Every document is then
-scored over its whole text, in one pass without a shuffle.
+out-of-fold probabilities of the earlier ones: those of models that did not see the document, whose words, means and scales
+were also chosen without it. Every document is then scored over its whole text, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from tessera.llm.store import small_batches
 from tessera.llm.textnp import SECOND_TABLE, U, batch_bytes, lowered, mix, shingles, slices, span_hashes, words
 
-MAX_LABELLED = 6_000
-LEAST_DOCS, LEAST_CHI2, MOST_WORDS, FOLDS, RIDGE, STEM = 6, 30.0, 600, 5, 1.0, 5
+#: Bounds of the fit: labelled documents it learns from, and words of the model (the most telling ones).
+MAX_LABELLED, MOST_WORDS = 6_000, 600
+LEAST_DOCS, LEAST_CHI2, FOLDS, RIDGE, STEM = 6, 30.0, 5, 1.0, 5
 MINIMA = 2
 _SALTS = mix(np.arange(1, MINIMA + 1, dtype=U))
 _EDGE = np.zeros(256, bool)
@@ -149,7 +150,7 @@ class Chain:
             yield i, j, out
 
 
-def _chosen(words_of, y: np.ndarray) -> np.ndarray:
+def _chosen(words_of, y: np.ndarray, most_words: int) -> np.ndarray:
     """Words and beginnings of which a category holds beyond chance: chi-squared over documents of at least LEAST_CHI2."""
     if not len(words_of):
         return np.zeros(0, U)
@@ -170,20 +171,26 @@ def _chosen(words_of, y: np.ndarray) -> np.ndarray:
         low = np.maximum(df * (a + c) * (b + d) * (c + d), 1)
         best = np.maximum(best, total * (a * d - b * c) ** 2 / low)
     keep = np.flatnonzero(common & (best >= LEAST_CHI2))
-    keep = keep[np.argsort(-best[keep], kind="stable")][:MOST_WORDS]
+    keep = keep[np.argsort(-best[keep], kind="stable")][:most_words]
     return np.sort(keys[keep])
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit on labelled documents. A label of an unknown document, a null label or a null id teaches nothing; with no label
-    at all every probability is a half and nothing is called toxic."""
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_labelled: int = MAX_LABELLED, most_words: int = MOST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """Fit on labelled documents, ``max_labelled`` at most, with ``most_words`` words as features at most.
+
+    A label of an unknown document, a null label or a null id teaches nothing; with no label at all every probability is a
+    half and nothing is called toxic. An id that is labelled more than once has the largest of its labels; of rows that
+    share an id the one whose text has the least hash is the document.
+    """
     small_batches(docs.sparkSession)
     ys = labels.select(F.col(id_col).alias("__id"), F.array(*(c.cast("double") for c in categories.values())).alias("y")).where(F.col("__id").isNotNull() & ~F.exists("y", lambda v: v.isNull()))
+    ys = ys.groupBy("__id").agg(F.max("y").alias("y"))
     n = ys.count()
     if n > max_labelled:  # about so many, by a hash of the id, then the bound itself
         ys = ys.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n)).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(ys.dropDuplicates(["__id"])), "__id").select("y", "text")  # max_labelled rows at most
+    sample = texts.join(F.broadcast(ys), "__id")  # max_labelled rows at most
+    sample = sample.groupBy("__id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
     rows = sample.mapInArrow(_collectable, "y array<double>, w binary, c binary, low binary, dense binary").collect()
     rows.sort(key=lambda r: (r.low, r.w, r.y))
     seen: list[set[bytes]] = [set() for _ in range(MINIMA)]
@@ -200,23 +207,31 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     del rows
     words_of = [(np.frombuffer(r.w, U), np.frombuffer(r.c, np.int32)) for r in own]
     dense, y = np.stack([np.frombuffer(r.dense) for r in own]), np.array([r.y for r in own])
-    chain = Chain(names, _chosen(words_of, y), dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-6), [], [])
-    x = chain.base(words_of, dense)
-    fold = np.arange(len(x)) % FOLDS
-    unseen = np.zeros((len(x), 0))
+    fold = np.arange(len(y)) % FOLDS
+    parts = [(fold != f, fold == f) for f in range(FOLDS) if (fold == f).any() and (fold != f).any()]
+    whole = _described(words_of, dense, y, np.ones(len(y), bool), most_words)
+    apart = [_described(words_of, dense, y, learn, most_words) for learn, _ in parts]
+    chain = Chain(names, *whole[:3], [], [])
+    unseen = np.zeros((len(y), 0))
     for k in range(len(names)):
-        full = np.hstack([x, _logit(unseen)])
-        out = np.zeros(len(x))
-        for f in range(FOLDS):
-            if (fold == f).any() and (fold != f).any():
-                w = fit_linear(full[fold != f], y[fold != f, k])
-                out[fold == f] = _sigmoid(full[fold == f] @ w[:-1] + w[-1])
-        chain.weights.append(fit_linear(full, y[:, k]))
+        out = np.zeros(len(y))
+        for (learn, held), (*_, x) in zip(parts, apart, strict=True):
+            full = np.hstack([x, _logit(unseen)])
+            w = fit_linear(full[learn], y[learn, k])
+            out[held] = _sigmoid(full[held] @ w[:-1] + w[-1])
+        chain.weights.append(fit_linear(np.hstack([whole[3], _logit(unseen)]), y[:, k]))
         chain.cutoffs.append(best_cutoff(out, y[:, k]))
         unseen = np.hstack([unseen, out[:, None]])
     return chain
 
 
+def _described(words_of, dense: np.ndarray, y: np.ndarray, learn: np.ndarray, most_words: int):
+    """Words, means and scales chosen on the rows to learn from, and all rows' features by them."""
+    keys = _chosen([w for w, ok in zip(words_of, learn, strict=True) if ok], y[learn], most_words)
+    mean, scale = dense[learn].mean(axis=0), np.maximum(dense[learn].std(axis=0), 1e-6)
+    return keys, mean, scale, Chain([], keys, mean, scale, [], []).base(words_of, dense)
+
+
 def score_chain(docs: DataFrame, chain: Chain, target: str, flag_col: str = "toxic", threshold: float | None = None, text_col: str = "text") -> DataFrame:
     """The documents with p_<category> for each category and ``flag_col``: the target's probability is ``threshold`` (by
     default the chain's own cutoff) or more.

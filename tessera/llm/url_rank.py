@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from tessera.llm.store import stash
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)\bhref\s{0,8}=\s{0,8}["']?\s{0,8}((?:https?:)?//[^/?#"'\s<>]{1,300})"""
+_LINK = r"""(?i)\bhref\s*+=\s*+["']?\s*+((?:https?:)?//[^/?#"'\s<>]++)"""
+#: Hosts with a rank that are sent to every executor at most (some 100 bytes each); more are joined by shuffle.
+BROADCAST_HOSTS = 500_000
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,7 @@ def path_of(url: Column) -> Column:
 def matched(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Column]:
     """Text and verdict of the longest rule that fits; null if none does. Of equally long ones the first listed."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.text)):
+    for _, r in sorted(enumerate(rules), key=lambda k: (len(k[1].text), -k[0])):
         fits = ((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path)
         rule, verdict = F.when(fits, r.text).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
     return rule, verdict
@@ -104,6 +106,11 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.0, url_col:
     trust = personalised(edges, good).withColumnRenamed("rank", "trust")
     distrust = personalised(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), bad).withColumnRenamed("rank", "distrust")
     scores = stash(trust.join(distrust, "host", "full"))
-    out = rows.join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
+    if scores.count() <= BROADCAST_HOSTS:
+        out = rows.join(F.broadcast(scores), "host", "left")
+    else:  # rows without a host have no partner; they stay out of the shuffle
+        lone = rows.where("host = ''").withColumns({"trust": F.lit(None).cast("double"), "distrust": F.lit(None).cast("double")})
+        out = rows.where("host <> ''").join(scores, "host", "left").unionByName(lone)
+    out = out.withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     own = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
     return out.select(*pages.columns, "host", "path", "rule", F.coalesce("__said", own).alias("verdict"), "trust", "distrust")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.queries import URL_RULES
-from tessera.llm.url_rank import host_edges, judge, personalised
+from tessera.llm.url_rank import Rule, host_edges, judge, personalised
 
 
 def pagerank(n, edges, seeds, d=0.85):
@@ -60,6 +60,31 @@ def ruled(url):
     return host, path, best.text if best else None, best.verdict if best else None
 
 
+def test_the_first_of_equally_long_rules_wins(spark):
+    rules = [Rule("org", "/a/b", "allow"), Rule("x.org", "/a", "block"), Rule("x.org", "/", "allow")]
+    docs = spark.createDataFrame([(1, "http://x.org/a/b", None), (2, "http://x.org/a", None)], "page_id long, url string, html string")
+    for own in (rules, rules[::-1]):
+        got = {r.page_id: (r.rule, r.verdict) for r in judge(docs, own).collect()}
+        assert got == {1: (own[[r.text for r in own].index("org/a/b" if own is rules else "x.org/a")].text, "allow" if own is rules else "block"), 2: ("x.org/a", "block")}
+
+
+def test_long_hosts_and_wide_links(spark):
+    far = "h" * 400 + ".net"
+    page = f"<a href {' ' * 20}= {' ' * 20}'http://{far}/'>x</a>"
+    docs = spark.createDataFrame([(1, "http://b.com/de/1", page), (2, f"http://{far}/", None), (3, "http://z.net/", f"<a href=//{far}>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.distrust > 0) for r in judge(docs, [*URL_RULES, Rule(far, "/", "block")]).collect()}
+    assert got == {1: ("block", True), 2: ("block", True), 3: ("block", True)}
+
+
+def test_many_hosts_are_joined_by_shuffle(spark, monkeypatch):
+    import tessera.llm.url_rank as m
+
+    docs = spark.createDataFrame([(1, "http://b.com/de/1", None), (2, None, None), (3, "http://s.net/", '<a href="http://b.com/">')], "page_id long, url string, html string")
+    want = sorted(tuple(map(str, r)) for r in judge(docs, URL_RULES).collect())
+    monkeypatch.setattr(m, "BROADCAST_HOSTS", 0)
+    assert sorted(tuple(map(str, r)) for r in judge(docs, URL_RULES).collect()) == want and len(want) == 3
+
+
 def test_verdicts(spark):
     link = lambda *h: "".join(f'<a href="http://{x}/">x</a>' for x in h)
     urls = [
