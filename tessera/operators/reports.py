@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.inference import content_words
+from tessera.operators.questions import content_words
 
 
 def intake_audit(files: DataFrame) -> DataFrame:

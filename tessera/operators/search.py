@@ -82,16 +82,6 @@ def conversation_turns(messages: DataFrame) -> DataFrame:
     return messages.withColumn("turn_no", r)
 
 
-def question_frame(text: Column) -> Column:
-    """The kind of question, by its opening."""
-    s = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    rules = [("process", r"^how (?:do|does|can|to)\b"), ("definition", r"^(?:what is|what are|define)\b"), ("cause", r"^why\b"), ("time", r"^when\b"), ("place", r"^where\b"), ("person", r"^who\b"), ("quantity", r"^how (?:many|much)\b"), ("choice", r"^which\b"), ("polar", r"^(?:is|are|can|does|do|did|will|was|were)\b")]
-    out = None
-    for kind, pattern in rules:
-        out = F.when(s.rlike(pattern), kind) if out is None else out.when(s.rlike(pattern), kind)
-    return out.otherwise(F.when(s.endswith("?"), "question").otherwise("statement"))
-
-
 def force_answer(text: Column) -> Column:
     """F = m a from a mass in kg and an acceleration in m/s2 named in the text, as a decimal; null if either lacks."""
     mass = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*(?:kg|kilograms?)\b", 1)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import symbols as S
@@ -27,6 +27,16 @@ def docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "source")
 
 
+def rows_hash(*cols: Column) -> Column:
+    """A row as a number of 32 bits, to be summed: equal sums over the same groups mean equal rows."""
+    joined = F.concat_ws("|", *(c.cast("string") for c in cols))
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _hash(*cols: str) -> str:
+    return f"sum(('0x' || left(md5(concat_ws('|', {', '.join(cols)})), 8))::BIGINT)::BIGINT"
+
+
 def known(spark, sf):
     own = relations.placed_anchors(table(spark, sf, "benchmark"), "item_id").select("anchor").distinct()
     return lexicon.allocate(own)
@@ -100,17 +110,17 @@ def _(spark, sf):
 
 
 @query("j1_relations", f"""WITH {TOKS}, {PAIRS} SELECT source_id, "offset", count(*)::BIGINT AS relations, sum(observations)::BIGINT AS observations,
-    sum(observations * observations)::BIGINT AS squares FROM rel GROUP BY ALL""")
+    {_hash('anchor', 'neighbor', 'observations')} AS digest FROM rel GROUP BY ALL""")
 def _(spark, sf):
     rel = relations.relations(docs(spark, sf))
-    return rel.groupBy("source_id", "offset").agg(F.count(F.lit(1)).alias("relations"), F.sum("observations").alias("observations"), F.sum(F.col("observations") * F.col("observations")).alias("squares"))
+    return rel.groupBy("source_id", "offset").agg(F.count(F.lit(1)).alias("relations"), F.sum("observations").alias("observations"), F.sum(rows_hash(F.col("anchor"), F.col("neighbor"), F.col("observations"))).alias("digest"))
 
 
 @query("j1_corpus_relations", f"""WITH {TOKS}, {PAIRS}, flat AS (SELECT anchor, "offset", neighbor, sum(observations)::BIGINT AS n FROM rel GROUP BY ALL)
-    SELECT anchor, count(*)::BIGINT AS relations, sum(n)::BIGINT AS observations, max(n) AS largest FROM flat GROUP BY anchor""")
+    SELECT anchor, count(*)::BIGINT AS relations, sum(n)::BIGINT AS observations, {_hash('"offset"', 'neighbor', 'n')} AS digest FROM flat GROUP BY anchor""")
 def _(spark, sf):
     rel = relations.corpus_relations(docs(spark, sf))
-    return rel.groupBy("anchor").agg(F.count(F.lit(1)).alias("relations"), F.sum("observations").alias("observations"), F.max("observations").alias("largest"))
+    return rel.groupBy("anchor").agg(F.count(F.lit(1)).alias("relations"), F.sum("observations").alias("observations"), F.sum(rows_hash(F.col("offset"), F.col("neighbor"), F.col("observations"))).alias("digest"))
 
 
 _ASKED_SQL = ", ".join(f"'{a}'" for a in ASKED)
@@ -127,10 +137,10 @@ def t1_neighbors(spark, sf):
 @query("a5_context_views", f"""WITH {TOKS}, {PAIRS}, f AS (SELECT anchor, "offset", neighbor, sum(observations)::BIGINT AS n FROM rel GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY anchor, "offset" ORDER BY n DESC, neighbor) AS k, sum(n) OVER (PARTITION BY anchor, "offset") AS total FROM f)
     SELECT CASE WHEN "offset" < 0 THEN 'before' ELSE 'after' END AS side, abs("offset")::INT AS distance, neighbor, count(*)::BIGINT AS anchors,
-           sum(n)::BIGINT AS n, sum(total)::BIGINT AS total FROM r WHERE k <= 6 GROUP BY ALL""")
+           sum(n)::BIGINT AS n, {_hash('anchor', 'n', 'total', 'k')} AS digest FROM r WHERE k <= 6 GROUP BY ALL""")
 def _(spark, sf):
     views = context.context_views(relations.corpus_relations(docs(spark, sf)))
-    return views.groupBy("side", "distance", "neighbor").agg(F.count(F.lit(1)).alias("anchors"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return views.groupBy("side", "distance", "neighbor").agg(F.count(F.lit(1)).alias("anchors"), F.sum("n").alias("n"), F.sum(rows_hash(F.col("anchor"), F.col("n"), F.col("total"), F.col("rank"))).alias("digest"))
 
 
 @query("a6_anchor_index", f"""WITH {TOKS}, {PAIRS}, {COUNTS}, a AS (SELECT anchor, sum(observations)::BIGINT AS around FROM rel GROUP BY anchor)
@@ -152,44 +162,42 @@ _PAIRED = """
 
 @query("a9_profiles", f"""WITH {TOKS}, {PAIRS}, f AS (SELECT source_id, anchor, "offset", neighbor, sum(observations)::BIGINT AS n FROM rel GROUP BY ALL),
     r AS (SELECT *, max(n) OVER w AS top, row_number() OVER (PARTITION BY source_id, anchor, "offset" ORDER BY n DESC, neighbor) AS k FROM f WINDOW w AS (PARTITION BY source_id, anchor, "offset"))
-    SELECT source_id, "offset", count(*)::BIGINT AS rows_n, sum(round(n / top * 1e6)::BIGINT)::BIGINT AS scores, sum(k)::BIGINT AS ranks FROM r WHERE k <= 12 GROUP BY ALL""")
+    SELECT source_id, "offset", count(*)::BIGINT AS rows_n, {_hash('anchor', 'neighbor', 'n', 'round(n / top * 1e6)::BIGINT', 'k')} AS digest FROM r WHERE k <= 12 GROUP BY ALL""")
 def _(spark, sf):
     rows = context.positional_profiles(relations.relations(docs(spark, sf)))
-    return rows.groupBy("source_id", "offset").agg(F.count(F.lit(1)).alias("rows_n"), F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("scores"), F.sum("rank").alias("ranks"))
+    return rows.groupBy("source_id", "offset").agg(F.count(F.lit(1)).alias("rows_n"), F.sum(rows_hash(F.col("anchor"), F.col("neighbor"), F.col("n"), F.round(F.col("score") * 1e6).cast("long"), F.col("rank"))).alias("digest"))
 
 
 @query("a10_directional", f"""WITH {TOKS}, {PAIRS}, {_PAIRED}
-    SELECT source_id, neighbor, min(array_to_string(offs, ',')) AS low, max(array_to_string(offs, ',')) AS high, count(*)::BIGINT AS anchors, sum(round(observations / total * 1e6)::BIGINT)::BIGINT AS scores
-    FROM q WHERE k <= 12 GROUP BY ALL""")
+    SELECT source_id, neighbor, count(*)::BIGINT AS anchors, {_hash('anchor', "array_to_string(offs, ',')", 'observations', 'round(observations / total * 1e6)::BIGINT')} AS digest FROM q WHERE k <= 12 GROUP BY ALL""")
 def _(spark, sf):
     rows = context.directional_resonance(relations.relations(docs(spark, sf)))
-    return rows.groupBy("source_id", "neighbor").agg(F.min("offsets").alias("low"), F.max("offsets").alias("high"), F.count(F.lit(1)).alias("anchors"), F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("scores"))
+    return rows.groupBy("source_id", "neighbor").agg(F.count(F.lit(1)).alias("anchors"), F.sum(rows_hash(F.col("anchor"), F.col("offsets"), F.col("observations"), F.round(F.col("score") * 1e6).cast("long"))).alias("digest"))
 
 
 @query("a11_clouds", f"""WITH {TOKS}, {PAIRS}, {_PAIRED}
-    SELECT source_id, anchor, count(*)::BIGINT AS members, sum(round(observations / top * 1e6)::BIGINT)::BIGINT AS strength, min(array_to_string(offs[1:3], ',')) AS offsets
-    FROM q WHERE k <= 12 AND round(observations / top, 6) >= 0.3 GROUP BY ALL""")
+    SELECT source_id, anchor, count(*)::BIGINT AS members, {_hash('neighbor', "array_to_string(offs[1:3], ',')", 'round(observations / top * 1e6)::BIGINT')} AS digest FROM q WHERE k <= 12 AND round(observations / top, 6) >= 0.3 GROUP BY ALL""")
 def _(spark, sf):
     rows = context.context_clouds(relations.relations(docs(spark, sf)))
-    return rows.groupBy("source_id", "anchor").agg(F.count(F.lit(1)).alias("members"), F.sum(F.round(F.col("strength") * 1e6).cast("long")).alias("strength"), F.min("offsets").alias("offsets"))
+    return rows.groupBy("source_id", "anchor").agg(F.count(F.lit(1)).alias("members"), F.sum(rows_hash(F.col("neighbor"), F.col("offsets"), F.round(F.col("strength") * 1e6).cast("long"))).alias("digest"))
 
 
 @query("j5_overlay", f"""WITH {TOKS}, {PAIRS}, f AS (SELECT source_id, anchor, neighbor, sum(observations)::BIGINT AS n FROM rel GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY source_id, anchor ORDER BY n DESC, neighbor) AS k FROM f)
-    SELECT source_id, neighbor, count(*)::BIGINT AS anchors, sum(n)::BIGINT AS n FROM r WHERE k <= 12 GROUP BY ALL""")
+    SELECT source_id, neighbor, count(*)::BIGINT AS anchors, sum(n)::BIGINT AS n, {_hash('anchor', 'n', 'k')} AS digest FROM r WHERE k <= 12 GROUP BY ALL""")
 def _(spark, sf):
     rows = counts.overlay(relations.relations(docs(spark, sf)))
-    return rows.groupBy("source_id", "neighbor").agg(F.count(F.lit(1)).alias("anchors"), F.sum("n").alias("n"))
+    return rows.groupBy("source_id", "neighbor").agg(F.count(F.lit(1)).alias("anchors"), F.sum("n").alias("n"), F.sum(rows_hash(F.col("anchor"), F.col("n"), F.col("rank"))).alias("digest"))
 
 
 _CELLS = """cells AS (SELECT anchor AS root, "offset", neighbor, (regexp_extract(source, '(\\d+)$', 1)::INT % 5) AS lane, sum(observations)::BIGINT AS "count"
     FROM rel JOIN documents ON doc_id = source_id GROUP BY ALL)"""
 
 
-@query("a2_merge", f"""WITH {TOKS}, {PAIRS}, {_CELLS} SELECT root, lane, count(*)::BIGINT AS relations, sum("count")::BIGINT AS n, max("count")::BIGINT AS largest FROM cells GROUP BY ALL""")
+@query("a2_merge", f"""WITH {TOKS}, {PAIRS}, {_CELLS} SELECT root, lane, count(*)::BIGINT AS relations, sum("count")::BIGINT AS n, {_hash('"offset"', 'neighbor', '"count"')} AS digest FROM cells GROUP BY ALL""")
 def _(spark, sf):
     merged = counts.merge(cell_rows(spark, sf))
-    return merged.groupBy("root", "lane").agg(F.count(F.lit(1)).alias("relations"), F.sum("count").alias("n"), F.max("count").alias("largest"))
+    return merged.groupBy("root", "lane").agg(F.count(F.lit(1)).alias("relations"), F.sum("count").alias("n"), F.sum(rows_hash(F.col("offset"), F.col("neighbor"), F.col("count"))).alias("digest"))
 
 
 _QUESTION_SQL = ", ".join(f"'{a}'" for a in QUESTION)
@@ -323,8 +331,8 @@ def _(spark, sf):
     return lexicon.registry_upsert(rows.where("first_seen % 2 = 0"), rows.where("first_seen % 2 <> 0"))
 
 
-@query("j17_review_queue", f"""WITH {TOKS}, {COUNTS}, {KNOWN}, ign AS (SELECT anchor FROM cnt WHERE n % 7 = 0), pen AS (SELECT anchor FROM cnt WHERE n % 5 = 0)
-    SELECT anchor, n AS observations, CASE WHEN pen.anchor IS NULL THEN 'unmatched' ELSE 'pending' END AS status FROM cnt ANTI JOIN lex USING (anchor) ANTI JOIN ign USING (anchor) LEFT JOIN pen USING (anchor) WHERE n >= 2""".replace("SELECT anchor, n AS", "SELECT cnt.anchor, n AS").replace("FROM cnt ANTI JOIN lex USING (anchor) ANTI JOIN ign USING (anchor) LEFT JOIN pen USING (anchor)", "FROM cnt LEFT JOIN pen ON pen.anchor = cnt.anchor").replace("WHERE n >= 2", "WHERE n >= 2 AND cnt.anchor NOT IN (SELECT anchor FROM lex) AND cnt.anchor NOT IN (SELECT anchor FROM ign)"))
+@query("j17_review_queue", f"""WITH {TOKS}, {COUNTS}, {KNOWN} SELECT cnt.anchor, n AS observations, CASE WHEN n % 5 = 0 THEN 'pending' ELSE 'unmatched' END AS status
+    FROM cnt ANTI JOIN lex ON lex.anchor = cnt.anchor WHERE n >= 2 AND n % 7 <> 0""")
 def _(spark, sf):
     c = relations.token_counts(docs(spark, sf)).withColumnRenamed("n", "observations")
     return lexicon.review_queue(c, known(spark, sf), c.where("observations % 7 = 0"), c.where("observations % 5 = 0"), 2)
@@ -382,14 +390,6 @@ def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.payload_shape(F.col("text")).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@query("i9_frames", r"""SELECT conv_id, turn, CASE WHEN regexp_matches(s, '^how (?:do|does|can|to)\b') THEN 'process' WHEN regexp_matches(s, '^(?:what is|what are|define)\b') THEN 'definition'
-    WHEN regexp_matches(s, '^why\b') THEN 'cause' WHEN regexp_matches(s, '^when\b') THEN 'time' WHEN regexp_matches(s, '^where\b') THEN 'place' WHEN regexp_matches(s, '^who\b') THEN 'person'
-    WHEN regexp_matches(s, '^how (?:many|much)\b') THEN 'quantity' WHEN regexp_matches(s, '^which\b') THEN 'choice' WHEN regexp_matches(s, '^(?:is|are|can|does|do|did|will|was|were)\b') THEN 'polar'
-    WHEN ends_with(s, '?') THEN 'question' ELSE 'statement' END AS frame FROM (SELECT conv_id, turn, lower(trim(coalesce(text, ''))) AS s FROM conversations)""")
-def _(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", search.question_frame(F.col("text")).alias("frame"))
-
-
 @query("t10_evidence")
 def _(spark, sf):
     blocks = docs(spark, sf).select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("block_id", "text"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import symbols as S
 from tessera.functions import text as X
-from tessera.operators import counts, frames, graph, inference, lexicon, phrases, relations, visual
-from tessera.registry import _CELL_SQL, _FOLD, _GLUE_SQL, _GRAMS, _QUESTION_SQL, COUNTS, KNOWN, PAIRS, QUESTION, TOKS, _tokens, docs, grids, known, query, table
+from tessera.operators import counts, frames, graph, lexicon, phrases, relations, visual
+from tessera.registry import _CELL_SQL, _hash, _FOLD, _GLUE_SQL, _GRAMS, _QUESTION_SQL, COUNTS, KNOWN, PAIRS, QUESTION, TOKS, _tokens, docs, grids, known, query, rows_hash, table
 
 
 @query("p1_paragraphs", r"""SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n', chr(10), 'g'), '\r', chr(10), 'g'), '\n\s*\n+'), lambda p: trim(p, ' ' || chr(9) || chr(10)) <> ''))::INT AS paragraphs FROM documents""")
@@ -63,23 +63,6 @@ def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.clean_text(F.col("text")).alias("text"))
 
 
-@query("f5_blocked", rf"""WITH {TOKS}, {COUNTS} SELECT anchor, (anchor IN ({_GLUE_SQL}) OR starts_with(anchor, '<') OR ends_with(anchor, '>') OR contains(anchor, 'xml')
-    OR regexp_full_match(anchor, '[^\p{{L}}\p{{N}}]') OR regexp_full_match(anchor, '\p{{Nd}}+')) AS blocked FROM cnt""")
-def _(spark, sf):
-    return relations.token_counts(docs(spark, sf)).select("anchor", inference.blocked_answer(F.col("anchor")).alias("blocked"))
-
-
-@query("f6_gate", rf"""WITH {TOKS}, {COUNTS} SELECT anchor, CASE WHEN anchor IN ({_QUESTION_SQL}) THEN 'query_echo' WHEN anchor IN ({_GLUE_SQL}) THEN 'glue_as_content'
-    WHEN regexp_matches(anchor, '[^\p{{L}}\p{{N}}''\-]') THEN 'punctuation_as_content' WHEN regexp_full_match(anchor, '\p{{Nd}}+') THEN 'number_as_content' ELSE '' END AS reason FROM cnt""")
-def _(spark, sf):
-    return relations.token_counts(docs(spark, sf)).select("anchor", inference.gate_reason(F.col("anchor"), QUESTION).alias("reason"))
-
-
-@query("z71_content_words", rf"""SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_GLUE_SQL})), ' ') AS words FROM conversations""")
-def _(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(inference.content_words(F.col("text")), " ").alias("words"))
-
-
 @query("j2_symbol_relations", f"""WITH {TOKS}, {PAIRS}, {KNOWN} SELECT a.symbol AS symbol_id, "offset", b.symbol AS neighbor_symbol_id, sum(observations)::BIGINT AS observations
     FROM rel JOIN lex a ON a.anchor = rel.anchor JOIN lex b ON b.anchor = rel.neighbor GROUP BY ALL""")
 def _(spark, sf):
@@ -89,27 +72,27 @@ def _(spark, sf):
     return both.groupBy("symbol_id", "offset", "neighbor_symbol_id").agg(F.sum("observations").alias("observations"))
 
 
-@query("j7_stream_relations", f"""WITH {TOKS}, {PAIRS} SELECT source_id, count(*)::BIGINT AS relations, sum(observations)::BIGINT AS observations FROM rel GROUP BY source_id""")
+@query("j7_stream_relations", f"""WITH {TOKS}, {PAIRS} SELECT source_id, count(*)::BIGINT AS relations, sum(observations)::BIGINT AS observations, {_hash('anchor', '"offset"', 'neighbor', 'observations')} AS digest FROM rel GROUP BY source_id""")
 def _(spark, sf):
-    return relations.stream_relations(docs(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("relations"), F.sum("observations").alias("observations"))
+    return relations.stream_relations(docs(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("relations"), F.sum("observations").alias("observations"), F.sum(rows_hash(F.col("anchor"), F.col("offset"), F.col("neighbor"), F.col("observations"))).alias("digest"))
 
 
 _LINES = "ln AS (SELECT doc_id * 1000000 + generate_subscripts(string_split(text, chr(10)), 1) AS lid, unnest(string_split(text, chr(10))) AS text FROM documents)"
 
 
 @query("g2_line_relations", f"""WITH {_LINES}, {_tokens("ln", "lid", "toks")}, {PAIRS}, f AS (SELECT source_id // 1000000 AS source_id, anchor, "offset", neighbor, sum(observations) AS n FROM rel GROUP BY ALL)
-    SELECT source_id, count(*)::BIGINT AS relations, sum(n)::BIGINT AS observations FROM f GROUP BY source_id""")
+    SELECT source_id, count(*)::BIGINT AS relations, sum(n)::BIGINT AS observations, {_hash('anchor', '"offset"', 'neighbor', 'n')} AS digest FROM f GROUP BY source_id""")
 def _(spark, sf):
-    return relations.line_relations(docs(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("relations"), F.sum("observations").alias("observations"))
+    return relations.line_relations(docs(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("relations"), F.sum("observations").alias("observations"), F.sum(rows_hash(F.col("anchor"), F.col("offset"), F.col("neighbor"), F.col("observations"))).alias("digest"))
 
 
 @query("j13_two_hop", f"""WITH {TOKS}, {PAIRS}, s AS (SELECT anchor, neighbor, sum(observations)::BIGINT AS n FROM rel WHERE anchor IN ({_QUESTION_SQL}) GROUP BY ALL),
     f AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY n DESC, neighbor) AS k FROM s),
     r AS (SELECT neighbor AS anchor FROM f WHERE k <= 32 GROUP BY neighbor ORDER BY sum(n) DESC, neighbor LIMIT 128), w AS (SELECT anchor FROM r UNION SELECT unnest([{_QUESTION_SQL}]))
-    SELECT anchor, sum(observations)::BIGINT AS observations, count(DISTINCT neighbor)::BIGINT AS neighbors FROM rel WHERE anchor IN (SELECT anchor FROM w) GROUP BY anchor""")
+    SELECT anchor, sum(n)::BIGINT AS observations, {_hash('"offset"', 'neighbor', 'n')} AS digest FROM (SELECT anchor, "offset", neighbor, sum(observations) AS n FROM rel WHERE anchor IN (SELECT anchor FROM w) GROUP BY ALL) GROUP BY anchor""")
 def _(spark, sf):
     near = counts.two_hop(relations.corpus_relations(docs(spark, sf)), QUESTION)
-    return near.groupBy("anchor").agg(F.sum("observations").alias("observations"), F.count_distinct("neighbor").alias("neighbors"))
+    return near.groupBy("anchor").agg(F.sum("observations").alias("observations"), F.sum(rows_hash(F.col("offset"), F.col("neighbor"), F.col("observations"))).alias("digest"))
 
 
 @query("h5_grid", f"""WITH {KNOWN} SELECT anchor, list_sum(list_transform(range(40), lambda k: (symbol >> k) & 1))::BIGINT AS ones, (symbol % 256)::BIGINT AS low FROM lex""")
@@ -130,22 +113,16 @@ def _(spark, sf):
     return phrases.candidates(phrases.ngrams(phrases.streams(docs(spark, sf)))).select("phrase", S.phrase_id(words, words).alias("phrase_id"))
 
 
-@query("j23_match_phrase")
-def _(spark, sf):
-    top = phrases.candidates(phrases.ngrams(phrases.streams(docs(spark, sf)), 3, 4), 5).select(F.col("phrase").alias("phrase_id"), F.split("phrase", " ").alias("sequence"))
-    asked = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), X.anchors(X.surfaces(F.col("text"))).alias("anchors"))
-    return inference.match_phrase(asked, top)
-
-
-@query("j19_align", """WITH a AS (SELECT conv_id % 5 AS doc, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm, conv_id * 1000 + turn AS ordinal FROM conversations WHERE turn % 2 = 0),
-    b AS (SELECT conv_id % 5 AS doc, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm, conv_id * 1000 + turn AS ordinal FROM conversations WHERE turn % 3 = 0),
+@query("j19_align", r"""WITH a AS (SELECT lang AS doc, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS norm, doc_id AS ordinal FROM documents),
+    b AS (SELECT lang AS doc, lower(trim(regexp_replace(coalesce(string_split(text, chr(10))[1], ''), '\s+', ' ', 'g'))) AS norm, doc_id AS ordinal FROM documents),
     an AS (SELECT *, row_number() OVER (PARTITION BY doc, norm ORDER BY ordinal) AS k FROM a), bn AS (SELECT *, row_number() OVER (PARTITION BY doc, norm ORDER BY ordinal) AS k FROM b),
     j AS (SELECT coalesce(an.doc, bn.doc) AS doc, an.ordinal AS s, bn.ordinal AS v FROM an FULL JOIN bn ON an.doc = bn.doc AND an.norm = bn.norm AND an.k = bn.k)
     SELECT doc, count(s)::BIGINT AS source_items, count(v)::BIGINT AS seen_items, count_if(s IS NOT NULL AND v IS NOT NULL)::BIGINT AS "exact",
            round(count_if(s IS NOT NULL AND v IS NOT NULL) / greatest(count(s), count(v), 1), 6) AS ratio FROM j GROUP BY doc""")
 def _(spark, sf):
-    rows = table(spark, sf, "conversations").select((F.col("conv_id") % 5).alias("doc"), "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "turn")
-    return visual.agreement(visual.align(rows.where("turn % 2 = 0"), rows.where("turn % 3 = 0")))
+    """Whole texts against the first lines of all texts."""
+    rows = table(spark, sf, "documents").select(F.col("lang").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("ordinal"))
+    return visual.agreement(visual.align(rows, rows.withColumn("text", F.get(F.split("text", "\n"), F.lit(0)))))
 
 
 @query("w11_clean", "SELECT label::VARCHAR AS stream_id, vec_id AS frame_number, round(list_sum(embedding::DOUBLE[]), 6) AS screen_energy FROM embeddings")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.operators import edits, inference, qa, relations, reports, visual
+from tessera.operators import edits, inference, qa, questions, relations, reports, visual
 from tessera.plans.answers import document_answer
 from tessera.sources import binary, counts_json, sinks
 
@@ -37,10 +37,15 @@ def test_qa(spark):
 
 
 def test_gates_phrases_and_roles(spark):
-    c = spark.createDataFrame([("cat", 2, 0.5, True), ("the", 2, 0.5, True), ("dog", 0, 0.5, True), ("cow", 2, 0.1, True), ("x", 2, 0.9, False)], "anchor string, support int, score double, in_domain boolean")
-    out = inference.gates(c)
-    assert [r.rule for r in out.collect()] == ["R_ADMIT", "R_CONTENT", "R_FACT_SUPPORT", "R_SCORE", "R_DOMAIN"]
-    assert reports.rejection_histogram(out).count() == 4
+    none = []
+    c = spark.createDataFrame(
+        [(1, "cat", None, None, "", None, "cats", "definition", ["a"]), (2, "cat", "thin", None, "", None, "cats", "definition", ["a"]), (3, "cat", None, False, "", None, "cats", "definition", ["a"]),
+         (4, "the", None, True, "glue_as_content", None, "cats", "definition", ["a"]), (5, "cat", "supported", True, "", "anomalous", "cats", "definition", ["a"]),
+         (6, "cat", None, None, None, None, "force on mass.", "open_educational_frame", ["force"]), (7, "cat", None, None, None, None, "force on mass.", "open_educational_frame", ["force", "mass"]), (8, "cat", None, None, None, None, "cats", "definition", none)],
+        "k int, anchor string, health string, coherent boolean, rejected string, pattern_health string, subject string, frame_type string, context array<string>")
+    out = questions.gated(c)
+    assert [r.rule for r in out.orderBy("k").collect()] == ["R_ADMIT_SUPPORTED_CANDIDATE", "R_FACT_SUPPORT", "R_QUERY_FIELD", "R_PREVIOUS_REJECTION", "R_LOOKAHEAD_HEALTH", "R_FRAME_DOMAIN", "R_ADMIT_SUPPORTED_CANDIDATE", "R_FACT_SUPPORT"]
+    assert reports.rejection_histogram(out).count() == 5
     q = spark.createDataFrame([(1, ["how", "laws", "of", "motion"]), (2, ["motion", "laws"])], "query_id int, anchors array<string>")
     p = spark.createDataFrame([("n", ["newton", "laws", "of", "motion"]), ("l", ["laws", "of", "motion"])], "phrase_id string, sequence array<string>")
     assert [tuple(r) for r in inference.match_phrase(q, p).collect()] == [(1, "l", 3)]
