@@ -31,6 +31,16 @@ def local_symbol(source_id: Column, anchor: Column) -> Column:
     return F.concat(F.lit("0xF"), F.upper(F.substring(F.sha1(F.concat_ws("\n", source_id.cast("string"), anchor).cast("binary")), 1, 9)))
 
 
+# Codes of the categories of labels.
+CATEGORIES = {"core": 0, "specialized": 1, "future": 2}
+
+
+def label_symbol(label: Column, category: str = "specialized", priority: int = 4) -> Column:
+    """Symbol text of a label: a byte of category and priority (0 to 7), then four of the label's SHA-256."""
+    first = CATEGORIES[category] << 5 | max(0, min(7, priority)) << 2
+    return F.concat(F.lit(f"0x{first:02X}"), F.upper(F.substring(F.sha2(F.lower(F.trim(label)).cast("binary"), 256), 1, 8)))
+
+
 def temp_symbol(version: str, source_id: Column, anchor: Column, salt: Column) -> Column:
     joined = F.concat_ws("::", F.lit(version), source_id.cast("string"), anchor, salt.cast("string"))
     return F.concat(F.lit("U"), F.upper(F.substring(F.sha2(joined.cast("binary"), 256), 1, 11)))

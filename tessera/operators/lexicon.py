@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.symbols import allocated, local_symbol, symbol_hex, temp_symbol
 from tessera.functions.text import casefold, letter_bucket
+from tessera.sources.steps import settled
 
 # The lanes in order, and the surfaces that belong to some of them.
 LANES = ["unknown_real_word_candidates", "math_terms_or_symbols", "math_markup", "domain_notation_anchors", "structural_source_anchors", "source_id_artifacts", "source_cleanup_candidates", "null_symbol_anchors"]
@@ -43,10 +44,10 @@ def lane(anchor: Column, context: Column | None = None) -> Column:
 
 def numbered(rows: DataFrame, col: str) -> DataFrame:
     """The distinct values of a column with their rank from 0. Ranks come from range partitions and their sizes, so no
-    task sorts everything."""
+    task sorts everything; partitions are written out before they are counted, so a lost executor can't deal values anew."""
     held = rows.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col)
     part = held.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(col)))
-    part = part.persist()  # partitions must stay as they are between the count and the numbering
+    part = settled(part)
     sizes = part.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a partition
     base, total = [], 0
     for p, n in sorted((r["__p"], r["n"]) for r in sizes):
@@ -106,6 +107,23 @@ def dedupe(entries: DataFrame, order: list[str]) -> DataFrame:
     return entries.withColumn("__r", F.row_number().over(key)).where("__r = 1").drop("__r")
 
 
+def rebuilt(packs: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(word, symbol) of all packs without regard to case, the first in ``order`` kept, and one row of checks: rows read,
+    words left, duplicates, distinct symbols, symbols that aren't ten hex digits."""
+    rows = dedupe(packs, order).select("word").distinct()
+    numbered_rows = settled(allocate(rows.select(F.col("word").alias("anchor"))).select(F.col("anchor").alias("word"), symbol_hex(F.col("symbol")).alias("symbol")))
+    seen = packs.agg(F.count(F.lit(1)).alias("source_rows"))
+    own = numbered_rows.agg(F.count(F.lit(1)).alias("unique_rows"), F.count_distinct("symbol").alias("symbols"), F.count_if(~F.col("symbol").rlike("^0x[0-9A-F]{10}$")).alias("bad_symbols"))
+    checks = seen.crossJoin(own)  # one row each
+    return numbered_rows, checks.select("source_rows", "unique_rows", (F.col("source_rows") - F.col("unique_rows")).alias("duplicates"), "symbols", "bad_symbols")
+
+
+def by_letter(words: DataFrame) -> DataFrame:
+    """letter, word, place: words of a letter's file in order, case aside."""
+    letter = letter_bucket(F.col("word"))
+    return words.select(letter.alias("letter"), "word", F.row_number().over(W.partitionBy(letter).orderBy(F.lower("word"), "word")).alias("place"))
+
+
 def letter_distribution(words: DataFrame) -> DataFrame:
     """letter, n for all 26 letters and any others that occur."""
     letters = words.sparkSession.createDataFrame([(chr(65 + i),) for i in range(26)], "letter string")
@@ -145,12 +163,25 @@ def search(entries: DataFrame, needle: str, fields: list[str], order: list[str],
     return entries.where(hit).orderBy(*order).limit(limit)
 
 
-def temp_symbols(anchors: DataFrame, version: str = "v1") -> DataFrame:
-    """source_id, anchor, symbol: temporary symbols, salted anew where two anchors of a source met in one."""
-    rows = anchors.select("source_id", "anchor").distinct().withColumn("salt", F.lit(0))
-    out = rows.withColumn("symbol", temp_symbol(version, F.col("source_id"), F.col("anchor"), F.col("salt")))
-    rank = F.row_number().over(W.partitionBy("source_id", "symbol").orderBy("anchor"))
-    return out.withColumn("salt", rank - 1).withColumn("symbol", temp_symbol(version, F.col("source_id"), F.col("anchor"), F.col("salt"))).drop("salt")
+def temp_symbols(anchors: DataFrame, version: str = "v1", rounds: int = 8) -> DataFrame:
+    """source_id, anchor, symbol: temporary symbols. Where anchors of a source meet in one symbol the first keeps it and the
+    others are salted anew until none meets another; after ``rounds`` that is an error."""
+    todo = settled(anchors.select("source_id", "anchor").distinct())
+    done = None
+    for salt in range(rounds):
+        drawn = todo.withColumn("symbol", temp_symbol(version, F.col("source_id"), F.col("anchor"), F.lit(salt)))
+        if done is not None:
+            drawn = drawn.join(done.select("source_id", "symbol", F.lit(True).alias("taken")), ["source_id", "symbol"], "left")
+        else:
+            drawn = drawn.withColumn("taken", F.lit(None).cast("boolean"))
+        first = F.row_number().over(W.partitionBy("source_id", "symbol").orderBy("anchor")) == 1
+        drawn = settled(drawn.withColumn("won", F.col("taken").isNull() & first))
+        won = drawn.where("won").select("source_id", "anchor", "symbol")
+        done = won if done is None else done.unionByName(won)
+        todo = drawn.where("not won").select("source_id", "anchor")
+        if not todo.limit(1).count():
+            return done
+    raise ValueError("temporary symbols still meet")
 
 
 def relation_fates(rel: DataFrame, lexicon: DataFrame) -> DataFrame:
