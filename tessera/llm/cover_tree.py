@@ -257,9 +257,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     dealt = stash(reps.mapInArrow(_assign(centres), "vec_id long, dim int, cell int, far double, many long, raw binary"))
     # CELLS cells for a dimension at most, so this table is bounded by the number of dimensions
     cells = dealt.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()
-    subs = {(c.dim, c.cell): max(1, math.ceil(c.n / BLOCK * 1.15)) if c.n > BLOCK else 1 for c in cells}
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + _SLACK
-    meets: dict[tuple[int, int], list[int]] = {}
+    sizes, meets = {(c.dim, c.cell): c.n for c in cells}, {}
     for p in cells:
         for q in cells:
             if p.dim == q.dim:
@@ -267,6 +266,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
                 gap = 0.0 if c is None else float(np.linalg.norm(c[p.cell] - c[q.cell]))
                 if gap <= p.far + q.far + reach:
                     meets.setdefault((p.dim, p.cell), []).append(q.cell)
+    # Where no two cells are apart they are one, so that its tiles hold many blocks.
+    whole = [d for d in {c.dim for c in cells} if all(len(meets[k]) == sum(e == d for e, _ in sizes) for k in sizes if k[0] == d)]
+    for d in whole:
+        n = sum(sizes.pop(k) for k in list(sizes) if k[0] == d)
+        meets = {k: v for k, v in meets.items() if k[0] != d} | {(d, 0): [0]}
+        sizes[d, 0] = n
+    dealt = dealt.withColumn("cell", F.when(F.col("dim").isin(whole), 0).otherwise(F.col("cell")))
+    subs = {k: math.ceil(n / BLOCK * 1.15) if n > BLOCK else 1 for k, n in sizes.items()}
     tile = {k: min(TILE, max(1, n // LEAST_TILES)) for k, n in subs.items()}
     tiles = {k: math.ceil(n / tile[k]) for k, n in subs.items()}
     plan = spark.createDataFrame([(d, c, subs[d, c], tile[d, c], [(e, tiles[d, e]) for e in sorted(meets[d, c])]) for d, c in subs], "dim int, cell int, subs int, tile int, others array<struct<cell: int, tiles: int>>")
