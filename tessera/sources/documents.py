@@ -23,8 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 ENCODINGS = ["utf-8-sig", "utf-8", "utf-16", "utf-16-le", "utf-16-be", "cp1252"]
-#: UTF-8 read as Windows-1252, what it should be, and ligatures.
-REPAIRS = {bad.encode().decode("cp1252", "ignore"): bad for bad in "’‘“”–—…•é"} | {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}
+#: Ligatures.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+#: Every byte of 128 and more as Windows-1252 shows it; the five it leaves open as they are.
+_SHOWN = {(bytes([i]).decode("cp1252", "ignore") or chr(i)): i for i in range(128, 256)}
+_GARBLED = re.compile("[" + "".join(map(re.escape, _SHOWN)) + "]{2,}")
 _UNSAFE = {".exe", ".dll", ".bat", ".cmd", ".ps1", ".sh", ".com", ".msi", ".zip"}
 
 
@@ -38,9 +41,27 @@ def decode(raw: bytes) -> str:
 
 
 def repair(text: str) -> str:
-    for bad, good in REPAIRS.items():
-        text = text.replace(bad, good)
-    return text
+    """Runs of characters that are UTF-8 read as Windows-1252 (or Latin-1) put right, twice where that happened twice, and
+    ligatures spelt out. A run that isn't UTF-8 in whole is mended from the left as far as it is."""
+
+    def mend(m: re.Match) -> str:
+        raw, out = bytes(_SHOWN[c] for c in m[0]), []
+        while raw:
+            n = next((k for k in (2, 3, 4) if k <= len(raw) and _utf8(raw[:k])), 1)
+            out.append(_utf8(raw[:n]) or m[0][len(m[0]) - len(raw)])
+            raw = raw[n:]
+        return "".join(out)
+
+    for _ in range(2):
+        text = _GARBLED.sub(mend, text)
+    return re.sub("[" + "".join(LIGATURES) + "]", lambda m: LIGATURES[m[0]], text)
+
+
+def _utf8(raw: bytes) -> str:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return ""
 
 
 def cell(value: object) -> str:
@@ -229,6 +250,7 @@ _CONVERTERS = {
     **dict.fromkeys([".xml", ".cnxml", ".svg"], ("xml-structure", lambda raw, s: "\n".join(xml_texts(raw)))),
     ".rtf": ("rtf-text", lambda raw, s: rtf_text(raw)),
     ".docx": ("docx-text", lambda raw, s: "\n".join(_zip_xml(raw, r"word/(?:document|header\d*|footer\d*|footnotes|comments)\.xml", {"p"}))),
+    **dict.fromkeys([".xlsx", ".xlsm"], ("xlsx-tables", lambda raw, s: sheets_text(raw))),
     ".odt": ("odt-text", lambda raw, s: "\n".join(dict.fromkeys(_zip_xml(raw, r"content\.xml", {"p", "h"})))),
     ".pptx": ("pptx-text", lambda raw, s: "\n".join(_zip_xml(raw, r"ppt/(?:slides/slide|notesSlides/notesSlide)\d+\.xml", {"p"}))),
     ".epub": ("epub-spine", lambda raw, s: epub_text(raw)),
@@ -256,13 +278,37 @@ def convert(name: str, raw: bytes) -> dict[str, str]:
     return {"text": re.sub("[─-╿]+", " ", text), "converter": label, "warning": warning}
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """source_id (hash of the bytes), source_name, text, converter, warning, size of every file under a path."""
+def converted(files: DataFrame) -> DataFrame:
+    """(path, content) -> source_id (hash of the bytes), source_name, text, converter, warning, size, a row a file."""
 
     def run(batches):
         for pdf in batches:
             rows = [{"source_id": hashlib.sha256(c).hexdigest(), "source_name": posixpath.basename(p), "size": len(c), **convert(p, c)} for p, c in zip(pdf["path"], pdf["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["source_id", "source_name", "text", "converter", "warning", "size"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(run, "source_id string, source_name string, text string, converter string, warning string, size long")
+    return files.select("path", "content").mapInPandas(run, "source_id string, source_name string, text string, converter string, warning string, size long")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The converted files under a path."""
+    return converted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def sheets_text(raw: bytes) -> str:
+    """Rows of all sheets of a workbook in order, cells joined; blank rows are dropped."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = z.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(si) == "si"]
+        lines = []
+        for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_natural):
+            for row in (e for e in ElementTree.fromstring(z.read(name)).iter() if local(e) == "row"):
+                values = []
+                for c in (e for e in row if local(e) == "c"):
+                    own = "".join(t.text or "" for t in c.iter() if local(t) in ("v", "t"))
+                    values.append(cell(shared[int(own)] if c.get("t") == "s" and own else own))
+                if any(values):
+                    lines.append(" | ".join(values))
+    return "\n".join(lines)
