@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import block_count, block_of
-from tessera.llm.store import stash
+from tessera.llm.store import small_batches, stash
 from tessera.llm.textnp import U, batch_bytes, lowered, mix, span_hashes, words
 
 END = 0x0A
@@ -186,7 +186,8 @@ def _gather(order: int, shards: int):
             for s in np.flatnonzero(np.diff(cut)):
                 own = by[cut[s] : cut[s + 1]]
                 out.append((int(s), kind, _pack(key[own], kind, order), count[own].astype(np.uint32 if count[own].max() < 1 << 32 else np.uint64).tobytes()))
-        out.append((-1, PAIRS, b"", pairs.tobytes()))
+        seen = np.flatnonzero(pairs)
+        out.append((-1, PAIRS, seen.astype(np.uint16).tobytes(), pairs[seen].tobytes()))
         block = table.column("block")[0].as_py()
         return pa.table([pa.array([block] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], names=["block", "shard", "kind", "keys", "counts"])
 
@@ -315,8 +316,8 @@ def _add_pairs(batches):
     """Byte pair counts of blocks -> (pair, n), summed over all blocks of the task."""
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for raw in batch.column(0):
-            total += np.frombuffer(raw.as_buffer(), np.int64)
+        for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
+            total[np.frombuffer(keys.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.int64)
     pair = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair])], names=["pair", "n"])
 
@@ -330,13 +331,14 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 5, id_col: s
     """
     if not 2 <= order <= 7:
         raise ValueError("order must be from 2 to 7")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     n = block_count(rows, "text")
     shards = max(16, n)
     held = rows.withColumn("block", block_of(n, "doc_id", "text")).repartition(n, "block")
     sent = stash(held.select("block", (~F.col("held_out")).alias("learn"), "text").groupBy("block").applyInArrow(_gather(order, shards), "block int, shard int, kind int, keys binary, counts binary"))
     pairs = np.zeros(1 << 16, np.int64)
-    summed = sent.where(F.col("kind") == PAIRS).select("counts").mapInArrow(_add_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    summed = sent.where(F.col("kind") == PAIRS).select("keys", "counts").mapInArrow(_add_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     for row in summed.collect():  # 65,536 rows at most
         pairs[row.pair] = row.n
     asked = sent.where(F.col("kind") != PAIRS).groupBy("shard", "kind")
