@@ -164,3 +164,21 @@ def payload_shape(s: Column) -> Column:
     chars = F.char_length(text)
     is_doc = (chars >= 1200) | (lines >= 12) | (fences >= 2) | ((chars >= 700) & (marks >= 8) & (terms >= 80))
     return F.struct(is_doc.alias("is_document"), chars.alias("char_count"), lines.alias("line_count"), terms.alias("term_count"), fences.alias("fence_count"), marks.alias("mark_count"))
+
+
+def may_decompose(anchor: Column) -> Column:
+    """Whether an unknown token is taken apart to characters: two or more, one a letter or digit."""
+    return (F.char_length(anchor) >= 2) & anchor.rlike(r"[\p{L}\p{N}]")
+
+
+def coded(value: Column, codes: dict[str, int], other: int) -> Column:
+    out = F.lit(other)
+    for name, code in codes.items():
+        out = F.when(value == name, code).otherwise(out)
+    return out
+
+
+def parsed_offset(text: Column) -> Column:
+    """An offset from text such as +3; null for 0, what doesn't fit in a signed byte, and what is no number."""
+    n = F.regexp_replace(text, "^[+]", "").try_cast("int")
+    return F.when((n != 0) & (F.abs(n) <= 127), n)

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,13 +101,17 @@ def ema(events: DataFrame, alpha: float, key: str, order: list[str], value: str)
     slim = events.select(key, *order, value).repartition(key).sortWithinPartitions(key, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, now = None, 0.0
+        last, now = None, None  # the key at the end of the batch before, and its average
         for pdf in batches:
-            out = np.empty(len(pdf))
-            keys, xs = pdf[key].to_numpy(), pdf[value].to_numpy(float)
-            for i, (k, x) in enumerate(zip(keys, xs, strict=True)):
-                now = x if k != last else alpha * x + (1 - alpha) * now
-                out[i], last = now, k
+            keys, out = pdf[key], np.empty(len(pdf))
+            code = pd.factorize(keys, use_na_sentinel=False)[0]  # a null key is a key like another
+            cuts = np.flatnonzero(np.diff(code)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+                xs, k = pdf[value].to_numpy(float)[a:b], keys.iloc[a] if b > a else None
+                held = a == 0 and now is not None and (k == last or (pd.isna(k) and pd.isna(last)))
+                run_of = pd.Series([now, *xs] if held else xs).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()
+                out[a:b] = run_of[1:] if held else run_of
+                last, now = k, out[b - 1] if b > a else now
             yield pdf.assign(ema=out)
 
     return slim.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [key, *order, value]) + ", ema double")
@@ -180,7 +184,11 @@ SERIES = "stream_id string, frame_number long, " + ", ".join(f"{f} double" for f
 
 
 def feature_series(frames: DataFrame, rows: int, cols: int) -> DataFrame:
-    """The twenty features of every frame of every stream, in order of frame numbers."""
+    """The twenty features of every frame of every stream, in order of frame numbers.
+
+    Each frame needs the averages after the one before, so a stream is one task; a recording is split into streams (takes,
+    chunks with their own start) where it is longer than a task should be.
+    """
     slim = frames.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("frame_number").cast("long").alias("frame_number"), F.col("cells").cast("array<double>").alias("cells"))
     slim = slim.repartition("stream_id").sortWithinPartitions("stream_id", "frame_number")
 
@@ -195,3 +203,68 @@ def feature_series(frames: DataFrame, rows: int, cols: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["stream_id", "frame_number", *FEATURES])
 
     return slim.mapInPandas(run, SERIES)
+
+
+def spatial(frames: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Shares of the change in the centre and on the border, gradient ratio, upper less lower half, and the border's
+    variance against the centre's."""
+    h, w = (max(1, min(n, round(n * 0.4))) for n in (rows, cols))
+    top, left = (rows - h) // 2, (cols - w) // 2
+    r, c, x, d = (F.col(k) for k in "rcxd")
+    at = deltas(frames).select("stream_id", "frame_number", F.posexplode(F.arrays_zip(F.col("cells").alias("x"), F.col("delta").alias("d"), F.slice(F.concat("delta", F.array(F.lit(None).cast("double"))), 2, rows * cols).alias("right"), F.slice(F.concat("delta", F.array_repeat(F.lit(None).cast("double"), cols)), cols + 1, rows * cols).alias("below"))).alias("i", "v"))
+    own = at.select("stream_id", "frame_number", F.floor(F.col("i") / cols).cast("int").alias("r"), (F.col("i") % cols).cast("int").alias("c"), F.col("v.x").cast("double").alias("x"), F.col("v.d").alias("d"), F.col("v.right").alias("right"), F.col("v.below").alias("below"))
+    centre = (r >= top) & (r < top + h) & (c >= left) & (c < left + w)
+    edge = r.isin(0, rows - 1) | c.isin(0, cols - 1)
+    some = lambda test, v: F.coalesce(F.sum(F.when(test, v)), F.lit(0.0))
+    got = own.groupBy("stream_id", "frame_number").agg(
+        F.sum(d).alias("t"), some(centre, d).alias("ce"), some(edge, d).alias("ed"), some(r < rows // 2, d).alias("up"), some(r >= rows // 2, d).alias("lo"),
+        some(c < cols - 1, F.abs(F.col("right") - d)).alias("across"), F.coalesce(F.sum(F.abs(F.col("below") - d)), F.lit(0.0)).alias("down"),
+        F.var_pop(F.when(edge, x)).alias("ev"), F.var_pop(F.when(centre, x)).alias("cv"),
+    )
+    t = F.col("t") + _EPS
+    return got.select(
+        "stream_id", "frame_number", (F.col("ce") / t).alias("center_energy_ratio"), (F.col("ed") / t).alias("edge_energy_ratio"), (F.col("across") / (F.col("down") + _EPS)).alias("horizontal_vs_vertical_ratio"),
+        ((F.col("up") - F.col("lo")) / t).alias("vertical_bias"), ((F.col("ev") - F.col("cv")) / (F.col("ev") + F.col("cv") + _EPS)).alias("tunnel_index"),
+    )
+
+
+def resized(frames: DataFrame, rows: int, cols: int, new_rows: int, new_cols: int) -> DataFrame:
+    """stream_id, frame_number, r, c, x: the grid on another raster, each new cell the mean of what it covers by area."""
+    fy, fx = rows / new_rows, cols / new_cols
+    own = cells(frames, cols)
+    hits = lambda n, f, high: F.sequence(F.floor(F.col(n) / f).cast("int"), F.least(F.lit(high - 1), F.ceil((F.col(n) + 1) / f).cast("int") - 1))
+    met = own.withColumn("nr", F.explode(hits("r", fy, new_rows))).withColumn("nc", F.explode(hits("c", fx, new_cols)))
+    part = lambda old, new, f: F.greatest(F.lit(0.0), F.least(F.col(old) + 1, (F.col(new) + 1) * f) - F.greatest(F.col(old).cast("double"), F.col(new) * f))
+    area = part("r", "nr", fy) * part("c", "nc", fx)
+    return met.withColumn("a", area).groupBy("stream_id", "frame_number", F.col("nr").alias("r"), F.col("nc").alias("c")).agg((F.sum(F.col("x") * F.col("a")) / F.sum("a")).alias("x"))
+
+
+def luma(r: Column, g: Column, b: Column) -> Column:
+    return r * 0.299 + g * 0.587 + b * 0.114
+
+
+def hsv(r: Column, g: Column, b: Column) -> Column:
+    """struct<h, s, v> of 0..255 channels: hue in half degrees, saturation and value to 255."""
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = top - low
+    hue = F.when(span == 0, 0.0).when(top == r, (g - b) / span * 30).when(top == g, (b - r) / span * 30 + 60).otherwise((r - g) / span * 30 + 120)
+    return F.struct(F.when(hue < 0, hue + 180).otherwise(hue).alias("h"), F.when(top == 0, 0.0).otherwise(span / top * 255.0).alias("s"), top.cast("double").alias("v"))
+
+
+def cell_features(pixels: DataFrame, k: int) -> DataFrame:
+    """Pixels (stream_id, frame_number, r, c, red, green, blue) -> each k x k cell's means and deviations of the channels,
+    means of hue, saturation and value, mean and deviation of luma, and luma's change from the cell in the frame before."""
+    grey, tone = luma(F.col("red"), F.col("green"), F.col("blue")), hsv(F.col("red"), F.col("green"), F.col("blue"))
+    own = pixels.withColumns({"luma": grey, "t": tone}).groupBy("stream_id", "frame_number", F.floor(F.col("r") / k).alias("cr"), F.floor(F.col("c") / k).alias("cc"))
+    stats = [f(c).alias(f"{c}_{n}") for c in ("red", "green", "blue", "luma") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    got = own.agg(*stats, *(F.avg(f"t.{x}").alias(f"{n}_mean") for x, n in (("h", "hue"), ("s", "saturation"), ("v", "value"))))
+    before = F.lag("luma_mean").over(W.partitionBy("stream_id", "cr", "cc").orderBy("frame_number"))
+    return got.withColumn("delta_luma", F.abs(F.col("luma_mean") - F.coalesce(before, F.col("luma_mean"))))
+
+
+def scene_resonance(cells_of: DataFrame, blocks_of: DataFrame, block_rows: int, block_cols: int) -> DataFrame:
+    """Nine figures of a frame from its cells (luma, motion, edge, texture) and the motion of its blocks (br, bc, mean)."""
+    mid = (F.col("br") >= block_rows // 3) & (F.col("br") < block_rows * 2 // 3) & (F.col("bc") >= block_cols // 3) & (F.col("bc") < block_cols * 2 // 3)
+    b = blocks_of.groupBy("stream_id", "frame_number").agg(F.sum("mean").alias("total"), F.avg("mean").alias("energy_mean"), F.stddev_pop("mean").alias("energy_std"), F.coalesce(F.sum(F.when(mid, F.col("mean"))), F.lit(0.0)).alias("centre"), (F.max("mean") - F.avg("mean")).alias("stutter"))
+    c = cells_of.groupBy("stream_id", "frame_number").agg((F.max("luma") / 255.0).alias("flash"), F.avg((F.col("motion") <= 0.001).cast("int")).alias("static_ratio"), F.sum("edge").alias("highfreq"), F.avg("texture").alias("lowfreq"))
+    return b.join(c, ["stream_id", "frame_number"]).select("stream_id", "frame_number", F.col("total").alias("energy_total"), "energy_mean", "energy_std", F.when(F.col("total") != 0, F.col("centre") / F.col("total")).otherwise(0.0).alias("center_energy_ratio"), "flash", "static_ratio", "highfreq", "lowfreq", "stutter")

@@ -314,3 +314,9 @@ def content_category(name: Column, text: Column, rules: list[tuple[str, list[str
         hit = reduce(lambda a, b: a | b, (hay.contains(t) for t in terms))
         out = F.when(hit, category) if out is None else out.when(hit, category)
     return out.otherwise(other) if out is not None else F.lit(other)
+
+
+def focused(anchors: Column, wrappers: list[str]) -> Column:
+    """The tokens without words that only wrap a request; all of them if nothing is left."""
+    kept = F.filter(anchors, lambda a: ~a.isin(wrappers))
+    return F.when(F.size(kept) > 0, kept).otherwise(anchors)

@@ -87,3 +87,35 @@ def force_answer(text: Column) -> Column:
     mass = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*(?:kg|kilograms?)\b", 1)
     acc = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*(?:m/s\^?2|m/s²|meters? per second squared)", 1)
     return F.when((mass != "") & (acc != ""), mass.cast("decimal(18,6)") * acc.cast("decimal(18,6)"))
+
+
+def transcripts(messages: DataFrame) -> DataFrame:
+    """conv_id, transcript: each conversation's messages in order, one a line with its role."""
+    line = F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))
+    return messages.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.line), "\n").alias("transcript"))
+
+
+def row_hashes(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows with the SHA-256 of some columns, and its first twelve digits."""
+    full = F.sha2(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in cols)).cast("binary"), 256)
+    return rows.withColumn("hash", full).withColumn("short", F.substring("hash", 1, 12))
+
+
+def spans(tokens: DataFrame, query: list[str], keys: list[str], at: str = "position") -> DataFrame:
+    """keys, span: ``proximity_span`` of long texts from token rows. Only hits are kept; each finds the nearest hit of every
+    other query token before and after it by windows, so the work grows with the hits."""
+    wanted = list(dict.fromkeys(query))
+    if len(wanted) < 2:
+        return tokens.select(*keys, F.lit(None).cast("int").alias("span")).limit(0)
+    hits = tokens.where(F.col("anchor").isin(wanted)).select(*keys, F.col(at).alias("p"), "anchor")
+    order = W.partitionBy(*keys).orderBy("p")
+    back, ahead = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    near = []
+    for w in wanted:
+        own = F.when(F.col("anchor") == w, F.col("p"))
+        a, b = F.last(own, True).over(back), F.first(own, True).over(ahead)
+        near.append(F.when(F.col("anchor") == w, F.col("p")).otherwise(F.when(b.isNull() | (F.col("p") - a <= b - F.col("p")), a).otherwise(b)).alias(f"__{len(near)}"))
+    rows = hits.select(*keys, *near)
+    full = rows.where(" and ".join(f"__{i} is not null" for i in range(len(wanted))))
+    every = [F.col(f"__{i}") for i in range(len(wanted))]
+    return full.groupBy(*keys).agg(F.min(F.greatest(*every) - F.least(*every) + 1).cast("int").alias("span"))

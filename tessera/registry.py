@@ -390,12 +390,6 @@ def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.payload_shape(F.col("text")).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@query("t10_evidence")
-def _(spark, sf):
-    blocks = docs(spark, sf).select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("block_id", "text"))
-    return search.evidence(blocks, QUESTION)
-
-
 @query("t11_evidence", f"""WITH b AS (SELECT doc_id AS d, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
     bb AS (SELECT d * 100000 + k AS bid, text FROM b), {_tokens("bb", "bid", "t")},
     s AS (SELECT source_id AS bid, list_distinct(list(anchor)) AS a FROM t GROUP BY ALL),

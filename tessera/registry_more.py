@@ -136,16 +136,6 @@ def _(spark, sf):
     return up.select("stream_id", "frame_number", F.round(F.aggregate("cells", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.size("cells").cast("long").alias("n"))
 
 
-@query("w3_spatial", f"""WITH {_CELL_SQL} SELECT stream_id, frame_number, round(sum(d) FILTER (WHERE i // 8 IN (0, 7) OR i % 8 IN (0, 7)) / (sum(d) + 1e-8), 6) AS edge,
-    round((sum(d) FILTER (WHERE i // 8 < 4) - sum(d) FILTER (WHERE i // 8 >= 4)) / (sum(d) + 1e-8), 6) AS bias FROM dl GROUP BY ALL""")
-def _(spark, sf):
-    d = frames.deltas(grids(spark, sf)).select("stream_id", "frame_number", F.col("delta").alias("cells"))
-    x, r, c = F.col("x"), F.col("r"), F.col("c")
-    edge = F.when(r.isin(0, 7) | c.isin(0, 7), x).otherwise(0.0)
-    rows = frames.cells(d, 8).groupBy("stream_id", "frame_number").agg(F.sum(edge).alias("e"), F.sum(F.when(r < 4, x).otherwise(-x)).alias("b"), F.sum(x).alias("t"))
-    return rows.select("stream_id", "frame_number", F.round(F.col("e") / (F.col("t") + 1e-8), 6).alias("edge"), F.round(F.col("b") / (F.col("t") + 1e-8), 6).alias("bias"))
-
-
 @query("a23_verify", f"WITH {TOKS} SELECT count(*)::BIGINT AS rows_n, count(DISTINCT anchor)::BIGINT AS kinds, (count(*) - count(DISTINCT anchor))::BIGINT AS duplicates FROM toks")
 def _(spark, sf):
     rows = relations.placed_anchors(docs(spark, sf))
