@@ -4,8 +4,9 @@ Encoding keeps an agenda of adjacent symbol pairs whose joint piece is in the vo
 score (of equals the leftmost) until none is left; symbols outside the vocabulary become byte pieces. A chunk (white space
 marks and what follows them up to the next) can be encoded by itself where no piece has a mark after another character,
 which is checked when a vocabulary is loaded. Short chunks run their agendas side by side in numpy, one row each; long
-ones use a heap. In every Arrow batch the sentencepiece library must agree on each chunk that is encoded anew, on its ids
-and on what they decode to, and on the batch's first text as a whole; chunks met before come from a bounded cache.
+ones use a heap. In every Arrow batch the sentencepiece library must agree on the ids of each chunk that is encoded anew, and
+on the batch's first text as a whole in both directions; chunks met before come from a bounded cache. What each id decodes
+to, after another and first, is compared when a vocabulary is loaded.
 
 Decoding puts piece surfaces and bytes together from the ids alone.
 """
@@ -196,15 +197,19 @@ class Vocabulary:
                     part = own[i : i + (1 << 14)]
                     out |= dict(zip(part, self.side_by_side(part), strict=True))
         if check and chunks:
-            lists = self.library.encode(["\n" + c for c in chunks], num_threads=1)
-            for c, ids in zip(chunks, lists, strict=True):
+            for c, ids in zip(chunks, self.library.encode(["\n" + c for c in chunks], num_threads=1), strict=True):
                 if np.array(ids[2:], np.int32).tobytes() != out[c]:
                     raise ValueError(f"the library encodes {c!r} as {ids[2:]}")
-            for c, text in zip(chunks, self.library.decode([ids[2:] for ids in lists], num_threads=1), strict=True):
-                if self.decode(np.frombuffer(out[c], np.int32)) != text:
-                    raise ValueError(f"the library decodes the ids of {c!r} to {text!r}")
         return out
 
+    def check_pieces(self) -> None:
+        """What every id decodes to, alone and after a plain piece; decoding puts these together."""
+        plain = int(np.flatnonzero(~self.silent & ~self.marked & (self.length > 0))[-1])
+        for lists in ([[i] for i in range(self.base)], [[plain, i, plain] for i in range(self.base)]):
+            for ids, text in zip(lists, self.library.decode(lists, num_threads=1), strict=True):
+                if self.decode(np.array(ids)) != text:
+                    raise ValueError(f"the library decodes {ids} to {text!r}")
+
     def check_whole(self, text: str, ids: np.ndarray, decoded: str | None) -> None:
         """Both directions of a whole text against the library."""
         own = ids.tolist()
@@ -250,6 +255,7 @@ def vocabulary(model: bytes) -> Vocabulary:
     key = hashlib.sha256(model).digest()
     if key not in _LOADED:
         _LOADED[key] = Vocabulary(model)
+        _LOADED[key].check_pieces()
     return _LOADED[key]
 
 
