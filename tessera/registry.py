@@ -165,7 +165,7 @@ _PAIRED = """
     SELECT source_id, "offset", count(*)::BIGINT AS rows_n, {_hash('anchor', 'neighbor', 'n', 'round(n / top * 1e6)::BIGINT', 'k')} AS digest FROM r WHERE k <= 12 GROUP BY ALL""")
 def _(spark, sf):
     rows = context.positional_profiles(relations.relations(docs(spark, sf)))
-    return rows.groupBy("source_id", "offset").agg(F.count(F.lit(1)).alias("rows_n"), F.sum(rows_hash(F.col("anchor"), F.col("neighbor"), F.col("n"), F.round(F.col("score") * 1e6).cast("long"), F.col("rank"))).alias("digest"))
+    return rows.groupBy("source_id", "offset").agg(F.count(F.lit(1)).alias("rows_n"), F.sum(rows_hash(F.col("anchor"), F.col("neighbor"), F.col("observations"), F.round(F.col("score") * 1e6).cast("long"), F.col("rank"))).alias("digest"))
 
 
 @query("a10_directional", f"""WITH {TOKS}, {PAIRS}, {_PAIRED}
@@ -385,11 +385,6 @@ def _(spark, sf):
     return search.conversation_turns(table(spark, sf, "conversations")).select("conv_id", "turn", "turn_no")
 
 
-@query("p29_shape")
-def _(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.payload_shape(F.col("text")).alias("s")).select("conv_id", "turn", "s.*")
-
-
 @query("t11_evidence", f"""WITH b AS (SELECT doc_id AS d, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
     bb AS (SELECT d * 100000 + k AS bid, text FROM b), {_tokens("bb", "bid", "t")},
     s AS (SELECT source_id AS bid, list_distinct(list(anchor)) AS a FROM t GROUP BY ALL),

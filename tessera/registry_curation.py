@@ -270,7 +270,8 @@ def _(spark, sf):
     return rel.groupBy("neighbor").agg(F.sum("observations").alias("n")).withColumn("blocked", F.col("neighbor").isin(phrases.GLUE))
 
 
-@query("z5_top", f"""WITH {TOKS}, {PAIRS} SELECT neighbor, sum(observations)::BIGINT AS n FROM rel WHERE anchor IN ({_ASK}) AND neighbor NOT IN ({_GLUE_SQL}) GROUP BY neighbor ORDER BY n DESC, neighbor LIMIT 25""")
+@query("z5_top", f"""WITH {TOKS}, {PAIRS}, z AS MATERIALIZED (SELECT anchor, neighbor, sum(observations)::BIGINT AS n FROM rel GROUP BY ALL)
+    SELECT neighbor, sum(n)::BIGINT AS n FROM z WHERE anchor IN ({_ASK}) AND neighbor NOT IN ({_GLUE_SQL}) GROUP BY neighbor ORDER BY n DESC, neighbor LIMIT 25""")
 def _(spark, sf):
     rel = relations.corpus_relations(docs(spark, sf)).where(F.col("anchor").isin(QUESTION) & ~F.col("neighbor").isin(phrases.GLUE))
     return rel.groupBy("neighbor").agg(F.sum("observations").alias("n")).orderBy(F.desc("n"), "neighbor").limit(25)

@@ -148,15 +148,6 @@ def _(spark, sf):
     return rows.groupBy("anchor").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
 
 
-@query("z94_parity", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
-def _(spark, sf):
-    a = relations.relations(docs(spark, sf)).groupBy("anchor", "offset", "neighbor").agg(F.sum("observations").alias("observations"))
-    b = relations.corpus_relations(docs(spark, sf))
-    part = lambda x, y, missing: x.exceptAll(y).select(F.lit(missing).alias("m"))
-    both = part(a, b, True).unionByName(part(b, a, False))
-    return both.agg(F.count_if("m").alias("missing"), F.count_if(~F.col("m")).alias("extra"))
-
-
 @query("p7_identity", f"SELECT doc_id, {_FOLD.format('lower(source)')} AS folded, lower(source) AS ident FROM documents")
 def _(spark, sf):
     return docs(spark, sf).select("doc_id", X.casefold(F.col("source")).alias("folded"), X.identity(F.col("source")).alias("ident"))
