@@ -293,13 +293,23 @@ def _(spark, sf):
     return lexicon.suggestions(missing, lex)
 
 
-@query("f1_lanes")
+_L = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+_LANES = rf"""lanes AS (SELECT anchor, n, CASE WHEN s = '' OR contains(s, '<') OR contains(s, '>') OR contains(s, '="') OR contains(s, 'm:') THEN 'null_symbol_anchors'
+    WHEN regexp_matches(low, '(?:^|[_-])(?:ch\d+|mod\d+|fig(?:ure)?|table|review_questions|self_check_questions|critical_thinking_questions|problem|solution)(?:$|[_-])') OR regexp_matches(low, '^(?:[a-z]+)?\d+[a-z]*(?:[_-][a-z0-9]+)+$') THEN 'source_id_artifacts'
+    WHEN low IN ({_L(lexicon.CLEANUP)}) OR low IN ({_L(lexicon.ABBREVIATIONS)}) THEN 'source_cleanup_candidates' WHEN low IN ({_L(lexicon.NOTATION)}) THEN 'domain_notation_anchors' WHEN low IN ({_L(lexicon.MATH_MARKUP)}) THEN 'math_markup'
+    WHEN s IN ({_L(lexicon.MATH_SYMBOLS)}) OR low IN ({_L(lexicon.MATH_TERMS)}) THEN 'math_terms_or_symbols' WHEN low IN ({_L(lexicon.STRUCTURE)}) THEN 'structural_source_anchors'
+    WHEN left(s, 1) IN ({_L(lexicon.MOJIBAKE)}) THEN 'null_symbol_anchors' WHEN length(s) >= 3 AND regexp_matches(s, '^\p{{L}}(?:[\p{{L}}''’‘]*\p{{L}})$') THEN 'unknown_real_word_candidates'
+    WHEN NOT regexp_matches(s, '^[A-Za-z0-9_\-]+$') THEN 'null_symbol_anchors' WHEN regexp_matches(low, '^[a-z][a-z''-]{{2,}}$') THEN 'unknown_real_word_candidates' ELSE 'null_symbol_anchors' END AS lane
+    FROM (SELECT cnt.anchor, n, trim(cnt.anchor) AS s, {_FOLD.format("lower(trim(cnt.anchor))")} AS low FROM cnt ANTI JOIN lex ON lex.anchor = cnt.anchor))"""
+
+
+@query("f1_lanes", f"WITH {TOKS}, {COUNTS}, {KNOWN}, {_LANES} SELECT anchor, n, lane FROM lanes")
 def _(spark, sf):
     missing = relations.token_counts(docs(spark, sf)).join(known(spark, sf), "anchor", "left_anti")
     return missing.select("anchor", "n", lexicon.lane(F.col("anchor")).alias("lane"))
 
 
-@query("a17_lane_rollup")
+@query("a17_lane_rollup", f"""WITH {TOKS}, {COUNTS}, {KNOWN}, {_LANES} SELECT l.lane, count(lanes.anchor)::BIGINT AS anchors, coalesce(sum(n), 0)::BIGINT AS observations FROM (SELECT unnest([{_L(lexicon.LANES)}]) AS lane) l LEFT JOIN lanes ON lanes.lane = l.lane GROUP BY l.lane""")
 def _(spark, sf):
     return lexicon.lane_rollup(relations.token_counts(docs(spark, sf)).join(known(spark, sf), "anchor", "left_anti"))
 
@@ -353,9 +363,10 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").offset(40).limit(20)
 
 
-@query("t6_sample")
+@query("t6_sample", "SELECT doc_id, source FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 20")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", "source").orderBy(F.rand(7)).limit(20)
+    """Twenty rows chosen by the least hash, the same for every layout; each task keeps twenty."""
+    return docs(spark, sf).select("doc_id", "source").orderBy(F.md5(F.concat_ws("|", F.lit("7"), "doc_id").cast("binary")), "doc_id").limit(20)
 
 
 _TERMS = r"""list_distinct_ordered(regexp_extract_all({0}, '[a-z0-9]+(?:''[a-z0-9]+)?'))"""
@@ -415,11 +426,12 @@ def _(spark, sf):
     return d.select("stream_id", "frame_number", F.round(F.aggregate("delta", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("delta"), 6).alias("peak"))
 
 
-@query("w2_energy", f"""WITH {_CELL_SQL} SELECT stream_id, frame_number, round(sum(d), 6) AS energy_total, round(avg(d), 6) AS energy_mean, round(stddev_pop(d), 6) AS energy_std,
-    round(avg((d < 0.01)::INT), 6) AS static_ratio FROM dl GROUP BY ALL""")
+@query("w2_energy", f"""WITH {_CELL_SQL}, ru AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY stream_id, frame_number ORDER BY d DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(d) OVER (PARTITION BY stream_id, frame_number) AS t FROM dl)
+    SELECT stream_id, frame_number, round(sum(d), 6) AS energy_total, round(avg(d), 6) AS energy_mean, round(stddev_pop(d), 6) AS energy_std, round(avg((d < 0.01)::INT), 6) AS static_ratio,
+    round(CASE WHEN sum(d) > 1e-8 THEN count_if(before < 0.5 * t) / count(*) ELSE 0 END, 6) AS motion_concentration_50 FROM ru GROUP BY ALL""")
 def _(spark, sf):
     e = frames.energy(grids(spark, sf))
-    return e.select("stream_id", "frame_number", *(F.round(c, 6).alias(c) for c in ("energy_total", "energy_mean", "energy_std", "static_ratio")))
+    return e.select("stream_id", "frame_number", *(F.round(c, 6).alias(c) for c in ("energy_total", "energy_mean", "energy_std", "static_ratio", "motion_concentration_50")))
 
 
 @query("w9_blocks", f"WITH {_CELL_SQL} SELECT stream_id, frame_number, (i // 8) // 2 AS br, (i % 8) // 2 AS bc, round(avg(x), 6) AS mean FROM c GROUP BY ALL")

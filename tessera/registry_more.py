@@ -27,7 +27,7 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(F.filter(runs, X.is_acronym)).alias("acronyms"))
 
 
-@query("p10_atomic")
+@query("p10_atomic", f"""WITH {KNOWN}, ba AS (SELECT row_number() OVER (ORDER BY anchor) AS aid, anchor AS text FROM lex), {_tokens("ba", "aid", "tk")} SELECT ba.text AS anchor, string_agg(tk.anchor, ' ' ORDER BY pos) AS atoms FROM ba JOIN tk ON tk.source_id = ba.aid GROUP BY ba.text""")
 def _(spark, sf):
     return relations.placed_anchors(table(spark, sf, "benchmark"), "item_id").select("anchor").distinct().select("anchor", F.array_join(X.atomic(F.col("anchor")), " ").alias("atoms"))
 

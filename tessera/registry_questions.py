@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import inference, phrases, questions, relations
-from tessera.registry import _FOLD, COUNTS, PAIRS, QUESTION, TOKS, _tokens, docs, query, table
+from tessera.registry import _FOLD, _GRAMS, COUNTS, PAIRS, QUESTION, TOKS, _tokens, docs, query, table
 
 SEEDS = ["the", "of"]
 _LIST = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
@@ -281,7 +281,14 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", questions.content_category(F.col("source"), F.col("text"), CATEGORIES, "general_documents").alias("category"))
 
 
-@query("j23_match_phrase")
+@query("j23_match_phrase", f"""WITH {TOKS}, {_GRAMS}, ph AS (SELECT phrase AS pid, g AS s, len(g) AS n FROM cand WHERE n IN (3, 4) AND occurrences >= 5),
+    cv AS (SELECT conv_id * 1000 + turn AS cid, text FROM conversations), {_tokens("cv", "cid", "ct")}, qa AS (SELECT source_id AS cid, list(anchor ORDER BY pos) AS a FROM ct GROUP BY source_id),
+    p1 AS (SELECT cid, pid, s, n, a, list_position(a, s[1]) AS p FROM (SELECT DISTINCT source_id AS cid, anchor FROM ct) t JOIN ph ON s[1] = anchor JOIN qa USING (cid)),
+    p2 AS (SELECT *, list_position(a[p + 1:], s[2]) AS d2 FROM p1), p3 AS (SELECT *, CASE WHEN coalesce(d2, 0) > 0 THEN list_position(a[p + d2 + 1:], s[3]) END AS d3 FROM p2),
+    p4 AS (SELECT *, CASE WHEN coalesce(d3, 0) > 0 AND n = 4 THEN list_position(a[p + d2 + d3 + 1:], s[4]) END AS d4 FROM p3),
+    h AS (SELECT cid, pid, n, 1 + (coalesce(d2, 0) > 0)::INT + (coalesce(d3, 0) > 0)::INT + (coalesce(d4, 0) > 0)::INT AS hits FROM p4),
+    b AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY hits * 10 + n DESC, pid) AS k FROM h WHERE hits >= greatest(2, n - 1))
+    SELECT (cid // 1000) || '/' || (cid % 1000) AS query_id, pid AS phrase_id, hits::INT AS hits FROM b WHERE k = 1""")
 def _(spark, sf):
     top = phrases.candidates(phrases.ngrams(phrases.streams(docs(spark, sf)), 3, 4), 5).select(F.col("phrase").alias("phrase_id"), F.split("phrase", " ").alias("sequence"))
     asked = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), X.surfaces(F.col("text")).alias("s")).select("query_id", X.anchors(F.col("s")).alias("anchors"))
