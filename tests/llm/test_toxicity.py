@@ -55,3 +55,28 @@ def test_bound_nulls_and_columns(spark):
     assert {r.p_toxic for r in m.score_chain(d, none, "toxic").collect()} == {0.5}
     assert m.score_chain(d.limit(0), chain, "toxic").count() == 0
     assert m.best_cutoff(np.array([0.1, 0.2, 0.3, 0.9]), np.array([0, 0, 1, 1.0])) == 0.3
+
+
+def test_folds_choose_their_own_words():
+    """What is chosen on some rows doesn't depend on the others, whatever their labels and words."""
+    r = np.random.default_rng(3)
+    words_of = [(np.unique(r.integers(0, 60, 12).astype(np.uint64)), None) for _ in range(400)]
+    y = np.array([[float(3 in w), float(7 in w)] for w, _ in words_of])
+    words_of = [(w, np.ones(len(w), np.int32)) for w, _ in words_of]
+    dense = r.normal(size=(400, 6))
+    learn = np.arange(400) % 5 != 2
+    first = m._described(words_of, dense, y, learn, 600)
+    other = [(w, c) if ok else (np.array([59], np.uint64), np.ones(1, np.int32)) for (w, c), ok in zip(words_of, learn, strict=True)]
+    second = m._described(other, np.where(learn[:, None], dense, 99.0), np.where(learn[:, None], y, 1.0), learn, 600)
+    assert first[0].tolist() == second[0].tolist() and {3, 7} <= set(first[0].tolist())
+    assert np.array_equal(first[1], second[1]) and np.array_equal(first[2], second[2])
+    assert len(m._described(words_of, dense, y, learn, 1)[0]) == 1
+
+
+def test_repeated_ids_and_labels(spark):
+    docs, labels = corpus(4, 200)
+    d = spark.createDataFrame([*docs, *[(5, "other text")] * 300], "doc_id long, text string")
+    lab = spark.createDataFrame([*labels, *[(i, q, 1 - t) for i, q, t in labels[:3]]], "doc_id long, quality int, toxic int")
+    one = m.fit_chain(d, lab, m.default_categories())
+    two = m.fit_chain(d.repartition(5), lab.orderBy(F.desc("doc_id"), "toxic"), m.default_categories())
+    assert all(np.allclose(a, b) for a, b in zip(one.weights, two.weights, strict=True))
