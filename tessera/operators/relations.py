@@ -13,13 +13,18 @@ RADIUS = 6
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Dealt over the cores where the scan has fewer splits than there are cores, so one row group isn't one task.
 
-    Only rows as they are read are moved, before anything is derived from them; a scan with splits enough isn't touched.
-    With ``keys`` rows are dealt by them in any case: what is later grouped by these keys and others needs no shuffle.
+    Only rows as they are read are moved, before anything is derived from them; a scan with splits enough isn't touched, nor
+    is what has been shuffled before. With ``keys`` rows are dealt by them in any case, to as many partitions as the session
+    shuffles to (twice the cores at least): what is later grouped by these keys and others needs no shuffle. The number is
+    explicit, since a text grows some thirtyfold in pairs and small texts would otherwise be put together again.
     """
-    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     if keys:
-        return df.repartition(max(cores * 2, splits), *keys)
-    return df.repartition(cores * 2) if splits < cores else df
+        return df.repartition(max(cores * 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # asking for its splits would run it
+        return df
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
