@@ -182,3 +182,8 @@ def parsed_offset(text: Column) -> Column:
     """An offset from text such as +3; null for 0, what doesn't fit in a signed byte, and what is no number."""
     n = F.regexp_replace(text, "^[+]", "").try_cast("int")
     return F.when((n != 0) & (F.abs(n) <= 127), n)
+
+
+def holds_all(text: Column, markers: list[str]) -> Column:
+    """Whether every marker stands in the text."""
+    return reduce(lambda a, b: a & b, (F.coalesce(text, F.lit("")).contains(m) for m in markers), F.lit(True))

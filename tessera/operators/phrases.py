@@ -17,6 +17,11 @@ def surface_token(a: Column) -> Column:
     return (a != "__null__") & ~(a.startswith("u") & (F.char_length(a) >= 8)) & a.rlike(r"[\p{L}\p{N}]")
 
 
+def glue_only(words: Column) -> Column:
+    """Whether an n-gram holds nothing but words that join others."""
+    return F.size(F.array_except(words, F.array(*map(F.lit, GLUE)))) == 0
+
+
 #: Tokens that can't stand in a phrase, between single blanks; what ``surface_token`` says of one token.
 _NOT_SURFACE = r"(?<![^ ])(?:__null__|u[^ ]{7,}|[^\p{L}\p{N} ]+)(?![^ ])"
 

@@ -48,3 +48,12 @@ def together(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def reasoning_rows(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(question, frame) -> row_index, question, frame: rows numbered from 0 before those without either go, so gaps stay."""
+    from tessera.operators.lexicon import numbered
+
+    at = numbered(rows.select(F.struct(*order).alias("k")), "k")
+    own = rows.withColumn("k", F.struct(*order)).join(at, "k")
+    return own.where((F.trim("question") != "") & (F.trim("frame") != "")).select(F.col("i").alias("row_index"), F.trim("question").alias("question"), F.trim("frame").alias("frame"))

@@ -320,3 +320,15 @@ def focused(anchors: Column, wrappers: list[str]) -> Column:
     """The tokens without words that only wrap a request; all of them if nothing is left."""
     kept = F.filter(anchors, lambda a: ~a.isin(wrappers))
     return F.when(F.size(kept) > 0, kept).otherwise(anchors)
+
+
+def code_only(text: Column) -> Column:
+    """Whether a passage is a fenced code block without an answer in it."""
+    s, low = F.trim(F.coalesce(text, F.lit(""))), casefold(F.coalesce(text, F.lit("")))
+    return s.startswith("```") & ~low.contains("answer:") & ~low.contains("compact answer field")
+
+
+def policy(rows: DataFrame) -> DataFrame:
+    """(list, symbol) -> list, symbols: the distinct symbols of each policy list, case folded, in order."""
+    low = casefold(F.trim("symbol"))
+    return rows.where(F.trim("symbol") != "").groupBy("list").agg(F.array_sort(F.collect_set(low)).alias("symbols"))

@@ -45,3 +45,9 @@ def renderer_scores(rows: DataFrame) -> DataFrame:
     """Exact matches, right refusals and leaks of (want, got, must_refuse, secret)."""
     refused = F.coalesce(F.col("got"), F.lit("")) == ""
     return rows.agg(F.avg((F.col("want") == F.col("got")).cast("int")).alias("exact"), F.avg((refused == F.col("must_refuse")).cast("int")).alias("refusals"), F.count_if(F.col("got").contains(F.col("secret"))).alias("leaks"))
+
+
+def folder_index(files: DataFrame) -> DataFrame:
+    """folder, files, bytes of (path, size): each folder's own files."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return files.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))

@@ -119,3 +119,28 @@ def spans(tokens: DataFrame, query: list[str], keys: list[str], at: str = "posit
     full = rows.where(" and ".join(f"__{i} is not null" for i in range(len(wanted))))
     every = [F.col(f"__{i}") for i in range(len(wanted))]
     return full.groupBy(*keys).agg(F.min(F.greatest(*every) - F.least(*every) + 1).cast("int").alias("span"))
+
+
+def citation(source: Column, block: Column, first: Column, last: Column) -> Column:
+    """source (block b, line n) or (block b, lines n-m); without lines only the block."""
+    lines = F.when(first == last, F.format_string(", line %d", first)).otherwise(F.format_string(", lines %d-%d", first, last))
+    return F.concat(source.cast("string"), F.format_string(" (block %d", block), F.when((first > 0) & (last > 0), lines).otherwise(""), F.lit(")"))
+
+
+def evidence_order(passages: DataFrame, chosen: Column, candidate: Column, heading: Column, keys: list[str], order: list[str]) -> DataFrame:
+    """Passages with ``place``: first the chosen fact's, then those of candidates, then others that aren't headings; headings
+    go unless chosen or a candidate's."""
+    rank = F.when(chosen, 0).when(candidate, 1).when(~heading, 2)
+    rows = passages.withColumn("__k", rank).where(F.col("__k").isNotNull())
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("__k", *order))).drop("__k")
+
+
+def last_days(rows: DataFrame, at: str, days: int = 7) -> DataFrame:
+    """Rows of the last days up to the latest one."""
+    top = rows.agg(F.max(F.to_date(at)).alias("__top"))
+    return rows.join(F.broadcast(top), F.to_date(at) > F.date_sub("__top", days)).drop("__top")  # one row
+
+
+def preview(rows: DataFrame, keys: list[str], order: list[str], count: int = 12) -> DataFrame:
+    """The first rows of each group."""
+    return rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= count).drop("__r")

@@ -25,3 +25,10 @@ def read_packs(spark: SparkSession, path: str) -> DataFrame:
     """word, symbol and pack (the file's name) of lexicon files, each a JSON array of entries."""
     rows = spark.read.schema("word string, symbol string, hex string, status string, frequency bigint").option("multiLine", "true").json(path)
     return rows.select("word", F.coalesce("symbol", "hex").alias("symbol"), "status", "frequency", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("pack")).where("word is not null")
+
+
+def read_support(spark: SparkSession, path: str) -> DataFrame:
+    """cloud_key, source_examples of rules files {"rules": [...]}; of a repeated key the last rule counts."""
+    rules = spark.read.option("multiLine", "true").schema("rules array<struct<cloud_key: string, source_examples: bigint>>").json(path)
+    rows = rules.select(F.posexplode("rules").alias("at", "r")).where("r.cloud_key <> ''")
+    return rows.groupBy("r.cloud_key").agg(F.max_by(F.coalesce("r.source_examples", F.lit(0).cast("long")), "at").alias("source_examples"))
