@@ -111,7 +111,7 @@ def _(spark, sf):
 @query("p14_repair", "SELECT doc_id, source || ' ’“–é fi' AS text FROM documents")
 def _(spark, sf):
     """Texts read in the wrong encoding, mended by the converter's pass over XML."""
-    good = F.udf(documents.repair, "string")  # one short call a row; the converter calls it inside its batch
+    good = F.udf(lambda t: documents.repair(t), "string")  # one short call a row; the converter calls it inside its batch
     bad = "".join(bytes([x]).decode("cp1252") for x in "’“–é".encode())
     return docs(spark, sf).select("doc_id", good(F.concat("source", F.lit(f" {bad} ﬁ"))).alias("text"))
 
