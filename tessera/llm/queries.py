@@ -11,6 +11,7 @@ from tessera.llm.cover_tree import near_vectors
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.html_text import extract_text
 from tessera.llm.line_dedup import drop_repeated_lines
+from tessera.llm.merkle import digest, fold, manifest, siblings_digest
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pieces import digests, encode_documents
 from tessera.llm.ppm import score_documents
@@ -76,6 +77,21 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogate_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
+def manifest_of_documents(docs: DataFrame) -> DataFrame:
+    """Each document's leaf, roots and proof digest, and the root that follows once every second document (by the crc32 of its
+    id) has lost its line ends; a null id sorts first and is not tampered with."""
+    fields = lambda text: digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    bad = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", fields(F.col("text")).alias("leaf"), F.when(F.contains("text", F.lit("\n")), fields(bad)).alias("tampered"))
+    folded = manifest(leaves, "source", "doc_id").withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether it verifies after the tampering."""
+    return manifest_of_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_ppm_score": op2_ppm_score,
@@ -87,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rank": op8_url_rank,
     "op9_cover_tree": op9_cover_tree,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
