@@ -18,6 +18,8 @@ U = np.uint64
 SEGMENT = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For terms: all ASCII but digits and letters.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Random numbers by place in a piece and byte; longer spans are several pieces.
@@ -64,13 +66,13 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and how many words each row has."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and how many words each row has; ``between``: by byte, whether it parts words."""
     n = len(offsets) - 1
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(n, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begin = solid.copy()
