@@ -135,6 +135,38 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                (7 + sum(length('<|turn|><|text|><|end|>') + length(role) + length(text) + more))::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    # CRC-32 bit by bit; a node's parent is its place divided by three; proofs and folds go up one level at a time.
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE f AS (
+            SELECT row_number() OVER () AS rid, doc_id, source, coalesce('s' || source, '') AS grp,
+                   list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda x: coalesce(strlen(x) || ':' || x, '-')) AS head, text,
+                   list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda k: (ord(c)::BIGINT >> k::INT) & 1)))),
+                               lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS crc
+            FROM documents),
+        leaves AS (
+            SELECT rid, doc_id, grp, sha256(array_to_string(head, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(array_to_string(head, '') || coalesce(strlen(bad) || ':' || bad, '-')) AS tampered
+            FROM (SELECT *, CASE WHEN doc_id IS NOT NULL AND xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS bad FROM f)),
+        laid AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+        low AS (
+            SELECT grp, 0 AS level, idx, n, leaf AS d FROM laid
+            UNION ALL SELECT grp, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY grp, level, idx // 3, n),
+        tops AS (SELECT grp, level AS height, d AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+        high AS (
+            SELECT 0 AS level, place AS idx, n, subroot AS d FROM tops
+            UNION ALL SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY level, idx // 3, n),
+        nodes AS (SELECT grp, level, idx, n, d FROM low UNION ALL SELECT t.grp, t.height + h.level, h.idx, h.n, h.d FROM tops t, high h),
+        runs AS (SELECT grp, level, idx // 3 AS run, list(d ORDER BY idx) AS ds FROM nodes WHERE n > 1 GROUP BY grp, level, idx // 3),
+        climb AS (
+            SELECT rid, l.grp, 0 AS level, CASE WHEN height = 0 THEN place ELSE idx END AS idx, tampered AS d, '' AS proof FROM laid l JOIN tops USING (grp)
+            UNION ALL
+            SELECT rid, c.grp, c.level + 1, CASE WHEN c.level + 1 = height THEN place ELSE c.idx // 3 END,
+                   sha256(array_to_string(ds[:c.idx % 3], '') || c.d || array_to_string(ds[c.idx % 3 + 2:], '')), proof || array_to_string(ds[:c.idx % 3], '') || array_to_string(ds[c.idx % 3 + 2:], '')
+            FROM (SELECT c.*, height, place FROM climb c JOIN tops USING (grp)) c JOIN runs r ON r.grp = c.grp AND r.level = c.level AND r.run = c.idx // 3),
+        ends AS (SELECT rid, arg_max(d, level) AS folded_root, arg_max(proof, level) AS proof FROM climb GROUP BY rid),
+        root AS (SELECT d AS root FROM high WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM laid JOIN ends USING (rid) JOIN tops USING (grp), root""",
     "op12_impact_search": r"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
