@@ -76,7 +76,7 @@ def _sketch(shingle: int, chunks: int):
                         h[k, full] = np.add.reduceat(mix(values ^ U(salt)), starts)
                     keys = chunk_keys(signatures(values, counts[full], chunks), chunks)
                 at = np.concatenate(([0], np.cumsum((counts > 0) * chunks * CHUNK)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(counts), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))], names=["doc_id", "n", "h1", "h2", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).cast(pa.int64()) for c in (0, 2, 3)), pa.array(counts), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))], names=["doc_id", "text_hash", "bytes", "n", "h1", "h2", "keys"])
 
     return run
 
@@ -127,13 +127,15 @@ def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _confirm(shingle: int, percent: int):
-    """Rows (task, grp, rep, n, h1, text) of a task -> (a, b) with b the smallest linked member; groups apart."""
+    """Rows (task, grp, set, n, h1, text) of a task -> (a, b) with b the first linked set; groups apart. A text that isn't of
+    its set (two texts of one id and hash) is passed over, and so is a set's second text."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("grp", "ascending"), ("rep", "ascending")])
-        grp, rep, n, h1 = (table.column(c).to_numpy() for c in ("grp", "rep", "n", "h1"))
+        table = table.sort_by([("grp", "ascending"), ("set", "ascending")])
+        grp, node, n, h1 = (table.column(c).to_numpy() for c in ("grp", "set", "n", "h1"))
         sets: list[np.ndarray] = []
         ok: list[bool] = []
+        last = None
         for _, _, values, counts in text_shingles(table.column("text"), shingle):
             values, counts = distinct_by_row(values, counts)
             at = np.concatenate(([0], np.cumsum(counts)))
@@ -141,14 +143,15 @@ def _confirm(shingle: int, percent: int):
                 s = values[at[i] : at[i + 1]]
                 k = len(sets)
                 right = len(s) == n[k] and len(s) > 0 and np.add.reduce(mix(s ^ U(0x1F83D9AB))).view(np.int64) == h1[k]
-                ok.append(bool(right) and not (k and grp[k] == grp[k - 1] and rep[k] == rep[k - 1] and ok[k - 1]))
+                ok.append(bool(right) and node[k] != last)
+                last = node[k] if ok[-1] else last
                 sets.append(s.copy() if ok[-1] else s[:0])
         a, b = [], []
         good = np.flatnonzero(ok)
         for part in np.split(good, np.flatnonzero(np.diff(grp[good])) + 1) if len(good) else []:
             root = link_sets([sets[i] for i in part], percent)
-            a.append(rep[part])
-            b.append(rep[part][root])
+            a.append(node[part])
+            b.append(node[part][root])
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(cat(a), pa.int64()), "b": pa.array(cat(b), pa.int64())})
 
@@ -156,38 +159,45 @@ def _confirm(shingle: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text) and
+    group_id (a number for each component, null for a row that can have no links).
 
     A document's set is its distinct runs of ``shingle`` words (fewer words: the whole as one; null, empty or blank text:
     the empty set, linked with nothing). Documents with 100 * |a & b| >= percent * |a | b| are linked; component_id is the
     smallest id reachable, kept says whether it is the row's own. A row without an id is linked with nothing, has a null
-    component_id and is kept. Repeated rows share a component, and all those of its smallest id are kept. Other columns
-    aren't read. No rows give no rows.
+    component_id and is kept. Rows that repeat an id are told apart by their sets: each has the component of its own text, and
+    all rows of a component's smallest id are kept. Other columns aren't read. No rows give no rows.
     """
     small_batches(docs.sparkSession)
     chunks = chunks_for(percent)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = stash(rows.mapInArrow(_sketch(shingle, chunks), "doc_id long, n long, h1 long, h2 long, keys array<long>"))
-    reps = stash(sketch.where("doc_id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    keyed = reps.select("rep", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns({"text_hash": F.xxhash64("text"), "bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    sketch = stash(rows.mapInArrow(_sketch(shingle, chunks), "doc_id long, text_hash long, bytes long, n long, h1 long, h2 long, keys array<long>"))
+    full = sketch.where("doc_id is not null and n > 0")
+    found = full.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "bytes")).alias("r"), F.first("keys").alias("keys"))
+    # Nodes are sets, each with a number of its own and the row of least id that shows it.
+    reps = stash(found.select("n", "h1", "h2", F.col("r.doc_id").alias("rep"), "r.text_hash", "r.bytes", "keys", F.monotonically_increasing_id().alias("set")))
+    keyed = reps.select("set", F.explode("keys").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count(F.lit(1)).alias("c")).where("c > 1")
     ends = stash(ends)
-    stars = ends.select(F.col("high").alias("a"), F.col("low").alias("b")).unionByName(keyed.join(ends.where("c > 2").select("key", "low"), "key").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    stars = ends.select(F.col("high").alias("a"), F.col("low").alias("b")).unionByName(keyed.join(ends.where("c > 2").select("key", "low"), "key").select(F.col("set").alias("a"), F.col("low").alias("b")))
     groups = components(stars.where("a <> b"))
-    member = stash(groups.join(reps.select(F.col("rep").alias("id"), "n", "h1"), "id").select("id", F.col("component").alias("grp"), "n", "h1"))
-    sizes = member.groupBy("grp").agg((F.sum("n") * 8).alias("bytes"))
+    member = stash(groups.select(F.col("id").alias("set"), F.col("component").alias("grp")).join(reps.drop("keys"), "set").select("set", "grp", "rep", "text_hash", "bytes", "n", "h1"))
+    sizes = member.groupBy("grp").agg(F.sum(F.greatest(F.col("bytes"), F.col("n") * 8)).alias("bytes"))
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     tasks = max(1, math.ceil(total / (8 << 20)))
     blocks = F.ceil(F.col("bytes") / (GROUP_BYTES // 2)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("set"), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.concat_ws("-", F.col("grp"), F.least(o, own), F.greatest(o, own)))
     task = F.when(F.col("bytes") <= GROUP_BYTES, F.array(F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("string"))).otherwise(pair)
-    plan = member.join(sizes, "grp").select(F.col("id").alias("rep"), "grp", "n", "h1", F.explode(task).alias("task"))
-    texts = rows.withColumnRenamed("doc_id", "rep").join(plan.hint("merge"), "rep")
-    links = texts.select("task", "grp", "rep", "n", "h1", "text").groupBy("task").applyInArrow(_confirm(shingle, percent), "a long, b long")
-    named = components(links).select(F.col("id").alias("rep"), "component")
-    final = stash(reps.select("n", "h1", "h2", "rep").join(named, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")))
-    out = sketch.drop("keys").join(final, ["n", "h1", "h2"], "left")
-    comp = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    comp = F.when(F.col("doc_id").isNotNull(), comp)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+    plan = member.drop("bytes").join(sizes, "grp").select(F.col("rep").alias("doc_id"), "text_hash", "set", "grp", "n", "h1", F.explode(task).alias("task"))
+    texts = rows.drop("bytes").join(plan.hint("merge"), ["doc_id", "text_hash"]).select("task", "grp", "set", "n", "h1", "text")
+    if full.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # rows that are the same: one of them is enough
+        texts = texts.dropDuplicates(["task", "set"])
+    links = texts.groupBy("task").applyInArrow(_confirm(shingle, percent), "a long, b long")
+    named = stash(components(links).select(F.col("id").alias("set"), "component").join(reps.select("set", "rep"), "set"))
+    low = named.groupBy("component").agg(F.min("rep").alias("low"))
+    least = named.join(low, "component").select("set", "component", "low")
+    final = stash(reps.join(least, "set", "left").select("n", "h1", "h2", F.coalesce("low", "rep").alias("component_id"), F.coalesce("component", "set").alias("group_id")))
+    alone = sketch.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_hash", F.lit(None).cast("long").alias("group_id"))
+    out = full.drop("keys").join(final, ["n", "h1", "h2"])
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"), "text_hash", "group_id").unionByName(alone)

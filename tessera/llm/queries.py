@@ -54,7 +54,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_hash", "group_id")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,28 @@ def test_edge_rows(spark):
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(docs).collect())
     assert got == [("4", 4, True), ("5", 4, False), ("5", 4, False), ("6", 6, True), ("None", None, True)]
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+LONG = " ".join(f"a{i}" for i in range(40))
+OTHER = " ".join(f"b{i}" for i in range(40))
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_repeated_ids_with_unlike_texts(spark, flip):
+    """Each row goes by its own text: links of either text of an id hold, and an unlike text of a linked id stays."""
+    def run(rows):
+        docs = spark.createDataFrame(rows[::-1] if flip else rows, "doc_id long, text string")
+        return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+
+    assert run([(1, LONG), (1, OTHER), (2, LONG + " y"), (3, OTHER + " z")]) == [(1, 36, 1, True), (1, 36, 1, True), (2, 37, 1, False), (3, 37, 1, False)]
+    assert run([(5, LONG), (5, OTHER), (1, LONG + " x")]) == [(1, 37, 1, True), (5, 36, 1, False), (5, 36, 5, True)]
+    assert run([(9, LONG), (9, LONG), (9, OTHER), (4, LONG), (4, LONG)]) == [(4, 36, 4, True), (4, 36, 4, True), (9, 36, 4, False), (9, 36, 4, False), (9, 36, 9, True)]
+
+
+def test_groups_are_sized_by_their_texts(spark, monkeypatch):
+    import tessera.llm.near_dedup as m
+
+    monkeypatch.setattr(m, "GROUP_BYTES", 4000)  # few shingles, long texts: the group is cut into blocks
+    rows = [(i, "same word " * 2000 + f"end{i % 3}") for i in range(6)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 50).collect()
+    assert {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]

@@ -62,3 +62,14 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_repeated_ids_in_the_near_copy_stage(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a, "en"), (5, b, "en"), (1, a + " x", "en"), (7, b + " z", "de"), (8, "own words of this one here", None), (8, "own words of this one here", None), (None, a, None), (9, None, None), (9, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, a + " x"), (5, b), (8, rows[4][1]), (None, a), (9, None), (9, "")], key=repr)
+    near = [(3, a), (3, a + " y"), (3, b)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(near, "doc_id long, text string"), "").collect()
+    assert len(kept) == 2 and (3, b) in {tuple(r) for r in kept}
