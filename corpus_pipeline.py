@@ -32,9 +32,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (five words, similarity 0.8)."""
-    dropped = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document, that of the smallest id, of each group of near copies (five words, similarity 0.8).
+
+    Rows are told apart by id and text, so an unlike text under a repeated id stays; of several rows of a group's smallest id
+    one stays. Documents without words or id are no group's.
+    """
+    found = stash(near_duplicates(docs, shingle=5, percent=80))
+    several = found.where("kept and group_id is not null").groupBy("group_id").agg(F.count(F.lit(1)).alias("c"), F.min("text_hash").alias("h"), F.min("doc_id").alias("doc_id")).where("c > 1")
+    more = found.where("kept").join(several.select("group_id", "h"), "group_id").where("text_hash <> h")
+    dropped = found.where("not kept").select("doc_id", "text_hash").unionByName(more.select("doc_id", "text_hash")).distinct()
+    left = docs.withColumn("text_hash", F.xxhash64("text")).join(dropped, ["doc_id", "text_hash"], "left_anti")
+    if several.limit(1).count():
+        same = several.select("doc_id", F.col("h").alias("text_hash"))
+        left = left.join(same, ["doc_id", "text_hash"], "left_anti").unionByName(left.join(same, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    return left.select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
