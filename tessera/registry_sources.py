@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import symbols as S
 from tessera.operators import counts, edits, qa, relations, reports
 from tessera.registry import _CELLS, KNOWN, PAIRS, QUESTION, TOKS, _hash, cell_rows, docs, known, query, rows_hash, table
-from tessera.sources import binary, counts_json, documents, sinks, steps
+from tessera.sources import binary, binary_source, cell_store, counts_json, documents, sinks, steps
 
 _ASK = ", ".join(f"'{a}'" for a in QUESTION)
 
@@ -140,6 +140,13 @@ def _(spark, sf):
     return by_root(binary.parsed(files, "cell"))
 
 
+@query("k2_split_cells", f"WITH {TOKS}, {PAIRS}, {KNOWN}, {_SYM} {_ROWS}")
+def _(spark, sf):
+    """Cells of 500 rows at most: a frequent root is many files."""
+    files = sinks.cell_files(symbol_cells(spark, sf), most=500).select(F.col("name").alias("path"), "content")
+    return by_root(binary.parsed(files, "cell"))
+
+
 @query("k4_maps", f"WITH {TOKS}, {PAIRS}, {KNOWN}, {_SYM} {_ROWS}")
 def _(spark, sf):
     own = symbol_cells(spark, sf).withColumn("part", F.pmod(F.xxhash64("root"), F.lit(32)).cast("string"))
@@ -242,6 +249,59 @@ def _(spark, sf):
     return counts.merge_into(rows, new, "replace").groupBy("root").agg(F.count(F.lit(1)).alias("relations"), F.sum("count").alias("n"))
 
 
+@query("k3_generations", f"""WITH {TOKS}, {PAIRS}, {_CELLS}, grown AS (SELECT root, "offset", neighbor, "count" * CASE WHEN root IN ({_ASK}) THEN 4 ELSE 2 END AS n FROM cells)
+    SELECT root, count(*)::BIGINT AS relations, {_hash('"offset"', 'neighbor', 'n')} AS digest FROM grown GROUP BY root""")
+def _(spark, sf):
+    """A store of cells after four generations: all rows, some roots replaced by three times theirs, a compaction, all rows again."""
+    rows = steps.settled(cell_rows(spark, sf))
+    store = cell_store.CellStore(spark, steps.new_folder(spark))
+    store.merge(rows)
+    store.merge(rows.where(F.col("root").isin(QUESTION)).withColumn("count", F.col("count") * 3), "replace")
+    store.compact(2)
+    store.merge(rows)
+    return by_root(store.rows())
+
+
+@query("k3_lookup", f"""WITH {TOKS}, {PAIRS}, {_CELLS} SELECT root, count(*)::BIGINT AS relations, {_hash('"offset"', 'neighbor', '"count"')} AS digest FROM cells WHERE root IN ({_ASK}) GROUP BY root""")
+def _(spark, sf):
+    """Some roots of a store, from their buckets alone."""
+    return by_root(cell_store.stored(cell_rows(spark, sf), steps.new_folder(spark)).rows(QUESTION))
+
+
+def by_format(spark, rows, kind, split=1 << 16):
+    """Rows written by the data source and read again by ranges of ``split`` bytes."""
+    path = steps.new_folder(spark)
+    binary_source.write(rows, path, kind, rows_per_file=1 << 16)
+    return binary_source.read(spark, path, kind, split)
+
+
+@query("s30_maps", f"WITH {TOKS}, {PAIRS}, {KNOWN}, {_SYM} {_ROWS}")
+def _(spark, sf):
+    return by_root(by_format(spark, symbol_cells(spark, sf), "map"))
+
+
+@query("s32_cells", f"WITH {TOKS}, {PAIRS}, {KNOWN}, {_SYM} {_ROWS}")
+def _(spark, sf):
+    return by_root(by_format(spark, steps.settled(symbol_cells(spark, sf)), "cell"))
+
+
+@query("s33_records", f"WITH {TOKS}, {PAIRS}, {KNOWN}, {_SYM} {_ROWS}")
+def _(spark, sf):
+    return by_root(by_format(spark, symbol_cells(spark, sf), "records"))
+
+
+@query("s33_filtered", f"WITH {TOKS}, {PAIRS}, {KNOWN}, {_SYM} SELECT root, neighbor, n AS \"count\" FROM sy WHERE \"offset\" = 1 AND root IN (68719476736, 68719476737, 68719476740)")
+def _(spark, sf):
+    """Records that an offset and some roots ask for: the reader drops the others before they become rows of Spark."""
+    return by_format(spark, symbol_cells(spark, sf), "records").where("offset = 1 and root in (68719476736, 68719476737, 68719476740)").select("root", "neighbor", "count")
+
+
+@query("s34_symbols", f"""WITH {TOKS}, {KNOWN} SELECT coalesce(symbol, 0)::BIGINT AS symbol, count(*)::BIGINT AS n, count(*) FILTER (WHERE symbol IS NULL)::BIGINT AS blocked, count(*) FILTER (WHERE pos % 50 = 0)::BIGINT AS starts FROM toks LEFT JOIN lex ON lex.anchor = toks.anchor GROUP BY ALL""")
+def _(spark, sf):
+    got = by_format(spark, symbol_stream(spark, sf).sortWithinPartitions("stream_id", "ordinal"), "symbols")
+    return got.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("blocked"), F.count_if("starts").alias("starts"))
+
+
 @query("a4_conflicts", f"""WITH {TOKS}, {PAIRS} SELECT anchor AS root, 2::BIGINT AS lanes FROM rel GROUP BY anchor HAVING count(DISTINCT "offset" > 0) = 2""")
 def _(spark, sf):
     rows = relations.corpus_relations(docs(spark, sf)).select(F.col("anchor").alias("root"), (F.col("offset") > 0).cast("int").alias("root_lane"))
