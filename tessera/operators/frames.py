@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources import steps
+
 FEATURES = [
     "energy_total", "energy_mean", "energy_std", "motion_concentration_50", "static_ratio", "center_energy_ratio", "edge_energy_ratio",
     "horizontal_vs_vertical_ratio", "vertical_bias", "tunnel_index", "highfreq_energy", "lowfreq_energy", "high_to_low_ratio", "smoothness_index",
@@ -93,28 +95,43 @@ def summary(series: DataFrame, features: list[str]) -> DataFrame:
 
 
 def ema(events: DataFrame, alpha: float, key: str, order: list[str], value: str) -> DataFrame:
-    """Exponential moving average of a value along each key's rows: first = the value itself.
+    """Exponential moving average of a value along each key's rows: first = the value itself; null and NaN values leave it as it is.
 
-    One pass over sorted rows; a key's state is one number, so batches of a key can be of any size.
+    The average after some rows is a * (average before) + b, with a and b from these rows alone. So rows are dealt by ranges of
+    (key, order); each run of a key gives its (a, b), the runs are put together in order, and each run starts from what came
+    before. A key of any size is as many tasks as it has ranges. A null key is a key like another; equal rows of ``order`` have no
+    order among them.
     """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    slim = events.select(key, *order, value).repartition(key).sortWithinPartitions(key, *order)
+    slim = steps.ranged(events.select(key, *order, value), [key, *order])
+    kept = [key, *order, value]
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order, kind="stable")[value].to_numpy(float)
+        x = x[~np.isnan(x)]
+        weights = alpha * (1 - alpha) ** np.arange(len(x) - 1, -1, -1)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "part": pdf["part"].iloc[:1], "a": [(1 - alpha) ** len(x)], "b": [float(weights @ x)], "first": [x[0] if len(x) else np.nan]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, now = None, None  # the key at the end of the batch before, and its average
+    def carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, now = object(), np.nan
         for pdf in batches:
-            keys, out = pdf[key], np.empty(len(pdf))
-            code = pd.factorize(keys, use_na_sentinel=False)[0]  # a null key is a key like another
-            cuts = np.flatnonzero(np.diff(code)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-                xs, k = pdf[value].to_numpy(float)[a:b], keys.iloc[a] if b > a else None
-                held = a == 0 and now is not None and (k == last or (pd.isna(k) and pd.isna(last)))
-                run_of = pd.Series([now, *xs] if held else xs).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()
-                out[a:b] = run_of[1:] if held else run_of
-                last, now = k, out[b - 1] if b > a else now
-            yield pdf.assign(ema=out)
+            before = np.full(len(pdf), np.nan)
+            for i, (k, a, b, first) in enumerate(zip(pdf[key], pdf["a"], pdf["b"], pdf["first"], strict=True)):
+                if not (k == last or (pd.isna(k) and pd.isna(last))):
+                    last, now = k, np.nan
+                before[i] = now
+                now = now if np.isnan(first) else a * (first if np.isnan(now) else now) + b
+            yield pdf[[key, "part"]].assign(before=before)
 
-    return slim.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [key, *order, value]) + ", ema double")
+    def run(own: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(order, kind="stable")
+        x = np.concatenate([state["before"].to_numpy(float)[:1], own[value].to_numpy(float)])
+        return own[kept].assign(ema=pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:])
+
+    where = f"{key} {kinds[key]}, part int"
+    runs = slim.groupBy(key, "part").applyInPandas(told, f"{where}, a double, b double, first double")
+    states = runs.repartition(key).sortWithinPartitions(key, "part").mapInPandas(carried, f"{where}, before double")
+    return slim.groupBy(key, "part").cogroup(states.groupBy(key, "part")).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", ema double")
 
 
 @dataclass
@@ -183,26 +200,101 @@ class FrameState:
 SERIES = "stream_id string, frame_number long, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
-def feature_series(frames: DataFrame, rows: int, cols: int) -> DataFrame:
-    """The twenty features of every frame of every stream, in order of frame numbers.
-
-    Each frame needs the averages after the one before, so a stream is one task; a recording is split into streams (takes,
-    chunks with their own start) where it is longer than a task should be.
+#: Frames of a run at most: what one task holds of a stream.
+RUN_FRAMES = 512
+
+
+def run_features(x: np.ndarray, state: FrameState) -> np.ndarray:
+    """The twenty features of consecutive frames (n, rows, cols) after ``state``, all frames of the run at once; only the two
+    averages go from frame to frame. Leaves ``state`` behind the run."""
+    new = state.before is None
+    if new:
+        state.step(x[0].reshape(-1).tolist())
+    y = x[1:] if new else x
+    fast, slow = np.empty_like(y), np.empty_like(y)
+    f, s = state.ema_fast, state.ema_slow
+    for i in range(len(y)):
+        f = fast[i] = state.fast * y[i] + (1 - state.fast) * f
+        s = slow[i] = state.slow * y[i] + (1 - state.slow) * s
+    out = np.zeros((len(x), len(FEATURES)))
+    if new:
+        out[0, [FEATURES.index(c) for c in ("static_ratio", "horizontal_vs_vertical_ratio", "smoothness_index")]] = 1.0
+    if len(y):
+        d = np.abs(np.diff(np.concatenate([state.before[None], y]), axis=0))
+        high, low, flat = np.abs(y - slow), np.abs(fast - slow), d.reshape(len(y), -1)
+        total, std, peak = flat.sum(axis=1), flat.std(axis=1), flat.max(axis=1)
+        heap = np.cumsum(-np.sort(-flat, axis=1), axis=1)
+        half = np.where(heap[:, -1] > _EPS, ((heap < 0.5 * heap[:, -1:]).sum(axis=1) + 1) / flat.shape[1], 0.0)
+        center, mid = d[:, state.center].sum(axis=1), state.rows // 2
+        edge_var, center_var = y[:, state.edge].var(axis=1), y[:, state.center].var(axis=1)
+        share, smooth = center / (total + _EPS), 1 / (1 + std)
+        before = np.concatenate([[state.energy], total[:-1]])
+        swing = np.where(np.abs(before) > _EPS, np.abs(total - before) / (before + _EPS), 0.0)
+        across, down = np.abs(np.diff(d, axis=2)).sum(axis=(1, 2)), np.abs(np.diff(d, axis=1)).sum(axis=(1, 2))
+        highs, lows = high.sum(axis=(1, 2)), low.sum(axis=(1, 2))
+        out[int(new) :] = np.column_stack([
+            total, flat.mean(axis=1), std, half, (flat < state.static).mean(axis=1), share, d[:, state.edge].sum(axis=1) / (total + _EPS), across / (down + _EPS),
+            (d[:, :mid].sum(axis=(1, 2)) - d[:, mid:].sum(axis=(1, 2))) / (total + _EPS), (edge_var - center_var) / (edge_var + center_var + _EPS), highs, lows,
+            highs / (lows + _EPS), smooth, swing, peak, np.where(peak > state.flash, share, 0.0), np.abs(high[:, state.center].sum(axis=1) - center),
+            np.abs(y.reshape(len(y), -1).var(axis=1) - slow.reshape(len(y), -1).var(axis=1)), share * smooth * (1 - np.minimum(1.0, highs / 10)),
+        ])
+        state.before, state.ema_fast, state.ema_slow, state.energy = y[-1], f, s, float(total[-1])
+    return out
+
+
+_STATE = "before array<double>, fast array<double>, slow array<double>, energy double"
+
+
+def feature_series(frames: DataFrame, rows: int, cols: int, session_col: str | None = None) -> DataFrame:
+    """The twenty features of every frame of every stream, in order of frame numbers; the state starts anew with each session
+    of a stream, where ``session_col`` names one.
+
+    A stream is cut into runs of RUN_FRAMES frame numbers. What a run does to the averages is an affine map that follows from
+    its frames alone; the maps of a stream's runs are put together in order (a small row a run, one at a time), and every
+    run then goes on from its own start, so a recording of any length is as many tasks as it has runs.
     """
-    slim = frames.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("frame_number").cast("long").alias("frame_number"), F.col("cells").cast("array<double>").alias("cells"))
-    slim = slim.repartition("stream_id").sortWithinPartitions("stream_id", "frame_number")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
+    session = F.col(session_col).cast("string") if session_col else F.lit(None).cast("string")
+    slim = frames.select(F.col("stream_id").cast("string").alias("stream_id"), session.alias("session"), F.col("frame_number").cast("long").alias("frame_number"), F.col("cells").cast("array<double>").alias("cells"))
+    slim = slim.withColumn("run", F.floor(F.col("frame_number") / RUN_FRAMES))
+    key = ["stream_id", "session", "run"]
+    grid = lambda pdf: np.stack([np.asarray(c, float).reshape(rows, cols) for c in pdf.sort_values("frame_number", kind="stable")["cells"]])
+    flat = lambda a: np.asarray(a, float).reshape(-1)
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, blank = grid(pdf), FrameState(rows, cols)
+        n = len(x)
+        sums = [np.tensordot(al * (1 - al) ** np.arange(n - 1, -1, -1), x, 1).reshape(-1) for al in (blank.fast, blank.slow)]
+        row = pdf[key].iloc[:1].reset_index(drop=True)
+        return row.assign(n=n, fast=[sums[0]], slow=[sums[1]], first=[flat(x[0])], last=[flat(x[-1])], energy=float(np.abs(x[-1] - x[-2]).sum()) if n > 1 else np.nan)
+
+    def carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, now, blank = None, None, FrameState(rows, cols)
+        same = lambda a, b: a == b or (pd.isna(a) and pd.isna(b))
         for pdf in batches:
             out = []
-            for s, n, x in zip(pdf["stream_id"], pdf["frame_number"], pdf["cells"], strict=True):
-                if state is None or s != last:
-                    last, state = s, FrameState(rows, cols)
-                out.append([s, n, *state.step(x)])
-            yield pd.DataFrame(out, columns=["stream_id", "frame_number", *FEATURES])
-
-    return slim.mapInPandas(run, SERIES)
+            for r in pdf.itertuples(index=False):
+                if of is None or not (same(of[0], r.stream_id) and same(of[1], r.session)):
+                    of, now = (r.stream_id, r.session), None
+                out.append([r.stream_id, r.session, r.run, *(now or ([], [], [], 0.0))])
+                start = now or (None, r.first, r.first, 0.0)
+                averages = [(1 - al) ** r.n * np.asarray(e, float) + np.asarray(b, float) for al, e, b in ((blank.fast, start[1], r.fast), (blank.slow, start[2], r.slow))]
+                alone = float(np.abs(np.asarray(r.last) - np.asarray(start[0])).sum()) if start[0] is not None else 0.0
+                now = (list(r.last), averages[0].tolist(), averages[1].tolist(), alone if np.isnan(r.energy) else r.energy)
+            yield pd.DataFrame(out, columns=[*key, "before", "fast", "slow", "energy"])
+
+    def run(own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        state = FrameState(rows, cols).load(*(start[c].iloc[0] for c in ("before", "fast", "slow", "energy")))
+        out = pd.DataFrame(run_features(grid(own), state), columns=FEATURES)
+        own = own.sort_values("frame_number", kind="stable").reset_index(drop=True)
+        out.insert(0, "stream_id", own["stream_id"])
+        out.insert(1, "frame_number", own["frame_number"])
+        return out
+
+    where = "stream_id string, session string, run long"
+    cells_of = "array<double>"
+    runs = slim.groupBy(*key).applyInPandas(told, f"{where}, n long, fast {cells_of}, slow {cells_of}, first {cells_of}, last {cells_of}, energy double")
+    starts = runs.repartition("stream_id", "session").sortWithinPartitions(*key).mapInPandas(carried, f"{where}, {_STATE}")
+    return slim.groupBy(*key).cogroup(starts.groupBy(*key)).applyInPandas(run, SERIES)
 
 
 def spatial(frames: DataFrame, rows: int, cols: int) -> DataFrame:

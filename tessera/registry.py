@@ -454,11 +454,6 @@ def _(spark, sf):
     return frames.ema(table(spark, sf, "events"), 0.3, "user_id", ["ts", "event_id"], "value").select("event_id", "user_id", F.round("ema", 4).alias("ema"))
 
 
-@query("w1_features")
-def _(spark, sf):
-    return frames.feature_series(grids(spark, sf), 8, 8)
-
-
 @query("w12_chunks", "SELECT label::VARCHAR AS stream_id, vec_id AS frame_number, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS chunk_id FROM embeddings")
 def _(spark, sf):
     return frames.chunks(grids(spark, sf), 16).select("stream_id", "frame_number", "chunk_id")

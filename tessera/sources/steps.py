@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +31,20 @@ def settled(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, keys: list[str], rows: int = 1 << 17) -> DataFrame:
+    """``df`` dealt by ranges of ``keys`` of about so many rows, with the range's number as ``part``, written once: a key of any
+    size is as many parts as it needs, and a lost executor doesn't deal them anew."""
+    whole = settled(df)
+    n = max(8, -(-whole.count() // rows))
+    return settled(whole.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, keys: list[str], name: str = "number") -> DataFrame:
+    """``df`` with each row's place (from 0) in the order of ``keys``: places in its range after all earlier ranges' rows."""
+    laid = ranged(df, keys)
+    own = Window.partitionBy("part").orderBy(*keys)
+    sizes = laid.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    return laid.join(before, "part").withColumn(name, F.col("before") + F.row_number().over(own) - 1).drop("part", "before")
