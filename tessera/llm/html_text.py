@@ -22,7 +22,10 @@ from pyspark.sql import types as T
 
 from tessera.llm.store import small_batches
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+#: A quote opens a value only behind an equals sign; possessive, so a tag without an end is given up after one scan.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"'=]|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
+_ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,13 +41,26 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 _FENCE = frozenset("body div section article td th li table blockquote aside nav main header footer form figure".split())
 
 
+@dataclass
+class Node:
+    """An open element: its tag, all tags and marks from the root down to it, and how many of them are blocks."""
+
+    tag: str
+    tags: frozenset[str]
+    marks: frozenset[str]
+    deep: int
+
+
 @dataclass
 class Block:
     text: str
-    path: list[tuple[str, tuple[str, ...]]]
+    node: Node
     linked: float
 
 
+ROOT = Node("", frozenset(), frozenset(), 0)
+
+
 def _marks(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
@@ -52,64 +68,86 @@ def _marks(attributes: str) -> tuple[str, ...]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; text decoded, white space in it made single spaces."""
+    """The leaf blocks of a page in order; text decoded, white space in it made single spaces.
+
+    One pass in time linear in the page: tags are looked up by name in the stack of open elements, a node shares the sets of
+    its parent where it adds nothing, and what has no end is looked for once.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    opened: dict[str, int] = {}
+    stack: list[Node] = []
+    places: dict[str, list[int]] = {}
     text: list[str] = []
     linked = 0
     alone = False
     endless: set[str] = set()
+    last = page.rfind(">")
+    tag_of = _TAG
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, stack.copy(), min(1.0, linked / len(joined))))
+                out.append(Block(joined, stack[-1] if stack else ROOT, min(1.0, linked / len(joined))))
             text.clear()
         linked = 0
 
     def close_to(k: int) -> None:
-        for tag, _ in stack[k:]:
-            opened[tag] -= 1
+        for node in stack[k:]:
+            places[node.tag].pop()
         del stack[k:]
 
+    def highest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def add(raw: str) -> None:
         nonlocal linked
         s = html.unescape(raw) if "&" in raw else raw
         text.append(s)
-        if opened.get("a"):
+        if places.get("a"):
             linked += len(s.strip())
 
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
+        start = page.find("<", at, last + 1)
+        if start < 0:
+            comment = page.find("<!--", at)  # one without an end
+            add(page[at : comment if comment >= 0 else end])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
+        m = None
+        after = page[start + 1 : start + 2]
+        if after in ("!", "?"):
+            m = _ASIDE.match(page, start)
+        elif after == "/" or after.isalpha():
+            m = tag_of.match(page, start)
+            if m is None and tag_of is _TAG and _PLAIN_TAG.match(page, start):
+                tag_of = _PLAIN_TAG  # quotes that never end: from here on they are like other characters
+                m = tag_of.match(page, start)
+        if m is None:
+            add(page[at : start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            add(page[at:start])
         at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        if m.re is _ASIDE:
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        closing, tag, attributes = m[1], m[2].lower(), m[3]
         if closing:
-            if opened.get(tag):
+            if places.get(tag):
                 if tag in BLOCK or (tag in EMBED and alone):
                     flush()
-                k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
-                if tag in BLOCK or not any(t in BLOCK for t, _ in stack[k:]):
+                k = places[tag][-1]
+                if tag in BLOCK or stack[-1].deep == (stack[k - 1].deep if k else 0):
                     close_to(k)
             continue
         shut = attributes.endswith("/")
-        if tag in RAW and not (shut and (opened.get("svg") or opened.get("math"))):
-            stop = _raw_end(tag).search(page, at)
+        if tag in RAW and not (shut and (places.get("svg") or places.get("math"))):
+            stop = _raw_end(tag).search(page, at) if at <= last else None
             at = stop.end() if stop else end
             continue
         if tag in HIDDEN:
-            stop = None if shut or tag in endless else _raw_end(tag).search(page, at)
+            stop = None if shut or tag in endless or at > last else _raw_end(tag).search(page, at)
             if stop:
                 at = stop.end()
             elif not shut:
@@ -123,42 +161,35 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            if opened.get("p"):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close_to(i)
-                        break
-                    if stack[i][0] in _FENCE:
-                        break
+            if places.get("p") and places["p"][-1] > highest(_FENCE):
+                close_to(places["p"][-1])
             if tag in ENDS:
                 ends, fences = ENDS[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        close_to(i)
-                        break
-                    if stack[i][0] in fences:
-                        break
+                k = highest(ends)
+                if k >= 0 and k > highest(fences):
+                    close_to(k)
         if tag in EMBED:
             alone = not any(map(str.strip, text))
-        elif tag in ("text", "tspan") and opened.get("svg"):
+        elif tag in ("text", "tspan") and places.get("svg"):
             text.append(" ")
         if not shut or tag in BLOCK:
-            stack.append((tag, _marks(attributes)))
-            opened[tag] = opened.get(tag, 0) + 1
+            up = stack[-1] if stack else ROOT
+            marks = _marks(attributes)
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(Node(tag, up.tags if tag in up.tags else up.tags | {tag}, up.marks if up.marks.issuperset(marks) else up.marks.union(marks), up.deep + (tag in BLOCK)))
     flush()
     return out
 
 
 @lru_cache(64)
 def _raw_end(tag: str) -> re.Pattern:
-    return re.compile(rf"</{tag}\b[^>]*>", re.I)
+    return re.compile(rf"</{tag}\b[^>]*+>", re.I)
 
 
 def features(b: Block) -> list[str]:
     """Features of a block by itself."""
-    tags = {t for t, _ in b.path}
+    tags, marks = b.node.tags, b.node.marks
     out = ["bias", *(f"tag:{t}" for t in (tags & (BLOCK | EMBED)) - {"html", "body"})]
-    marks = {w for _, words in b.path for w in words}
     out += [f"mark:{w}" for w in marks]
     if not tags & {"article", "main"} and "main" not in marks:
         out.append("outside")
@@ -166,7 +197,7 @@ def features(b: Block) -> list[str]:
     out += [f"words:{n}", f"linked:{linked}", f"words:{n}/linked:{linked > 1}"]
     if b.text[-1] in ".!?…»”\"'":
         out.append(f"sentence:{n}")
-    if "©" in b.text or "copyright" in b.text.lower():
+    if n <= 4 and re.match(r"\W*(?:©|\(c\)|copyright\b)|.*©", b.text, re.I):  # a line of its own; prose may speak of it
         out.append("rights")
     return out
 
@@ -182,7 +213,7 @@ def page_features(own: list[Block]) -> list[list[str]]:
         row = features(b)
         for name, j in (("before", i - 1), ("after", i + 1)):
             row.append(f"{name}:{_length(own[j])}/{own[j].linked > 0.5}" if 0 <= j < len(own) else f"{name}:none")
-        headed = headed or any(t == "h1" for t, _ in b.path)
+        headed = headed or "h1" in b.node.tags
         row.append(f"headed:{headed}")
         rows.append(row)
     return rows

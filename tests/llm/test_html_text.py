@@ -1,4 +1,5 @@
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -90,3 +91,28 @@ def test_embedded_elements_do_not_cut_a_page():
 def test_main_text_with_embedded_elements():
     page = "<html><body><noscript>Turn scripts on.</noscript><nav><a href='/'>Home</a></nav><article><h1>Sums</h1><p>As <math><mn>1</mn><mo>+</mo><mn>1</mn></math> shows, all is well.<svg/></p><object><p>A table of the sums that were made here.</p></object><p>The last of the words.</p></article><form><select><option>Ten</option><option>Two</option></select></form></body></html>"
     assert m.main_text(page, m.default_model()) == "Sums\n\nAs 1+1 shows, all is well.\n\nA table of the sums that were made here.\n\nThe last of the words."
+
+
+def texts(page):
+    return [b.text for b in m.blocks(page)]
+
+
+def test_quotes_in_tags():
+    assert texts("<p title=it's>First sentence.</p><p>It's the second.</p>") == ["First sentence.", "It's the second."]
+    assert texts("<p title='a > b' class=\"x > y\">one</p><p data-x = \"it's\">two</p>") == ["one", "two"]
+    assert texts('<p title="never ends>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p don't>one</p> 3 < 4 > 2 <p>two <3 you</p><!-- gone") == ["one", "3 < 4 > 2", "two <3 you"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, "<a " * 300_000 + ">", '<a b="' * 150_000, '<a b=">" ' * 100_000, "<" * 500_000 + ">", "<!" * 400_000, "<script></script " * 60_000, "<b>" * 50_000 + "<p>x" * 50_000 + "</b>" * 50_000,
+                                  "<div><b>" * 60_000 + "</b>" * 60_000, "<div class='a b'><p>x</p>" * 40_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    m.blocks(page)
+    assert time.process_time() - began < 4  # a second and less on an idle core
+
+
+def test_prose_may_speak_of_copyright():
+    prose = "© 2020 is a phrase that stands under most pages, and copyright is what the whole of this paragraph of an article speaks of."
+    assert "rights" not in m.features(m.blocks(f"<article><p>{prose}</p></article>")[0])
+    assert "rights" in m.features(m.blocks("<footer>&copy; 2020 Example Ltd</footer>")[0])
