@@ -125,7 +125,7 @@ def inference_frame(anchors: Column, mode: str = "") -> Column:
     has = lambda words: F.arrays_overlap(anchors, _array(words))
     first = F.get(anchors, F.lit(0))
     activity = (
-        F.when(has(DOCUMENT_TERMS) | F.lit(mode in ("documents", "document", "maps", "mapped")), "document_question").when(F.lit(mode in ("counts", "count", "clearspeak")), "count_question")
+        F.when(has(DOCUMENT_TERMS) | F.lit(mode in ("documents", "document", "maps", "mapped")), "document_question").when(F.lit(mode in ("counts", "count")), "count_question")
         .when(has(SYSTEM_TERMS), "system_question").otherwise("educational_question")
     )
     kind = (

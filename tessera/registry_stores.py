@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import frames
+from tessera.operators import frames, relations
+from tessera.plans import ask
 from tessera.plans.rounds import Rounds
-from tessera.registry import KNOWN, ORACLE_SQL, PAIRS, TOKS, _hash, docs, grids, known, query, rows_hash
+from tessera.registry import KNOWN, ORACLE_SQL, PAIRS, TOKS, _hash, docs, grids, known, query, rows_hash, table
 from tessera.registry_intake import _REL
 from tessera.registry_views import _SERIES
 from tessera.sources import steps
@@ -68,3 +69,19 @@ def _(spark, sf):
 def _(spark, sf):
     """Counts by root over all rounds of the interrupted intake: those of an intake in one go."""
     return interrupted(spark, sf).tables().cells.groupBy("root").agg(F.count(F.lit(1)).alias("relations"), F.sum(rows_hash(F.col("offset"), F.col("neighbor"), F.col("count"))).alias("digest"))
+
+
+def user_turns(spark, sf):
+    """query_id and tokens of every turn that a user said."""
+    said = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    toks = relations.placed_anchors(said, "query_id", "text").groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "anchor"))), lambda x: x.anchor).alias("anchors"))
+    return said.join(toks, F.col("query_id") == F.col("source_id"), "left").select("query_id", F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"))
+
+
+@query("i20_answers")
+def _(spark, sf):
+    """Every user's turn answered from the corpus's relations in one go: reason, terms, those accepted, and what is said."""
+    rel = relations.corpus_relations(docs(spark, sf))
+    counts = ask.prepared(rel)
+    lex = counts.shape.select("anchor")
+    return ask.answers(steps.settled(user_turns(spark, sf)), lex, counts, limit=2)
