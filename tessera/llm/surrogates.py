@@ -32,6 +32,11 @@ from tessera.llm.store import stash
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "κυρία"]
 NEUTRAL = ["Dr", "Prof"]
+# What introduces a name as a form of address does: upper-case forms, and sentences that say a name.
+MALE += ["MR", "HERR", "MONSIEUR"]
+FEMALE += ["MRS", "MISS", "FRAU", "MADAME", "MME"]
+NEUTRAL += ["PROF", "My name is", "my name is", "Mein Name ist", "mein Name ist", "Je m'appelle", "je m'appelle", "Me llamo", "me llamo"]
+PARTICLES = "van von de del della der den di da la le du dos ter zu bin al".split()
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Marc", "Noel", "Oscar", "Paul"],
     ("latin", "f"): ["Ada", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"],
@@ -56,26 +61,36 @@ GROW, GROW_IP = 8, 16
 _OPEN, _SHUT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’\-]++"
+_PARTICLE = "(?:(?:" + "|".join(PARTICLES) + ") ){0,3}"
+_HEX4 = "[0-9a-fA-F]{1,4}"
+_IPV6 = rf"(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}}|::(?:{_HEX4}:){{1,6}}{_HEX4}|(?:{_HEX4}:){{1,7}}:(?!:))"
+_SECRETS = "password|passwd|passphrase|pwd|api[_\\-]?key|secret|secret[_\\-]?(?:access[_\\-]?)?key|access[_\\-]?key|auth[_\\-]?token|client[_\\-]?secret|private[_\\-]?key"
+_TOKEN = r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_\-]{35}|sk-[A-Za-z0-9_\-]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_\-]{16,}+|xox[abpr]-[A-Za-z0-9\-]{10,}+|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]*+)"
+#: A key, what assigns, and the value; a value that has a type of its own is left to that.
+_ASSIGNS = r"(?i:[a-z0-9_\-]{0,40}(?:" + _SECRETS + r"))[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 #: Type and pattern; of patterns that fit at one place the first wins. Bounds are those of a format (a card's digits, the 127
 #: labels of a host); runs without one are possessive, so each is read once, however long.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]++\.){1,127}\p{L}{2,}+" + _SHUT,
+    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "ipv6": r"(?<![\p{L}\p{N}:.])" + _IPV6 + r"(?![\p{L}\p{N}:])",
     "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?[\p{L}\p{N}])",
     "iban": _OPEN + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _SHUT,
     "card": _OPEN + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7})" + _SHUT,
     "ssn": _OPEN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _SHUT,
-    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?|\([0-9]{2,4}\)[ .\-]?)[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})" + _SHUT,
+    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?|\([0-9]{2,4}\)[ .\-]?)[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}|0[0-9]{2,4}[ \-/][0-9]{3,4}[ \-]?[0-9]{3,5}|(?<=(?i:phone|mobile|call|cell|fax|tel)[.:]{0,2} {0,2})[0-9]{10})" + _SHUT,
     "secret": _OPEN + r"[0-9a-fA-F]{32,}+" + _SHUT,
-    "token": _OPEN + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_\-]{35}|sk-[A-Za-z0-9_\-]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abpr]-[A-Za-z0-9\-]{10,}+|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]*+)" + r"(?![\p{L}\p{N}_])",
-    "name": _OPEN + "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? " + _NAME + "(?: " + _NAME + ")?",
+    "token": _OPEN + _TOKEN + r"(?![\p{L}\p{N}_])",
+    "assigned": _OPEN + _ASSIGNS + r"(?!" + _TOKEN + r"|[0-9a-fA-F]{32,}|true\b|false\b|null\b|none\b)[A-Za-z0-9!#$%&*+./=@^_~\-]{6,}+",
+    "name": _OPEN + "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? " + _PARTICLE + _NAME + "(?: " + _PARTICLE + _NAME + ")?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: For texts with a name: capitalised words too, since one may be a name that stands alone.
 ANY_WORD = f"{ANY}|(?:{_OPEN}{_NAME})"
-_PREFIX = r"^(?:AKIA|ASIA|AIza|sk-|gh[pousr]_|xox[abpr]-|eyJ)"
+_PREFIX = r"^(?:AKIA|ASIA|AIza|sk-|gh[pousr]_|glpat-|xox[abpr]-|eyJ)"
 #: What every text with an entity has; quick to search, so most texts never meet ``ANY``.
 _INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
-HINT = "[0-9@]|[a-fA-F]{32}|sk-|gh[pousr]_|xox[abpr]-|eyJ|A[KS]IA|AIza"
+HINT = "[0-9@]|[a-fA-F]{32}|sk-|gh[pousr]_|xox[abpr]-|eyJ|A[KS]IA|AIza|glpat-|-----BEGIN |::|(?i:passw|passp|pwd|[_\\-]?key|secret|auth_?token)[^ ]? ?[=:]"
 NAME_HINT = f"[{_INITIALS}](?:" + "|".join(t[1:] for t in MALE + FEMALE + NEUTRAL) + r")\.? "
 _TITLE = "^(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
 #: A local part has 64 characters at most; of a longer run the punctuation in front is not of the address.
@@ -136,7 +151,7 @@ def entity_type(surface: Column) -> Column:
     out = None
     for name, pattern in PATTERNS.items():
         out = F.when(surface.rlike(f"^(?:{pattern})$"), name) if out is None else out.when(surface.rlike(f"^(?:{pattern})$"), name)
-    return out.otherwise("word")
+    return out.when(surface.rlike("^[0-9]{10}$"), "phone").otherwise("word")  # ten digits are found behind a word for phones only
 
 
 def script_of(word: Column) -> Column:
@@ -151,10 +166,13 @@ def gender_of(surface: Column) -> Column:
 def canonical(kind: Column, surface: Column) -> Column:
     """The identity of an entity that isn't a name."""
     return (
-        F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(surface, "[^0-9]", ""))
+        F.when(kind == "phone", F.concat(F.regexp_extract(surface, r"^\+[0-9]{1,3}(?=[^0-9])", 0), F.when(surface.rlike(r"^\+[0-9]{1,3}[^0-9]"), "/").otherwise(""), F.regexp_replace(F.regexp_replace(surface, r"^\+[0-9]{1,3}(?=[^0-9])", ""), "[^0-9]", "")))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(surface, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(surface, " ", ""))
         .when(kind == "email", F.lower(F.regexp_replace(surface, _LEADER, "")))
         .when(kind == "token", surface)
+        .when(kind == "assigned", F.regexp_replace(surface, "^" + _ASSIGNS, ""))
+        .when(kind == "pem", surface)
         .otherwise(F.lower(surface))
     )
 
@@ -181,6 +199,9 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         .otherwise(F.concat_ws(".", octet(0, 11, 100), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
     )
     numbers = F.concat(F.substring(canon, 1, 1), _substituted(F.substring(canon, 2, 1000), seed), more(ALPHABETS["[0-9]"]))
+    abroad = F.regexp_extract(canon, r"^\+([0-9]{1,3})/", 1)
+    own = F.regexp_replace(canon, r"^\+[0-9]{1,3}/", "")
+    phone = F.concat(abroad, F.substring(own, 1, 1), _substituted(own.substr(F.lit(2), F.length(own)), seed), more(ALPHABETS["[0-9]"]))
     stem = F.regexp_replace(numbers, ".$", "")
     checked = F.concat(stem, ((10 - _luhn(F.concat(stem, F.lit("0")))) % 10).cast("string"))
     card = F.when(_luhn(canon) == 0, checked).otherwise(numbers)
@@ -190,6 +211,10 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     iban = F.concat(country, F.when(valid, check).otherwise(_substituted(F.substring(canon, 3, 2), _seed(key, F.lit("check"), seed))), account)
     prefix = F.regexp_extract(canon, _PREFIX, 0)
     token = F.concat(prefix, _substituted(F.regexp_replace(canon, _PREFIX, ""), seed), more(ALPHABETS["[0-9]"]))
+    value = F.concat(_substituted(canon, seed), more(ALPHABETS["[0-9]"]))
+    head, tail_line = F.regexp_extract(canon, "^-----BEGIN [A-Z ]*-----", 0), F.regexp_extract(canon, "-----END [A-Z ]*-----$", 0)
+    pem = F.concat(head, _substituted(canon.substr(F.length(head) + 1, F.length(canon) - F.length(head) - F.length(tail_line)), seed), more(ALPHABETS["[0-9]"]), tail_line)
+    ipv6 = F.when(attempt < GROW, _substituted(canon, seed, {"[0-9a-f]": "0123456789abcdef"})).otherwise(local6)
     secret = F.concat(_substituted(canon, seed, {"[0-9a-f]": "0123456789abcdef"}), more(ALPHABETS["[0-9]"]))
     gender, script = (F.split_part(canon, F.lit("/"), F.lit(i)) for i in (1, 2))
     given, family = None, None
@@ -203,8 +228,8 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         tail = F.when(script == s, longer) if s == "latin" else tail.when(script == s, longer)
     given = F.concat(given, F.when(grown > 0, tail).otherwise(""))
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), numbers)
-        .when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "token", token).when(kind == "given", given).otherwise(family)
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", numbers)
+        .when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "token", token).when(kind == "assigned", value).when(kind == "pem", pem).when(kind == "ipv6", ipv6).when(kind == "given", given).otherwise(family)
     )
 
 
@@ -216,7 +241,7 @@ def rendered(kind: Column, surface: Column, new: Column) -> Column:
     spaced = F.aggregate(_chars(surface), start, lambda a, c: F.struct(F.concat(a.s, F.when(c == " ", c).otherwise(F.substring(new, a.n + 1, F.lit(1)))).alias("s"), (a.n + F.when(c == " ", 0).otherwise(1)).alias("n")), rest)
     leader = F.when(kind == "email", F.regexp_extract(surface, _LEADER, 0)).otherwise("")
     return (
-        F.when(kind.isin("card", "phone", "ssn"), laid).when(kind == "iban", spaced).when(kind.isin("ip", "token"), new)
+        F.when(kind.isin("card", "phone", "ssn"), laid).when(kind == "iban", spaced).when(kind.isin("ip", "ipv6", "token", "pem"), new).when(kind == "assigned", F.concat(F.regexp_extract(surface, "^" + _ASSIGNS, 0), new))
         .otherwise(F.concat(leader, _loud(surface, new)))
     )
 
@@ -265,25 +290,30 @@ def surrogate_documents(docs: DataFrame, key: str, text_col: str = "text") -> Da
     at = ["__a", "__b", "pos"]
     seen = stash(found.select("__a", "__b", F.posexplode("all").alias("pos", "surface")).withColumn("kind", entity_type(F.col("surface"))))
 
-    # Names: title, given name if there are two words, surname.
+    # Names: title, given name if there are two words, surname; particles stay as they are.
     bare = F.regexp_replace("surface", _TITLE, "")
-    names = seen.where("kind = 'name'").select(*at, "surface", F.regexp_extract("surface", _TITLE, 0).alias("title"), gender_of(F.col("surface")).alias("gender"), F.split(bare, " ").alias("w"))
+    part_of = lambda k: F.regexp_extract(bare, f"^({_PARTICLE})({_NAME})(?: ({_PARTICLE})({_NAME}))?$", k)
+    names = seen.where("kind = 'name'").select(*at, F.regexp_extract("surface", _TITLE, 0).alias("title"), gender_of(F.col("surface")).alias("gender"), *[part_of(k).alias(c) for k, c in enumerate(("p1", "n1", "p2", "n2"), 1)])
     low = lambda c: F.concat_ws("/", script_of(c), F.lower(c))
-    given, surname = F.when(F.size("w") > 1, F.get("w", F.lit(0))), F.element_at("w", -1)
-    names = stash(names.select(*at, "title", "gender", given.alias("given"), surname.alias("surname"), low(given).alias("given_key"), low(surname).alias("surname_key")))
-    genders = names.where("given is not null").groupBy("given_key").agg(F.min("gender").alias("gender"))  # f, m, then n
+    two = F.col("n2") != ""
+    given, surname = F.when(two, F.col("n1")), F.when(two, F.col("n2")).otherwise(F.col("n1"))
+    names = names.select(*at, F.concat("title", "p1").alias("title"), "gender", "p2", given.alias("given"), surname.alias("surname"), low(given).alias("given_key"), low(surname).alias("surname_key"))
+    # A given name with and without a form of address that tells its gender is one, if the corpus knows one gender for it.
+    genders = names.where("given is not null").groupBy("given_key").agg(F.max((F.col("gender") == "m").cast("int")).alias("m"), F.max((F.col("gender") == "f").cast("int")).alias("f"))
+    told = F.when(F.col("gender") != "n", F.col("gender")).when((F.col("m") == 1) & (F.col("f") == 0), "m").when((F.col("f") == 1) & (F.col("m") == 0), "f").otherwise("n")
+    names = stash(names.join(genders, "given_key", "left").withColumn("given_key", F.when(F.col("given").isNotNull(), F.concat_ws("/", told, "given_key"))).drop("m", "f"))
     entities = (
         seen.where("kind not in ('name', 'word')").select("kind", canonical(F.col("kind"), F.col("surface")).alias("canon"))
         .unionByName(names.select(F.lit("surname").alias("kind"), F.concat(F.lit("n/"), "surname_key").alias("canon")))
-        .unionByName(genders.select(F.lit("given").alias("kind"), F.concat_ws("/", "gender", "given_key").alias("canon")))
+        .unionByName(names.where("given is not null").select(F.lit("given").alias("kind"), F.col("given_key").alias("canon")))
     )
-    table = stash(assign(entities, key).select("kind", F.when(F.col("kind").isin("given", "surname"), F.regexp_replace("canon", "^[^/]*/", "")).otherwise(F.col("canon")).alias("key"), "new"))
+    table = stash(assign(entities, key).select("kind", F.when(F.col("kind") == "surname", F.regexp_replace("canon", "^[^/]*/", "")).otherwise(F.col("canon")).alias("key"), "new"))
 
     # Words that a form of address introduced in the same text.
-    part = lambda kind: names.where(F.col(kind).isNotNull()).select("__a", "__b", F.col(f"{kind}_key").alias("key"), F.lit(kind).alias("kind"))
-    introduced = part("given").unionByName(part("surname")).groupBy("__a", "__b", "key").agg(F.max("kind").alias("kind"))
-    words = seen.where("kind = 'word'").select(*at, "surface", low(F.col("surface")).alias("key")).join(introduced, ["__a", "__b", "key"], "left")
-    words = stash(words)
+    part = lambda kind, word: names.where(F.col(kind).isNotNull()).select("__a", "__b", word.alias("word"), F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_key").alias("key")).alias("as"))
+    introduced = part("given", F.regexp_replace("given_key", "^[^/]*/", "")).unionByName(part("surname", F.col("surname_key"))).groupBy("__a", "__b", "word").agg(F.max("as").alias("as"))
+    words = seen.where("kind = 'word'").select(*at, "surface", low(F.col("surface")).alias("word")).join(introduced, ["__a", "__b", "word"], "left")
+    words = stash(words.select(*at, "surface", "as.kind", "as.key"))
     single = seen.where("kind not in ('name', 'word')").select(*at, "surface", "kind", canonical(F.col("kind"), F.col("surface")).alias("key"))
     single = single.unionByName(words.where("kind is not null").select(*at, "surface", "kind", "key"))
     out = single.join(table, ["kind", "key"]).select(*at, rendered(F.col("kind"), F.col("surface"), F.col("new")).alias("out"), F.lit(1).alias("n"))
@@ -291,7 +321,7 @@ def surrogate_documents(docs: DataFrame, key: str, text_col: str = "text") -> Da
     last = _loud(F.col("surname"), F.col("family"))
     alone = family.where("given is null").select(*at, F.concat("title", last).alias("out"), F.lit(1).alias("n"))
     first = family.where("given is not null").join(table.where("kind = 'given'").select(F.col("key").alias("given_key"), F.col("new").alias("first")), "given_key")
-    both = first.select(*at, F.concat("title", _loud(F.col("given"), F.col("first")), F.lit(" "), last).alias("out"), F.lit(1).alias("n"))
+    both = first.select(*at, F.concat("title", _loud(F.col("given"), F.col("first")), F.lit(" "), "p2", last).alias("out"), F.lit(1).alias("n"))
     same = words.where("kind is null").select(*at, F.col("surface").alias("out"), F.lit(0).alias("n"))
     mapped = out.unionByName(alone).unionByName(both).unionByName(same)
     lists = mapped.groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("outs"), F.sum("n").alias("n"))
