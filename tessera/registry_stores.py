@@ -85,3 +85,31 @@ def _(spark, sf):
     counts = ask.prepared(rel)
     lex = counts.shape.select("anchor")
     return ask.answers(steps.settled(user_turns(spark, sf)), lex, counts, limit=2)
+
+
+@query("h9_checksum", """SELECT o_orderkey, sha256('{"date":"' || o_orderdate::DATE || '","key":' || o_orderkey || ',"lines":[' || coalesce(lines, '') || '],"who":{"clerk":' || coalesce('"' || o_orderpriority || '"', 'null') || ',"status":"' || o_orderstatus || '"}}') AS checksum FROM orders
+    LEFT JOIN (SELECT l_orderkey, string_agg('{"n":' || l_linenumber || ',"returned":' || (l_returnflag = 'R')::VARCHAR || '}', ',' ORDER BY l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def _(spark, sf):
+    """Checksums of orders with their lines as canonical JSON; the fields are put together in no order."""
+    from tessera.operators import records
+
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), (F.col("l_returnflag") == "R").alias("returned")))).alias("lines"))
+    o = table(spark, sf, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    rows = o.select(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("clerk")).alias("who"), F.coalesce("lines", F.array().cast(o.schema["lines"].dataType)).alias("lines"), F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("date").alias("date"))
+    return records.checksums(rows).select(F.col("key").alias("o_orderkey"), "checksum")
+
+
+@query("f18_contracts", """WITH p AS (SELECT page_id, page_id % 5 AS k FROM pages) SELECT page_id, CASE k WHEN 1 THEN 'region map: coordinate_space is none of native_pixels, grid_cells' WHEN 2 THEN 'region map: writes_allowed allows writes'
+    WHEN 3 THEN 'region map: source_hash is missing' WHEN 4 THEN 'region map: regions is no list' ELSE '' END AS faults, 'region_map_' || left(sha256('map@1::' || page_id || '::' || sha256(url)), 16) AS region_map_id FROM p JOIN pages USING (page_id)""")
+def _(spark, sf):
+    """Empty region maps of all pages, four of five broken in one way, and how each breaks its contract."""
+    from tessera.operators import records
+
+    p = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("visual_record_id"), F.sha2("url", 256).alias("source_hash"))
+    maps = records.empty_region_maps(p, "map@1").withColumn("page_id", F.col("visual_record_id").cast("long"))
+    k, r = F.col("page_id") % 5, F.col("record")
+    broken = (
+        F.when(k == 1, F.replace(r, F.lit("native_pixels"), F.lit("inches"))).when(k == 2, F.replace(r, F.lit('"counts":false'), F.lit('"counts":true'))).when(k == 3, F.regexp_replace(r, '"source_hash":"[^"]*",', ""))
+        .when(k == 4, F.replace(r, F.lit('"regions":[]'), F.lit('"regions":3'))).otherwise(r)
+    )
+    return maps.select("page_id", F.array_join(records.faults(broken, records.region_map("map@1")), "; ").alias("faults"), F.get_json_object("record", "$.region_map_id").alias("region_map_id"))
