@@ -86,14 +86,21 @@ def _case(a: Column) -> Column:
     return F.struct(F.substring(a, 1, 1).rlike(r"^\p{Lu}").alias("first"), (F.char_length(a) - F.char_length(F.regexp_replace(a, r"\p{Lu}", ""))).alias("capitals"))
 
 
+def _shorter(a: Column) -> Column:
+    """A word and all that is left of it without one character."""
+    return F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(a))), lambda i: F.concat(a.substr(F.lit(1), i - 1), a.substr(i + 1, F.char_length(a)))), a))
+
+
 def suggestions(missing: DataFrame, known: DataFrame) -> DataFrame:
     """anchor, suggestion: the one known anchor within an edit, of the same first letter and capitals; two equally near
-    ones are none. Blocked by letter, capitals and length, so nothing is compared across blocks."""
+    ones are none. Two words within an edit share one of what is left of them without a character, so only those that do are
+    compared."""
+    blocked = lambda a: [letter_bucket(a).alias("letter"), _case(a).alias("case"), F.explode(_shorter(a)).alias("part")]
     left = missing.select("anchor").distinct().where(F.col("anchor").rlike(r"\p{L}"))
-    left = left.select("anchor", letter_bucket(F.col("anchor")).alias("letter"), _case(F.col("anchor")).alias("case"), F.explode(F.sequence(F.greatest(F.lit(1), F.char_length("anchor") - 1), F.char_length("anchor") + 1)).alias("len"))
-    right = known.select(F.col("anchor").alias("other")).distinct()
-    right = right.select("other", letter_bucket(F.col("other")).alias("letter"), _case(F.col("other")).alias("case"), F.char_length("other").alias("len"))
-    near = left.join(right, ["letter", "case", "len"]).where(F.col("anchor") != F.col("other")).withColumn("d", F.levenshtein("anchor", "other", 1)).where("d >= 0")
+    left = left.select("anchor", *blocked(F.col("anchor")))
+    right = known.select(F.col("anchor").alias("other")).distinct().select("other", *blocked(F.col("other")))
+    pairs = left.join(right, ["letter", "case", "part"]).where(F.col("anchor") != F.col("other")).select("anchor", "other").distinct()
+    near = pairs.withColumn("d", F.levenshtein("anchor", "other", 1)).where("d >= 0")
     cost = F.struct(F.col("d"), F.abs(F.char_length("anchor") - F.char_length("other")).alias("gap"))
     ranked = near.select("anchor", "other", cost.alias("cost"))
     best = ranked.groupBy("anchor").agg(F.min("cost").alias("cost"))

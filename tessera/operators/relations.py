@@ -59,8 +59,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return read.select(F.explode_outer(anchors(F.col("s"))).alias("anchor")).where(F.col("anchor").isNotNull()).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
-def band(rows: DataFrame, keys: list[str], counted, array_col: str = "anchors", radius: int = RADIUS) -> DataFrame:
-    """keys, left, distance, right, n for all pairs of counted elements of an array at distance 1..radius.
+def band(rows: DataFrame, keys: list[str], counted, array_col: str = "anchors", radius: int = RADIUS, asked: list[str] | None = None) -> DataFrame:
+    """keys, left, distance, right, n for all pairs of counted elements of an array at distance 1..radius; with ``asked``, of
+    pairs that have one of these at an end, and arrays without any aren't laid out.
 
     Only pairs to the right are laid out and counted; ``both_ways`` adds the mirror image after aggregation, which halves
     what is shuffled. Elements that aren't counted keep their place. Positions and partners come from two generators in
@@ -68,9 +69,11 @@ def band(rows: DataFrame, keys: list[str], counted, array_col: str = "anchors",
     ones: for an inner one the optimizer adds a filter on the array's size, which works the whole text out once more.
     """
     x = F.col(array_col)
+    rows = rows.where(F.arrays_overlap(x, F.array(*map(F.lit, asked)))) if asked else rows
     left = rows.select(*keys, x, F.posexplode_outer(x).alias("__at", "left")).where(F.col("left").isNotNull() & counted(F.col("left")))
     partners = F.inline(F.array(*(F.struct(F.lit(d).alias("distance"), F.get(x, F.col("__at") + d).alias("right")) for d in range(1, radius + 1))))
     pairs = left.select(*keys, "left", partners)
+    pairs = pairs.where(F.col("left").isin(asked) | F.col("right").isin(asked)) if asked else pairs
     return pairs.where(F.col("right").isNotNull() & counted(F.col("right"))).groupBy(*keys, "left", "distance", "right").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -80,18 +83,23 @@ def both_ways(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, side.alias("s"), F.col("n").alias("observations")).select(*keys, "s.anchor", "s.offset", "s.neighbor", "observations")
 
 
-def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, whole: bool = True) -> DataFrame:
-    """source_id, anchor, offset, neighbor, observations; windows end at paragraphs.
+def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, whole: bool = True, asked: list[str] | None = None) -> DataFrame:
+    """source_id, anchor, offset, neighbor, observations; windows end at paragraphs. With ``asked``, of these anchors alone: other
+    pairs are dropped before they are counted.
 
     Texts are dealt by source, which moves the text once and no pair ever; ``whole=False`` is for ids that hold a large
     share of all text, whose pairs are counted where they are read and then shuffled.
     """
-    return both_ways(band(paragraph_anchors(docs, id_col, text_col, whole), ["source_id"], eligible, radius=radius), ["source_id"])
+    return _of(both_ways(band(paragraph_anchors(docs, id_col, text_col, whole), ["source_id"], eligible, radius=radius, asked=asked), ["source_id"]), asked)
 
 
-def corpus_relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """anchor, offset, neighbor, observations over all documents, without a per-document step in between."""
-    return both_ways(band(paragraph_anchors(docs, id_col, text_col), [], eligible, radius=radius), [])
+def _of(rel: DataFrame, asked: list[str] | None) -> DataFrame:
+    return rel.where(F.col("anchor").isin(asked)) if asked else rel
+
+
+def corpus_relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, asked: list[str] | None = None) -> DataFrame:
+    """anchor, offset, neighbor, observations over all documents, without a per-document step in between; ``asked`` as above."""
+    return _of(both_ways(band(paragraph_anchors(docs, id_col, text_col), [], eligible, radius=radius, asked=asked), []), asked)
 
 
 def resolved_relations(paragraphs_df: DataFrame, radius: int = RADIUS) -> DataFrame:

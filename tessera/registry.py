@@ -46,9 +46,9 @@ def grids(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("stream_id"), F.col("vec_id").alias("frame_number"), F.col("embedding").cast("array<double>").alias("cells"))
 
 
-def cell_rows(spark, sf):
-    """Relations of each source as count cells, the source's number as lane."""
-    rel = relations.relations(docs(spark, sf).select(F.col("source").alias("doc_id"), "text"), whole=False)
+def cell_rows(spark, sf, asked=None):
+    """Relations of each source as count cells, the source's number as lane; of all roots or of those asked."""
+    rel = relations.relations(docs(spark, sf).select(F.col("source").alias("doc_id"), "text"), whole=False, asked=asked)
     lane = F.regexp_extract("source_id", r"(\d+)$", 1).cast("int") % 5
     return rel.select(F.col("anchor").alias("root"), F.lit(0).alias("root_lane"), "offset", "neighbor", lane.alias("lane"), F.lit(0).alias("flags"), F.col("observations").alias("count"))
 
@@ -131,7 +131,7 @@ _ASKED_SQL = ", ".join(f"'{a}'" for a in ASKED)
     b AS (SELECT anchor, NULL::INT AS "offset", neighbor, sum(n)::BIGINT AS n FROM g GROUP BY ALL UNION ALL SELECT * FROM g)
     SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY anchor, "offset" ORDER BY n DESC, neighbor))::INT AS "rank" FROM b) WHERE "rank" <= 12""")
 def t1_neighbors(spark, sf):
-    return context.neighbors(relations.corpus_relations(docs(spark, sf)), ASKED)
+    return context.neighbors(relations.corpus_relations(docs(spark, sf), asked=ASKED), ASKED)
 
 
 @query("a5_context_views", f"""WITH {TOKS}, {PAIRS}, f AS (SELECT anchor, "offset", neighbor, sum(observations)::BIGINT AS n FROM rel GROUP BY ALL),
@@ -207,7 +207,7 @@ _QUESTION_SQL = ", ".join(f"'{a}'" for a in QUESTION)
     SELECT neighbor, round(sum("count" / abs("offset")), 6) AS score, count(DISTINCT root)::BIGINT AS roots FROM cells
     WHERE root IN ({_QUESTION_SQL}) AND lane IN (0, 1, 2, 4) GROUP BY neighbor ORDER BY score DESC, roots DESC, neighbor LIMIT 12""")
 def _(spark, sf):
-    return counts.score(cell_rows(spark, sf), QUESTION, [0, 1, 2, 4])
+    return counts.score(cell_rows(spark, sf, QUESTION), QUESTION, [0, 1, 2, 4])
 
 
 @query("t18_attention", f"""WITH {TOKS}, {PAIRS}

@@ -186,10 +186,12 @@ def _(spark, sf):
 _ONE_EDIT = """CASE WHEN length(l.anchor) = length(other) THEN len(list_filter(range(1, length(other) + 1), lambda i: l.anchor[i] <> other[i])) = 1
     WHEN length(l.anchor) > length(other) THEN len(list_filter(range(1, length(l.anchor) + 1), lambda i: substr(l.anchor, 1, i - 1) || substr(l.anchor, i + 1) = other)) > 0
     ELSE len(list_filter(range(1, length(other) + 1), lambda i: substr(other, 1, i - 1) || substr(other, i + 1) = l.anchor)) > 0 END"""
+#: A word and all that is left of it without one character: words within an edit share one of these.
+_SHORTER = "list_distinct(list_concat([anchor], list_transform(range(1, length(anchor) + 1), lambda i: substr(anchor, 1, i - 1) || substr(anchor, i + 1))))"
 _SUGGEST = f"""m AS (SELECT cnt.anchor, n FROM cnt ANTI JOIN lex ON lex.anchor = cnt.anchor), t AS (SELECT anchor FROM m WHERE length(anchor) >= 3 AND regexp_matches(anchor, '^\\p{{L}}[\\p{{L}}''’\\-]*\\p{{L}}$') AND NOT (upper(anchor) = anchor AND lower(anchor) <> anchor)),
-    l AS (SELECT anchor, regexp_extract(anchor, '\\p{{L}}') AS fl, unnest(range(greatest(1, length(anchor) - 1), length(anchor) + 2)) AS len FROM t),
-    r AS (SELECT anchor AS other, CASE WHEN regexp_extract(anchor, '\\p{{L}}') = '' THEN 'a' ELSE regexp_extract(anchor, '\\p{{L}}') END AS fl, length(anchor) AS len FROM lex),
-    nr AS (SELECT l.anchor, other, abs(length(l.anchor) - length(other)) AS gap FROM l JOIN r ON upper(l.fl) = upper(r.fl) AND l.len = r.len WHERE {_ONE_EDIT}),
+    l AS (SELECT anchor, unnest({_SHORTER}) AS v FROM t), r AS (SELECT anchor AS other, unnest({_SHORTER}) AS v FROM lex), lr AS (SELECT DISTINCT anchor, other FROM l JOIN r USING (v)),
+    p AS (SELECT *, upper(regexp_extract(anchor, '\\p{{L}}')) AS fl, upper(CASE WHEN regexp_extract(other, '\\p{{L}}') = '' THEN 'a' ELSE regexp_extract(other, '\\p{{L}}') END) AS fr FROM lr),
+    nr AS (SELECT l.anchor, other, abs(length(l.anchor) - length(other)) AS gap FROM p l WHERE fl = fr AND abs(length(l.anchor) - length(other)) <= 1 AND {_ONE_EDIT}),
     kk AS (SELECT *, rank() OVER (PARTITION BY anchor ORDER BY gap) AS k FROM nr), sg AS (SELECT anchor, min(other) AS suggestion FROM kk WHERE k = 1 GROUP BY anchor HAVING count(*) = 1)"""
 
 

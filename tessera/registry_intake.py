@@ -68,7 +68,7 @@ def _(spark, sf):
 
 @query("t2_index_neighbors", f"""WITH {TOKS}, {PAIRS}, g AS (SELECT anchor, neighbor, sum(observations)::BIGINT AS n FROM rel WHERE anchor IN ('the', 'und') GROUP BY ALL) SELECT anchor, neighbor, n, k::INT AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY n DESC, neighbor) AS k FROM g) WHERE k <= 12""")
 def _(spark, sf):
-    rows = counts.overlay(relations.corpus_relations(docs(spark, sf)).where(F.col("anchor").isin("the", "und")).withColumn("source_id", F.lit(0)))
+    rows = counts.overlay(relations.corpus_relations(docs(spark, sf), asked=["the", "und"]).withColumn("source_id", F.lit(0)))
     return rows.select("anchor", "neighbor", "n", "rank")
 
 

@@ -130,7 +130,7 @@ def _(spark, sf):
 
 def candidates(spark, sf):
     """anchor, context (roots), offsets, n, of the neighbours of QUESTION in the corpus."""
-    rel = relations.corpus_relations(docs(spark, sf)).where(F.col("anchor").isin(QUESTION))
+    rel = relations.corpus_relations(docs(spark, sf), asked=QUESTION)
     return rel.groupBy(F.col("neighbor").alias("anchor")).agg(F.array_sort(F.collect_set("anchor")).alias("context"), F.array_sort(F.collect_set("offset")).alias("offsets"), F.sum("observations").alias("n"))
 
 

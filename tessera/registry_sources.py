@@ -187,7 +187,7 @@ def _(spark, sf):
 @query("s28_mirror", f"""WITH {TOKS}, {PAIRS} SELECT anchor, "offset", neighbor, sum(observations)::BIGINT AS observations FROM rel WHERE anchor IN ({_ASK}) GROUP BY ALL""")
 def _(spark, sf):
     """Counts written as a JSON mirror, a file a group of anchors, and read again."""
-    rel = relations.corpus_relations(docs(spark, sf)).where(F.col("anchor").isin(QUESTION))
+    rel = relations.corpus_relations(docs(spark, sf), asked=QUESTION)
     inner = rel.groupBy("anchor", "offset").agg(F.map_from_entries(F.collect_list(F.struct("neighbor", "observations"))).alias("n"))
     outer = inner.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct(F.col("offset").cast("string"), "n"))).alias("o"))
     path = steps.new_folder(spark)
@@ -198,7 +198,7 @@ def _(spark, sf):
 @query("s29_rows", f"""WITH {TOKS}, {PAIRS} SELECT anchor, "offset", neighbor, sum(observations)::BIGINT AS observations FROM rel WHERE anchor IN ({_ASK}) GROUP BY ALL""")
 def _(spark, sf):
     """Relation rows as JSON lines, some of them not valid, and the valid ones read again."""
-    rel = relations.corpus_relations(docs(spark, sf)).where(F.col("anchor").isin(QUESTION))
+    rel = relations.corpus_relations(docs(spark, sf), asked=QUESTION)
     told = rel.select("anchor", F.concat(F.when(F.col("offset") > 0, "+").otherwise(""), "offset").alias("offset"), "neighbor", F.col("observations").cast("string").alias("observations"))
     bad = spark.createDataFrame([("the", "0", "x", "1"), ("the", "x", "y", "1"), ("", "1", "y", "1"), ("the", "300", "y", "1"), ("the", "1", "y", "none")], told.schema)
     path = steps.new_folder(spark)

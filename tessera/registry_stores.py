@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import frames, relations
-from tessera.plans import ask
+from tessera.operators import frames, questions, relations
+from tessera.plans import ask, grounded
 from tessera.plans.rounds import Rounds
-from tessera.registry import KNOWN, ORACLE_SQL, PAIRS, TOKS, _hash, docs, grids, known, query, rows_hash, table
+from tessera.registry import KNOWN, ORACLE_SQL, PAIRS, TOKS, _hash, _tokens, docs, grids, known, query, rows_hash, table
 from tessera.registry_intake import _REL
 from tessera.registry_views import _SERIES
 from tessera.sources import steps
@@ -88,7 +88,7 @@ def _(spark, sf):
 
 
 @query("h9_checksum", """SELECT o_orderkey, sha256('{"date":"' || o_orderdate::DATE || '","key":' || o_orderkey || ',"lines":[' || coalesce(lines, '') || '],"who":{"clerk":' || coalesce('"' || o_orderpriority || '"', 'null') || ',"status":"' || o_orderstatus || '"}}') AS checksum FROM orders
-    LEFT JOIN (SELECT l_orderkey, string_agg('{"n":' || l_linenumber || ',"returned":' || (l_returnflag = 'R')::VARCHAR || '}', ',' ORDER BY l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+    LEFT JOIN (SELECT l_orderkey, string_agg('{"n":' || l_linenumber || ',"returned":' || (l_returnflag = 'R')::VARCHAR || '}', ',' ORDER BY l_linenumber, l_returnflag = 'R') AS lines FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
 def _(spark, sf):
     """Checksums of orders with their lines as canonical JSON; the fields are put together in no order."""
     from tessera.operators import records
@@ -113,3 +113,51 @@ def _(spark, sf):
         .when(k == 4, F.replace(r, F.lit('"regions":[]'), F.lit('"regions":3'))).otherwise(r)
     )
     return maps.select("page_id", F.array_join(records.faults(broken, records.region_map("map@1")), "; ").alias("faults"), F.get_json_object("record", "$.region_map_id").alias("region_map_id"))
+
+
+_USERS = _tokens("(SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user') x", "qid", "qt")
+_STOPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in questions.ANSWER_STOP)
+_FACTS = rf"""{_USERS}, {_tokens("benchmark", "item_id", "bt")},
+    q AS (SELECT DISTINCT source_id AS qid, anchor, NOT (anchor IN ({_STOPPED}) OR anchor LIKE '<%' OR anchor LIKE '%>' OR contains(anchor, 'xml') OR regexp_full_match(anchor, '[^\p{{L}}\p{{N}}]') OR regexp_full_match(anchor, '\p{{Nd}}+')) AS c FROM qt),
+    b AS (SELECT DISTINCT source_id AS item, anchor FROM bt), bn AS (SELECT item, count(*) AS n FROM b GROUP BY item),
+    p AS (SELECT qid, item, count(*) FILTER (WHERE c) AS hits, count(*) AS qh FROM q JOIN b USING (anchor) GROUP BY ALL HAVING count(*) FILTER (WHERE c) > 0),
+    ps AS (SELECT qid, item, qh, round(hits * 100 + hits / n, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(hits * 100 + hits / n, 6) DESC, item) AS place FROM p JOIN bn USING (item)),
+    ft AS (SELECT item_id AS item, trim(replace(replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 'Question:', ''), 'Answer:', ''), ' -') AS fact FROM benchmark),
+    fs AS (SELECT qid AS query_id, item AS source_id, fact, qh AS query_hits, round(qh * 100.0::DOUBLE + score / 10, 6) AS score, place FROM ps JOIN ft USING (item) WHERE place <= 12),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, fact) AS rank FROM fs)"""
+
+
+def asked(spark, sf):
+    """The users' turns as queries without walked terms, and benchmark items as blocks."""
+    blocks = table(spark, sf, "benchmark").select(F.col("item_id").alias("source_id"), F.lit(0).alias("block_id"), "text")
+    return steps.settled(user_turns(spark, sf).withColumn("terms", F.array().cast("array<string>"))), blocks
+
+
+@query("z22_facts", f"WITH {_FACTS} SELECT query_id, rank::INT AS rank, source_id, fact, query_hits::INT AS query_hits, score FROM fr WHERE rank <= 6")
+def _(spark, sf):
+    """The selected fact and five candidates of every user's turn, from benchmark items as passages."""
+    queries, blocks = asked(spark, sf)
+    return grounded.facts(queries, grounded.passages(queries, blocks), blocks).select("query_id", "rank", "source_id", "fact", "query_hits", "score")
+
+
+@query("z21_grounded", f"WITH {_FACTS} SELECT query_id, max(fact) FILTER (WHERE rank = 1) AS answer, true AS grounded, string_agg(source_id || ':block0', ' ' ORDER BY rank) AS citations FROM fr WHERE rank <= 6 GROUP BY query_id")
+def _(spark, sf):
+    got = grounded.grounded(*asked(spark, sf)).where("grounded")
+    return got.select("query_id", "answer", "grounded", F.array_join("citations", " ").alias("citations"))
+
+
+@query("o9_routed", f"""WITH {_FACTS}, m AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, turn, text FROM conversations WHERE role = 'user'),
+    d AS (SELECT query_id, fact FROM fr WHERE rank = 1 AND query_hits >= 12), n AS (SELECT source_id AS query_id, count(*) AS n FROM qt GROUP BY source_id HAVING count(*) >= 12),
+    s AS (SELECT conv_id * 1000 + turn AS query_id, is_document FROM ({ORACLE_SQL["p29_shape"]}))
+    SELECT m.query_id, CASE WHEN is_document THEN 'document_payload' WHEN d.fact IS NOT NULL THEN 'documents' WHEN n.n IS NOT NULL THEN 'counts' WHEN m.turn > 0 THEN 'memory' ELSE 'unanswered' END AS tier,
+           CASE WHEN is_document THEN NULL WHEN d.fact IS NOT NULL THEN d.fact WHEN n.n IS NOT NULL THEN n.n || ' tokens' WHEN m.turn > 0 THEN 'after ' || m.turn END AS answer
+    FROM m JOIN s USING (query_id) LEFT JOIN d USING (query_id) LEFT JOIN n USING (query_id)""")
+def _(spark, sf):
+    """Who answers each user's turn: facts with twelve shared tokens, else the number of its tokens from twelve on, else the turns before it."""
+    queries, blocks = asked(spark, sf)
+    best = grounded.facts(queries, grounded.passages(queries, blocks), blocks).where("rank = 1 and query_hits >= 12").select("query_id", F.col("fact").alias("answer"))
+    n = F.size("anchors")
+    counted = queries.where(n >= 12).select("query_id", F.concat(n, F.lit(" tokens")).alias("answer"))
+    said = table(spark, sf, "conversations").where("role = 'user'").withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    memory = said.where("turn > 0").select("query_id", F.concat(F.lit("after "), "turn").alias("answer"))
+    return grounded.routed(said.select("query_id", "text"), best, counted, memory)
