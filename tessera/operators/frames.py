@@ -219,24 +219,25 @@ def run_features(x: np.ndarray, state: FrameState) -> np.ndarray:
     out = np.zeros((len(x), len(FEATURES)))
     if new:
         out[0, [FEATURES.index(c) for c in ("static_ratio", "horizontal_vs_vertical_ratio", "smoothness_index")]] = 1.0
+    row = lambda a: np.ascontiguousarray(a.reshape(len(y), -1))  # noqa: E731  sums by frame don't depend on how many frames there are
     if len(y):
         d = np.abs(np.diff(np.concatenate([state.before[None], y]), axis=0))
         high, low, flat = np.abs(y - slow), np.abs(fast - slow), d.reshape(len(y), -1)
         total, std, peak = flat.sum(axis=1), flat.std(axis=1), flat.max(axis=1)
         heap = np.cumsum(-np.sort(-flat, axis=1), axis=1)
         half = np.where(heap[:, -1] > _EPS, ((heap < 0.5 * heap[:, -1:]).sum(axis=1) + 1) / flat.shape[1], 0.0)
-        center, mid = d[:, state.center].sum(axis=1), state.rows // 2
-        edge_var, center_var = y[:, state.edge].var(axis=1), y[:, state.center].var(axis=1)
+        center, mid = row(d[:, state.center]).sum(axis=1), state.rows // 2
+        edge_var, center_var = row(y[:, state.edge]).var(axis=1), row(y[:, state.center]).var(axis=1)
         share, smooth = center / (total + _EPS), 1 / (1 + std)
         before = np.concatenate([[state.energy], total[:-1]])
         swing = np.where(np.abs(before) > _EPS, np.abs(total - before) / (before + _EPS), 0.0)
-        across, down = np.abs(np.diff(d, axis=2)).sum(axis=(1, 2)), np.abs(np.diff(d, axis=1)).sum(axis=(1, 2))
-        highs, lows = high.sum(axis=(1, 2)), low.sum(axis=(1, 2))
+        across, down = row(np.abs(np.diff(d, axis=2))).sum(axis=1), row(np.abs(np.diff(d, axis=1))).sum(axis=1)
+        highs, lows = row(high).sum(axis=1), row(low).sum(axis=1)
         out[int(new) :] = np.column_stack([
-            total, flat.mean(axis=1), std, half, (flat < state.static).mean(axis=1), share, d[:, state.edge].sum(axis=1) / (total + _EPS), across / (down + _EPS),
-            (d[:, :mid].sum(axis=(1, 2)) - d[:, mid:].sum(axis=(1, 2))) / (total + _EPS), (edge_var - center_var) / (edge_var + center_var + _EPS), highs, lows,
-            highs / (lows + _EPS), smooth, swing, peak, np.where(peak > state.flash, share, 0.0), np.abs(high[:, state.center].sum(axis=1) - center),
-            np.abs(y.reshape(len(y), -1).var(axis=1) - slow.reshape(len(y), -1).var(axis=1)), share * smooth * (1 - np.minimum(1.0, highs / 10)),
+            total, flat.mean(axis=1), std, half, (flat < state.static).mean(axis=1), share, row(d[:, state.edge]).sum(axis=1) / (total + _EPS), across / (down + _EPS),
+            (row(d[:, :mid]).sum(axis=1) - row(d[:, mid:]).sum(axis=1)) / (total + _EPS), (edge_var - center_var) / (edge_var + center_var + _EPS), highs, lows,
+            highs / (lows + _EPS), smooth, swing, peak, np.where(peak > state.flash, share, 0.0), np.abs(row(high[:, state.center]).sum(axis=1) - center),
+            np.abs(row(y).var(axis=1) - row(slow).var(axis=1)), share * smooth * (1 - np.minimum(1.0, highs / 10)),
         ])
         state.before, state.ema_fast, state.ema_slow, state.energy = y[-1], f, s, float(total[-1])
     return out

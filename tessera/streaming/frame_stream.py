@@ -23,9 +23,11 @@ def feature_stream(frames: DataFrame, rows: int, cols: int) -> DataFrame:
         if state.exists:
             own.load(*state.get)
         pdf = pd.concat(list(batches)).sort_values("frame_number")
-        out = [[key[0], n, *own.step(x)] for n, x in zip(pdf["frame_number"], pdf["cells"], strict=True)]
+        out = pd.DataFrame(run_features(np.stack([np.asarray(x, float).reshape(rows, cols) for x in pdf["cells"]]), own), columns=FEATURES)
         state.update(own.dump())
-        yield pd.DataFrame(out, columns=["stream_id", "frame_number", *FEATURES])
+        out.insert(0, "stream_id", key[0])
+        out.insert(1, "frame_number", pdf["frame_number"].to_numpy())
+        yield out
 
     return slim.groupBy("stream_id").applyInPandasWithState(run, SERIES, _STATE, "append", GroupStateTimeout.NoTimeout)
 
