@@ -106,11 +106,20 @@ def ema(events: DataFrame, alpha: float, key: str, order: list[str], value: str)
     slim = steps.ranged(events.select(key, *order, value), [key, *order])
     kept = [key, *order, value]
 
+    def laid(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        pdf = pdf.sort_values([key, *order], kind="stable", na_position="first")
+        return pdf, pd.factorize(pdf[key], use_na_sentinel=False)[0]
+
     def told(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order, kind="stable")[value].to_numpy(float)
-        x = x[~np.isnan(x)]
-        weights = alpha * (1 - alpha) ** np.arange(len(x) - 1, -1, -1)
-        return pd.DataFrame({key: pdf[key].iloc[:1], "part": pdf["part"].iloc[:1], "a": [(1 - alpha) ** len(x)], "b": [float(weights @ x)], "first": [x[0] if len(x) else np.nan]})
+        pdf, code = laid(pdf)
+        rows = []
+        for c in dict.fromkeys((code[0], code[-1])):  # only the keys at either end of a range can go on in another
+            own = pdf[code == c]
+            x = own[value].to_numpy(float)
+            x = x[~np.isnan(x)]
+            weights = alpha * (1 - alpha) ** np.arange(len(x) - 1, -1, -1)
+            rows.append(own[[key, "part"]].iloc[:1].assign(head=c == code[0], a=(1 - alpha) ** len(x), b=float(weights @ x), first=x[0] if len(x) else np.nan))
+        return pd.concat(rows)
 
     def carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, now = object(), np.nan
@@ -121,17 +130,17 @@ def ema(events: DataFrame, alpha: float, key: str, order: list[str], value: str)
                     last, now = k, np.nan
                 before[i] = now
                 now = now if np.isnan(first) else a * (first if np.isnan(now) else now) + b
-            yield pdf[[key, "part"]].assign(before=before)
+            yield pdf[["part", "head"]].assign(before=before)
 
     def run(own: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order, kind="stable")
-        x = np.concatenate([state["before"].to_numpy(float)[:1], own[value].to_numpy(float)])
-        return own[kept].assign(ema=pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:])
-
-    where = f"{key} {kinds[key]}, part int"
-    runs = slim.groupBy(key, "part").applyInPandas(told, f"{where}, a double, b double, first double")
-    states = runs.repartition(key).sortWithinPartitions(key, "part").mapInPandas(carried, f"{where}, before double")
-    return slim.groupBy(key, "part").cogroup(states.groupBy(key, "part")).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", ema double")
+        own, code = laid(own)
+        x = pd.Series(np.concatenate([state["before"].to_numpy(float)[:1], own[value].to_numpy(float)]))
+        averaged = x.groupby(np.concatenate([code[:1], code])).ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
+        return own[kept].assign(ema=averaged.to_numpy()[1:])
+
+    runs = slim.groupBy("part").applyInPandas(told, f"{key} {kinds[key]}, part int, head boolean, a double, b double, first double")
+    states = runs.repartition(key).sortWithinPartitions(key, "part").mapInPandas(carried, "part int, head boolean, before double").where("head")
+    return slim.groupBy("part").cogroup(states.groupBy("part")).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", ema double")
 
 
 @dataclass
