@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import small_batches
+from tessera.llm.store import lean, small_batches
 from tessera.llm.textnp import U, batch_bytes, lowered, mix, shingles, slices, span_hashes, words
 
 BITS, BLOCKS, ERRORS = 128, 16, 2
@@ -170,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
                 r, item, sim, start, width = zip(*found, strict=True) if found else ((),) * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r, pa.int64())), pa.array(item, pa.int64()), pa.array(sim, pa.float64()), pa.array(start, pa.int64()), pa.array(width, pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -188,5 +188,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: floa
                     bad[r] = True
                 yield batch.filter(pa.array(~bad))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

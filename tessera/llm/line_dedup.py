@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.blocks import block_count, block_of
-from tessera.llm.store import small_batches, stash
+from tessera.llm.store import lean, lean_tables, small_batches, stash
 from tessera.llm.textnp import SECOND_TABLE, U, batch_bytes, lowered, mix, slices, span_hashes, words
 
 SLOTS = 4
@@ -281,13 +281,13 @@ class LineIndex:
             self = LineIndex(self.refs, none, shards, self.min_docs, self.min_chars, self.text_col)
             before = F.lit(False)
         moves = self._shard(merged.where(over != before)).select("shard", "h1", over.alias("up"))
-        step = stash(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(_refilter, "shard int, filter binary, held long, full boolean"))
+        step = stash(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(lean_tables(_refilter, both=True), "shard int, filter binary, held long, full boolean"))
         refs = merged.where("n > 0").select("h1", "h2", "n")
         good = step.where("not full").select("shard", "filter", "held")
         if step.where("full").limit(1).count():  # a filter is out of room: those shards anew, from the counts
             again = self._shard(refs.where(over)).join(step.where("full").select("shard"), "shard").select("shard", "h1", F.lit(True).alias("up"))
             none = good.where("false")
-            good = good.unionByName(none.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(_refilter, "shard int, filter binary, held long, full boolean").drop("full"))
+            good = good.unionByName(none.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(lean_tables(_refilter, both=True), "shard int, filter binary, held long, full boolean").drop("full"))
         return LineIndex(refs, stash(good), self.shards, self.min_docs, self.min_chars, self.text_col)
 
     def apply(self, docs: DataFrame, n_blocks: int | None = None, lines: DataFrame | None = None) -> DataFrame:
@@ -301,13 +301,13 @@ class LineIndex:
         if lines is None:
             lines = line_counts(docs, self.text_col, self.min_chars, n)
         pairs = self._shard(lines.select("block", "h1", "h2").distinct())
-        maybe = self.filters.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(_probe, "block int, h1 long, h2 long")
+        maybe = self.filters.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(lean_tables(_probe, both=True), "block int, h1 long, h2 long")
         sure = maybe.join(self.refs.where(F.col("n") >= self.min_docs).select("h1", "h2"), ["h1", "h2"])
         keys = sure.groupBy(F.col("block").alias("__block")).agg(F.collect_list("h1").alias("h1s"), F.collect_list("h2").alias("h2s"))
         docs = docs.drop("n_lines", "n_dropped")
         held = docs.withColumn("__block", block_of(n, *_block_key(docs, self.text_col))).repartition(n, "__block")
         schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-        return held.groupBy("__block").cogroup(keys.groupBy("__block")).applyInArrow(_drop_lines(self.text_col, self.min_chars), schema)
+        return held.groupBy("__block").cogroup(keys.groupBy("__block")).applyInArrow(lean_tables(_drop_lines(self.text_col, self.min_chars), both=True), schema)
 
 
 def _block_key(docs: DataFrame, text_col: str) -> list[str]:
@@ -318,7 +318,7 @@ def line_counts(docs: DataFrame, text_col: str, min_chars: int, n_blocks: int =
     """(block, h1, h2, n): the keys of each block of documents, in parts to be summed."""
     small_batches(docs.sparkSession)
     rows = docs.select(block_of(n_blocks, *_block_key(docs, text_col)).alias("block"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_count_lines(min_chars), "block int, h1 long, h2 long, n long")
+    return rows.mapInArrow(lean(_count_lines(min_chars)), "block int, h1 long, h2 long, n long")
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text") -> DataFrame:

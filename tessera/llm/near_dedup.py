@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.store import small_batches, stash
+from tessera.llm.store import lean, lean_tables, small_batches, stash
 from tessera.llm.textnp import U, distinct_by_row, mix, text_shingles
 
 CHUNK = 6
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     small_batches(docs.sparkSession)
     chunks = chunks_for(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns({"text_hash": F.xxhash64("text"), "bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
-    sketch = stash(rows.mapInArrow(_sketch(shingle, chunks), "doc_id long, text_hash long, bytes long, n long, h1 long, h2 long, keys array<long>"))
+    sketch = stash(rows.mapInArrow(lean(_sketch(shingle, chunks)), "doc_id long, text_hash long, bytes long, n long, h1 long, h2 long, keys array<long>"))
     full = sketch.where("doc_id is not null and n > 0")
     found = full.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "bytes")).alias("r"), F.first("keys").alias("keys"))
     # Nodes are sets, each with a number of its own and the row of least id that shows it.
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     texts = rows.drop("bytes").join(plan.hint("merge"), ["doc_id", "text_hash"]).select("task", "grp", "set", "n", "h1", "text")
     if full.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # rows that are the same: one of them is enough
         texts = texts.dropDuplicates(["task", "set"])
-    links = texts.groupBy("task").applyInArrow(_confirm(shingle, percent), "a long, b long")
+    links = texts.groupBy("task").applyInArrow(lean_tables(_confirm(shingle, percent)), "a long, b long")
     named = stash(components(links).select(F.col("id").alias("set"), "component").join(reps.select("set", "rep"), "set"))
     low = named.groupBy("component").agg(F.min("rep").alias("low"))
     least = named.join(low, "component").select("set", "component", "low")

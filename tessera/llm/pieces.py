@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.store import small_batches
+from tessera.llm.store import KEPT, lean, small_batches, trim
 
 MARK = "▁"
 CACHE = 150_000
@@ -248,15 +248,14 @@ class Vocabulary:
         return self.flat[at].tobytes().decode("utf-8", "each_byte")
 
 
-_LOADED: dict[bytes, Vocabulary] = {}
-
-
 def vocabulary(model: bytes) -> Vocabulary:
+    """The model's vocabulary, which stays in the worker, chunks that it has met included, until another operator's task."""
+    loaded = KEPT.setdefault("pieces", {})
     key = hashlib.sha256(model).digest()
-    if key not in _LOADED:
-        _LOADED[key] = Vocabulary(model)
-        _LOADED[key].check_pieces()
-    return _LOADED[key]
+    if key not in loaded:
+        loaded[key] = Vocabulary(model)
+        loaded[key].check_pieces()
+    return loaded[key]
 
 
 def default_model() -> str:
@@ -301,8 +300,10 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, text_col: s
                 vocab.check_whole(texts[0], ids[0], back[0] if back else None)
             new = [_lists(ids), *([pa.array(back, pa.string())] if decoded_col else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+            del column, texts, ids, back, new
+            trim()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, "pieces"), schema)
 
 
 def decode_documents(docs: DataFrame, model_path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -317,7 +318,7 @@ def decode_documents(docs: DataFrame, model_path: str | None = None, ids_col: st
             texts = [vocab.decode(np.array(x or [], np.int64)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, "pieces"), schema)
 
 
 def digests(encoded: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

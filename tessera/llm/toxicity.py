@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.store import small_batches
+from tessera.llm.store import lean, small_batches, trim
 from tessera.llm.textnp import SECOND_TABLE, U, batch_bytes, lowered, mix, shingles, slices, span_hashes, words
 
 #: Bounds of the fit: labelled documents it learns from, and words of the model (the most telling ones).
@@ -191,7 +191,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(ys), "__id")  # max_labelled rows at most
     sample = sample.groupBy("__id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
-    rows = sample.mapInArrow(_collectable, "y array<double>, w binary, c binary, low binary, dense binary").collect()
+    rows = sample.mapInArrow(lean(_collectable), "y array<double>, w binary, c binary, low binary, dense binary").collect()
     rows.sort(key=lambda r: (r.low, r.w, r.y))
     seen: list[set[bytes]] = [set() for _ in range(MINIMA)]
     own = []
@@ -211,25 +211,26 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     parts = [(fold != f, fold == f) for f in range(FOLDS) if (fold == f).any() and (fold != f).any()]
     whole = _described(words_of, dense, y, np.ones(len(y), bool), most_words)
     apart = [_described(words_of, dense, y, learn, most_words) for learn, _ in parts]
-    chain = Chain(names, *whole[:3], [], [])
+    chain = Chain(names, *whole, [], [])
+    features = lambda own: Chain([], *own, [], []).base(words_of, dense)  # noqa: E731 - laid out anew for each fit, or all folds' stand in memory at once
     unseen = np.zeros((len(y), 0))
     for k in range(len(names)):
         out = np.zeros(len(y))
-        for (learn, held), (*_, x) in zip(parts, apart, strict=True):
-            full = np.hstack([x, _logit(unseen)])
+        for (learn, held), described in zip(parts, apart, strict=True):
+            full = np.hstack([features(described), _logit(unseen)])
             w = fit_linear(full[learn], y[learn, k])
             out[held] = _sigmoid(full[held] @ w[:-1] + w[-1])
-        chain.weights.append(fit_linear(np.hstack([whole[3], _logit(unseen)]), y[:, k]))
+        chain.weights.append(fit_linear(np.hstack([features(whole), _logit(unseen)]), y[:, k]))
         chain.cutoffs.append(best_cutoff(out, y[:, k]))
         unseen = np.hstack([unseen, out[:, None]])
     return chain
 
 
 def _described(words_of, dense: np.ndarray, y: np.ndarray, learn: np.ndarray, most_words: int):
-    """Words, means and scales chosen on the rows to learn from, and all rows' features by them."""
+    """Words, means and scales chosen on the rows to learn from."""
     keys = _chosen([w for w, ok in zip(words_of, learn, strict=True) if ok], y[learn], most_words)
     mean, scale = dense[learn].mean(axis=0), np.maximum(dense[learn].std(axis=0), 1e-6)
-    return keys, mean, scale, Chain([], keys, mean, scale, [], []).base(words_of, dense)
+    return keys, mean, scale
 
 
 def score_chain(docs: DataFrame, chain: Chain, target: str, flag_col: str = "toxic", threshold: float | None = None, text_col: str = "text") -> DataFrame:
@@ -252,7 +253,7 @@ def score_chain(docs: DataFrame, chain: Chain, target: str, flag_col: str = "tox
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, i]) for i in range(len(fields))), pa.array(p[:, k] >= least)], names=schema.names)
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f, T.DoubleType()) for f in fields), T.StructField(flag_col, T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def default_categories() -> dict[str, Column]:
@@ -263,4 +264,5 @@ def default_categories() -> dict[str, Column]:
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that a chain fitted on their labelled ones doesn't call toxic, with their own columns."""
     chain = fit_chain(docs, labels, default_categories(), text_col=text_col)
+    trim()  # the driver, of what the fit took
     return score_chain(docs, chain, "toxic", "__toxic", text_col=text_col).where("not __toxic").select(docs.columns)

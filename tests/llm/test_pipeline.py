@@ -1,12 +1,16 @@
 import random
+import weakref
 
 import corpus_pipeline
+import pyarrow as pa
 from test_decontaminate import brute as leaks
 from test_line_dedup import brute as lines
 from test_near_dedup import brute as groups
 
+from tessera.llm import pieces
+from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.pieces import default_model, vocabulary
-from tessera.llm.toxicity import default_categories, fit_chain, score_chain
+from tessera.llm.toxicity import Chain, default_categories, fit_chain, score_chain
 
 
 def fixture(spark, folder):
@@ -73,3 +77,40 @@ def test_repeated_ids_in_the_near_copy_stage(spark):
     near = [(3, a), (3, a + " y"), (3, b)]
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(near, "doc_id long, text string"), "").collect()
     assert len(kept) == 2 and (3, b) in {tuple(r) for r in kept}
+
+
+def test_workers_let_go_of_what_a_stage_kept(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 50), i -> concat('w', hash(id, i)))) as text")
+
+    def held(batches):
+        import os
+
+        from tessera.llm import pieces, store
+
+        for batch in batches:
+            kept = len(getattr(store, "KEPT", {})) + len(getattr(pieces, "_LOADED", {}))
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * batch.num_rows, pa.int64()), pa.array([kept] * batch.num_rows, pa.int64())], names=["pid", "kept"])
+
+    look = lambda: {(r.pid, r.kept) for r in docs.mapInArrow(held, "pid long, kept long").distinct().collect()}
+    pieces.encode_documents(docs).write.format("noop").mode("overwrite").save()
+    before = look()
+    assert {k for _, k in before} == {1}
+    near_duplicates(docs).write.format("noop").mode("overwrite").save()
+    after = look()
+    assert {p for p, _ in after} == {p for p, _ in before} and {k for _, k in after} == {0}
+
+
+def test_a_fit_lays_out_one_folds_features_at_a_time(spark, tmp_path, monkeypatch):
+    fixture(spark, str(tmp_path))
+    held, most, real = set(), [0], Chain.base
+
+    def counted(self, *given):
+        out = real(self, *given)
+        held.add(id(out))
+        most[0] = max(most[0], len(held))
+        weakref.finalize(out, held.discard, id(out))
+        return out
+
+    monkeypatch.setattr(Chain, "base", counted)
+    fit_chain(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"), default_categories())
+    assert 1 <= most[0] <= 2
