@@ -17,8 +17,9 @@ the space grows, so it never runs out: a name, given or not, has one syllable mo
 more, a number, an IBAN or a secret one digit more; private addresses go to 10.*, and from ``GROW_IP`` on all addresses to
 fd00::/8.
 
-Only rows with an entity meet a shuffle. Distinct texts are reduced first, then entities to distinct ones, so neither a
-text in a third of all rows nor an entity in a third of all texts is gathered in one task.
+Every text meets the patterns once: the rows are written with what was found in each, and all later steps read that. Only
+rows with an entity meet a shuffle. Distinct texts are reduced first, then entities to distinct ones, so neither a text in a
+third of all rows nor an entity in a third of all texts is gathered in one task.
 """
 
 from __future__ import annotations
@@ -279,14 +280,17 @@ def surrogate_documents(docs: DataFrame, key: str, text_col: str = "text") -> Da
     if not key:
         raise ValueError("surrogates need a key")
     docs = docs.drop("n_entities")
-    columns = docs.columns
+    columns = [F.lit(None).alias(f.name) if f.dataType.typeName() == "void" else F.col(f"`{f.name}`") for f in docs.schema]  # Parquet has no void
+    docs = docs.drop(*(f.name for f in docs.schema if f.dataType.typeName() == "void"))
     text = F.col(text_col)
-    hit = (text.rlike(HINT) | text.rlike(NAME_HINT)) & text.rlike(ANY)
-    none = docs.where(text.isNull() | ~hit).withColumn("n_entities", F.lit(0).cast("long"))
-    some = docs.where(hit).withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit("b"), text), "__named": text.rlike(NAME_HINT) & text.rlike(PATTERNS["name"])})
+    # The patterns cost nearly all of the time, so they meet each text once and what they find is written beside it.
     all_of = lambda pattern: F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    found = some.select("__a", "__b", F.when(F.col("__named"), all_of(ANY_WORD)).otherwise(all_of(ANY)).alias("all"))
-    found = stash(found.groupBy("__a", "__b").agg(F.first("all").alias("all")))
+    named = F.coalesce(text.rlike(NAME_HINT) & text.rlike(PATTERNS["name"]), F.lit(False))
+    read = docs.withColumn("__named", named).withColumn("__all", F.when(F.col("__named"), all_of(ANY_WORD)).when(text.rlike(HINT) | text.rlike(NAME_HINT), all_of(ANY)))
+    read = stash(read.withColumn("__all", F.when(F.size("__all") > 0, F.col("__all"))))
+    none = read.where("__all is null").select(*columns, F.lit(0).cast("long").alias("n_entities"))
+    some = read.where("__all is not null").withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit("b"), text)})
+    found = stash(some.groupBy("__a", "__b").agg(F.first("__all").alias("all")))
     at = ["__a", "__b", "pos"]
     seen = stash(found.select("__a", "__b", F.posexplode("all").alias("pos", "surface")).withColumn("kind", entity_type(F.col("surface"))))
 

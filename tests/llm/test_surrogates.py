@@ -177,3 +177,19 @@ def test_a_given_name_of_two_genders(spark):
     assert a in m.GIVEN["latin", "m"] and b in m.GIVEN["latin", "f"] and c in m.GIVEN["latin", "n"]
     w = out[3][0].split()
     assert w[1] == w[5] and w[2] == w[6]
+
+
+def test_each_text_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    texts = [*TEXTS, TEXTS[0], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").mapInArrow(counted, "doc_id long, text string").withColumn("nothing", F.lit(None))
+    got = m.surrogate_documents(docs, "k")
+    assert got.columns == ["doc_id", "text", "nothing", "n_entities"] and got.schema["nothing"].dataType.typeName() == "void"
+    assert {r.doc_id: (r.text, r.n_entities) for r in got.collect()} == run(spark, texts)
+    assert read.value == len(texts)
