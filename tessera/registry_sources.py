@@ -105,7 +105,7 @@ def _(spark, sf):
     """Headers of 44 bytes for two channels at 8,000 samples of 8 bits, and as many bytes of sound as the supplier's key."""
     head = F.unhex(F.lit("524946460000000057415645666D74201000000001000200401F0000803E00000200080064617461" + "00000000"))
     rows = table(spark, sf, "supplier").select(F.concat("s_suppkey", F.lit(".wav")).alias("path"), F.concat(head, F.unhex(F.repeat(F.lit("00"), F.col("s_suppkey").cast("int")))).alias("content"))
-    return documents.converted(rows).select("source_name", F.regexp_extract("text", r"(8000 .*)$", 1).alias("probe"))
+    return documents.converted(rows).select("source_name", F.regexp_extract("text", r"\| (8000 \| .*)$", 1).alias("probe"))
 
 
 @query("p14_repair", "SELECT doc_id, source || ' ’“–é fi' AS text FROM documents")
