@@ -110,7 +110,7 @@ def _(spark, sf):
 @query("h8_phrase_ids", f"""WITH {TOKS}, {_GRAMS} SELECT phrase, '0x' || upper(left(sha256(array_to_string(g, chr(31)) || chr(30) || array_to_string(g, chr(31))), 10)) AS phrase_id FROM cand""")
 def _(spark, sf):
     words = F.split("phrase", " ")
-    return phrases.candidates(phrases.ngrams(phrases.streams(docs(spark, sf)))).select("phrase", S.phrase_id(words, words).alias("phrase_id"))
+    return phrases.mined(phrases.streams(docs(spark, sf))).select("phrase", S.phrase_id(words, words).alias("phrase_id"))
 
 
 @query("j19_align", r"""WITH a AS (SELECT lang AS doc, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS norm, doc_id AS ordinal FROM documents),

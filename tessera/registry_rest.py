@@ -77,12 +77,12 @@ def _(spark, sf):
 
 @query("a15_stability", f"WITH {TOKS}, {_GRAMS} SELECT phrase, stability FROM cand WHERE n = 2")
 def _(spark, sf):
-    return phrases.candidates(phrases.ngrams(phrases.streams(docs(spark, sf)), 2, 2)).select("phrase", "stability")
+    return phrases.mined(phrases.streams(docs(spark, sf)), 2, 2).select("phrase", "stability")
 
 
 @query("z27_candidates", f"WITH {TOKS}, {_GRAMS} SELECT phrase, n, occurrences, sources FROM cand WHERE occurrences >= 3 ORDER BY occurrences DESC, phrase LIMIT 500")
 def _(spark, sf):
-    rows = phrases.candidates(phrases.ngrams(phrases.streams(docs(spark, sf))), 3)
+    rows = phrases.mined(phrases.streams(docs(spark, sf)), min_count=3)
     return rows.select("phrase", "n", "occurrences", "sources").orderBy(F.desc("occurrences"), "phrase").limit(500)
 
 
