@@ -90,13 +90,13 @@ def _(spark, sf):
     from tessera.operators import counts
     from tessera.registry import cell_rows
 
-    return counts.score(cell_rows(spark, sf), ASKED)
+    return counts.score(cell_rows(spark, sf, ASKED), ASKED)
 
 
 @query("t19_overlay_cloud", f"""WITH {TOKS}, {PAIRS}, g AS (SELECT source_id, neighbor, sum(observations)::BIGINT AS n, array_to_string(list_sort(list_distinct(list(anchor))), ' ') AS support FROM rel WHERE anchor IN ({_ASK}) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, neighbor) AS k FROM g) SELECT source_id, neighbor, n, support, k::INT AS "rank" FROM r WHERE k <= 6""")
 def _(spark, sf):
-    rows = curation.overlay_cloud(relations.relations(docs(spark, sf)), QUESTION)
+    rows = curation.overlay_cloud(relations.relations(docs(spark, sf), asked=QUESTION), QUESTION)
     return rows.withColumn("support", F.array_join("support", " "))
 
 
@@ -268,7 +268,7 @@ def _(spark, sf):
 
 @query("z4_candidates", f"""WITH {TOKS}, {PAIRS} SELECT neighbor, sum(observations)::BIGINT AS n, neighbor IN ({_GLUE_SQL}) AS blocked FROM rel WHERE anchor IN ({_ASK}) GROUP BY neighbor""")
 def _(spark, sf):
-    rel = relations.corpus_relations(docs(spark, sf)).where(F.col("anchor").isin(QUESTION))
+    rel = relations.corpus_relations(docs(spark, sf), asked=QUESTION)
     return rel.groupBy("neighbor").agg(F.sum("observations").alias("n")).withColumn("blocked", F.col("neighbor").isin(phrases.GLUE))
 
 
@@ -281,7 +281,7 @@ def _(spark, sf):
 
 @query("a32_evidence", f"WITH {TOKS}, {PAIRS} SELECT anchor, sum(observations)::BIGINT AS total FROM rel WHERE anchor IN ({_ASKED}) GROUP BY anchor ORDER BY total DESC, anchor LIMIT 8")
 def _(spark, sf):
-    rel = relations.corpus_relations(docs(spark, sf)).where(F.col("anchor").isin(ASKED))
+    rel = relations.corpus_relations(docs(spark, sf), asked=ASKED)
     return rel.groupBy("anchor").agg(F.sum("observations").alias("total")).orderBy(F.desc("total"), "anchor").limit(8)
 
 
