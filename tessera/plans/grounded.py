@@ -56,13 +56,14 @@ def fact_texts(text: Column) -> Column:
 def facts(queries: DataFrame, found: DataFrame, blocks: DataFrame, k: int = FACTS) -> DataFrame:
     """query_id, rank, source_id, block_id, fact, kind, score, query_hits, term_hits: the k best facts of each query (query_id,
     anchors, terms) in its passages; rank 1 is the one that is selected. A fact needs a content token of the query, if that has any."""
-    rows = found.join(blocks.select("source_id", "block_id", "text"), ["source_id", "block_id"]).select("query_id", "source_id", "block_id", "score", "place", F.explode(fact_texts(F.col("text"))).alias("f"))
-    rows = rows.withColumns({"a": F.array_distinct(tokens_of(F.col("f.told"))), "b": tokens_of(F.col("f.fact"))}).where(F.size("a") > 0)
+    told = blocks.select("source_id", "block_id", F.explode(fact_texts(F.col("text"))).alias("f"))  # read once a block, not for each query that finds it
+    told = told.select("source_id", "block_id", "f.fact", "f.kind", F.array_distinct(tokens_of(F.col("f.told"))).alias("a"), tokens_of(F.col("f.fact")).alias("b")).where(F.size("a") > 0)
+    rows = found.select("query_id", "source_id", "block_id", "score", "place").join(told, ["source_id", "block_id"])
     asked = queries.select("query_id", F.array_distinct("anchors").alias("q"), F.filter(F.array_distinct("anchors"), lambda x: ~Q.blocked_answer(x)).alias("c"), F.array_distinct("terms").alias("t"))
     rows = rows.join(asked, "query_id").where((F.size("c") == 0) | F.arrays_overlap("a", "c"))
     hits, terms = F.size(F.array_intersect("a", "q")), F.size(F.array_intersect(F.array_union("a", "b"), F.col("t")))
-    more = F.when(F.col("f.kind") == "qa_answer", PAIR).when(F.col("f.kind") == "compact_answer", COMPACT).otherwise(0.0)
-    scored = rows.select("query_id", "source_id", "block_id", "place", F.col("f.fact").alias("fact"), F.col("f.kind").alias("kind"), F.round(hits * QUERY_HIT + terms * TERM_HIT + F.col("score") / 10.0 + more, 6).alias("score"), hits.alias("query_hits"), terms.alias("term_hits"))
+    more = F.when(F.col("kind") == "qa_answer", PAIR).when(F.col("kind") == "compact_answer", COMPACT).otherwise(0.0)
+    scored = rows.select("query_id", "source_id", "block_id", "place", "fact", "kind", F.round(hits * QUERY_HIT + terms * TERM_HIT + F.col("score") / 10.0 + more, 6).alias("score"), hits.alias("query_hits"), terms.alias("term_hits"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "place", "block_id", "fact")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("place")
 
